@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import main_text, packing, simhash, substring_dedup, transport_stream, url_filter
+from . import main_text, mixing, packing, rp_forest, simhash, substring_dedup, transport_stream, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -52,6 +52,25 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def source_domain() -> Column:
+    """Sources end in a number; the domains of the tree are its remainders."""
+    number = F.try_to_number(F.regexp_extract("source", r"(\d{1,9})$", 1), F.lit("999999999"))
+    return F.concat(F.lit("domain"), F.pmod(number, F.lit(4)).cast("int"))
+
+
+MIX = mixing.Weights({"domain0": 0.4, "domain1": 0.3, "domain2": 0.2, "domain3": 0.1}, {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, {}, 1.0)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, MIX, source_domain(), share=1.2, max_epochs=4)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Place of a public vocabulary file; the workers read it there too."""
     import public_tokenizers
@@ -73,6 +92,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_rp_forest": op3_rp_forest,
+    "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
     "op6_packing": op6_packing,
     "op7_substring_dedup": op7_substring_dedup,
