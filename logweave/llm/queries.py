@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import main_text, mixing, packing, rp_forest, simhash, substring_dedup, transport_stream, url_filter
+from . import bloom_lm, main_text, mixing, packing, rp_forest, simhash, substring_dedup, transport_stream, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -52,6 +52,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp_forest.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -92,6 +96,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bloom_lm": op2_bloom_lm,
     "op3_rp_forest": op3_rp_forest,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
