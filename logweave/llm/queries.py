@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bloom_lm, main_text, mixing, packing, rp_forest, simhash, substring_dedup, transport_stream, url_filter
+from . import bloom_lm, main_text, mixing, packing, rp_forest, simhash, substring_dedup, toxicity, transport_stream, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -52,6 +52,13 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    held_out = bloom_lm.in_part(F.col("doc_id"), 4, 2).alias("held_out")
+    return toxicity.score(docs, net).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -96,6 +103,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_bloom_lm": op2_bloom_lm,
     "op3_rp_forest": op3_rp_forest,
     "op4_mixing": op4_mixing,
