@@ -11,6 +11,12 @@ Copies share a fingerprint and count as one class, so only distinct
 fingerprints are compared.  Keys are dealt by hash to buckets that grow in
 number with the input; pairs of one key are compared in blocks, and a key's
 matches leave the task as a forest, never as all its pairs.
+
+`similar_groups` finds texts whose shingle sets have a given Jaccard similarity.
+Few bits of a fingerprint cannot say that (at 0.8 and five words half of the
+pairs differ in nine bits of 64 or more, and no ring of segments is selective
+for so many), so there min-hash bands find further candidates, and each
+candidate pair is checked exactly on its shingle sets.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .cluster import bucket_count, checkpoint
 from .components import connected, connected_local
-from .textnum import mix64
+from .textnum import chunks, find_words, mix64, windows, within_texts
 
 SEGMENTS = 9
 BLOCK = 2048
@@ -169,3 +175,109 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     joined = marked.join(named, "fp", "left")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+BANDS, BAND_ROWS = 20, 6  # pairs of similarity 0.8 share a band with probability 0.998
+
+
+def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of each text, side by side, and how many each text has.
+
+    A text with fewer words than a shingle has its whole word sequence as its
+    only one, and a text without words has a fixed one.
+    """
+    words = find_words(texts)
+    hashes = words.hashes(lower=True)
+    at, owner = within_texts(words, shingle)
+    values = windows(hashes, shingle)[at]
+    short = np.flatnonzero(words.counts < shingle)
+    whole = np.zeros(len(short), dtype=np.uint64)
+    for k, row in enumerate(short):
+        for h in hashes[words.first[row] : words.first[row + 1]]:
+            whole[k] = mix64(whole[k : k + 1] * np.uint64(31) + h + np.uint64(1))[0]
+    owner, values = np.concatenate([owner, short]), np.concatenate([values, whole])
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    return values[fresh], np.bincount(owner[fresh], minlength=len(words.first) - 1)
+
+
+def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, fingerprint and min-hash bands of every row."""
+    factors = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                values, sizes = _shingle_sets(piece.column("text"), shingle)
+                begin = np.cumsum(sizes) - sizes
+                bands = np.zeros((len(sizes), BANDS), dtype=np.uint64)
+                for k, factor in enumerate(factors):
+                    least = np.minimum.reduceat(values * factor, begin)
+                    bands[:, k // BAND_ROWS] = mix64(bands[:, k // BAND_ROWS] * np.uint64(0x9E3779B97F4A7C15) + least)
+                fp = np.array([fingerprint(t, shingle) for t in piece.column("text").to_pylist()], dtype=np.uint64)
+                edges = pa.array(np.arange(0, BANDS * len(sizes) + 1, BANDS, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(edges, pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64)), lists], ["doc_id", "fp", "bands"])
+
+    return docs.mapInArrow(run, "doc_id bigint, fp bigint, bands array<bigint>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity."""
+
+    def sets(batches):
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                values, sizes = _shingle_sets(piece.column("text"), shingle)
+                # the values of a text are sorted, and so are their upper halves
+                low = (values >> np.uint64(32)).astype("<u4")
+                edges = np.concatenate(([0], np.cumsum(sizes)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([low[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary())], ["id", "shingles"])
+
+    def check(batches):
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            good = np.zeros(len(a), dtype=bool)
+            for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+                x, y = (np.unique(np.frombuffer(v.as_py(), dtype="<u4")) for v in (x, y))
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    good[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], ["a", "b"])
+
+    made = docs.mapInArrow(sets, "id bigint, shingles binary")
+    one = made.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+    two = made.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
+    """doc_id and component_id (smallest doc_id linked to it, directly or not) of every row with an id.
+
+    Two texts are linked if the sets of their word shingles (A-Z lower-cased)
+    have at least the Jaccard similarity and one is the smallest id under the
+    other's fingerprint or one of its bands, or their fingerprints are linked.
+    Candidates are so at most one a band and text, however large a group is.
+    Texts shorter than a shingle compare by their whole word sequence; texts
+    without words, null ones included, are copies of each other.  Rows with a
+    null doc_id are left out; rows that share one are one text, any of them.
+    """
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = checkpoint(_sketches(texts, shingle))
+    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    keys = marked.select("doc_id", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
+    least = keys.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("a < top").drop("top")
+    pairs = keys.join(least, ["band", "key"]).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    pairs = checkpoint(pairs.unionAll(links(classes, budget)).where("a < b").distinct())
+    found = connected(_verified(pairs, texts, shingle, similarity))
+    named = marked.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return named.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
+    """The rows of one document of each group of similar ones, the smallest doc_id; rows without an id all stay."""
+    groups = similar_groups(docs, shingle, similarity, budget)
+    gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -74,3 +74,34 @@ def test_whole_operator(spark):
     want = [(i * 2 + 1, f"{f:016x}", comp[i] * 2 + 1) for i, f in enumerate(fps)] + [(1, f"{fps[0]:016x}", 1)]
     assert sorted(tuple(r) for r in got if r.doc_id is not None) == sorted(want)
     assert [(r.fingerprint, r.component_id) for r in got if r.doc_id is None] == [(f"{plain_fingerprint('odd'):016x}", None)]
+
+
+def jaccard_groups(rows, shingle=5, at=0.8):
+    sets = {}
+    for d, t in rows:
+        words = WORD.findall((t or "").lower())
+        sets[d] = {tuple(words[i : i + shingle]) for i in range(len(words) - shingle + 1)} or {tuple(words)}
+    ids = sorted(sets)
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i + 1, len(ids)) if len(sets[ids[i]] & sets[ids[j]]) >= at * len(sets[ids[i]] | sets[ids[j]])]
+    comp = components(len(ids), pairs)
+    return {d: ids[c] for d, c in zip(ids, comp, strict=True)}
+
+
+def test_similar_groups_match_exact_jaccard(spark):
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(300))
+    rows = []
+    for g in range(25):
+        base = [word() for _ in range(rng.randrange(60, 300))]
+        for k in range(rng.randrange(1, 5)):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 40]) if k else 0):
+                words[rng.randrange(len(words))] = word()
+            rows.append((g * 10 + k + 1, " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "\n"), (903, "one two"), (904, "One  TWO"), (905, "one two three")]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, "n", "y"), (1, rows[0][1], "z")], "doc_id bigint, text string, fp string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
+    assert got == jaccard_groups(rows)
+    kept = simhash.keep_one(df).collect()
+    assert sorted(r.doc_id or -1 for r in kept) == sorted([-1, 1, *(d for d, c in got.items() if d == c)])
+    assert kept[0].asDict().keys() == {"doc_id", "text", "fp"} and simhash.similar_groups(df.limit(0)).collect() == []
