@@ -56,10 +56,13 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return stream, counts + 1
 
 
-def pairs_of(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and pair hashes; texts follow one another, so each first word has an end as its context."""
-    before = np.concatenate(([END], stream[:-1]))
-    return before, mix64(before * np.uint64(0x9E3779B97F4A7C15) + stream)
+def pair_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + token)
+
+
+def pairs_of(stream: np.ndarray) -> np.ndarray:
+    """Pair hashes of a stream; texts follow one another, so each first word has an end as its context."""
+    return pair_hash(np.concatenate(([END], stream[:-1])), stream)
 
 
 def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +89,7 @@ def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
 
         def flush():
             stream = np.concatenate(held)
-            for order, grams in enumerate((stream, pairs_of(stream)[1])):
+            for order, grams in enumerate((stream, pairs_of(stream))):
                 hashes, counts = _merge(grams, np.ones(len(grams), dtype=np.int64))
                 bucket = (hashes % np.uint64(buckets)).astype(np.int32)
                 by = np.argsort(bucket, kind="stable")
@@ -149,21 +152,28 @@ class CountFilter:
     buckets: int
 
     @staticmethod
-    def places(grams: np.ndarray, level, size, probe: int) -> np.ndarray:
+    def hashes(grams: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
+        """The two hashes of (n-gram, level) from which all its probes come."""
         a = mix64(grams + np.uint64(0xD1B54A32D192ED03) * np.asarray(level, dtype=np.uint64))
-        b = (a >> np.uint64(33)) | np.uint64(1)
-        return (a + np.uint64(probe) * b) % np.asarray(size, dtype=np.uint64)
+        return a, (a << np.uint64(31) | a >> np.uint64(33)) | np.uint64(1)
+
+    @staticmethod
+    def place(a: np.ndarray, b: np.ndarray, size, probe: int) -> np.ndarray:
+        """Bit of one probe, in a segment of `size` bits (fewer than 2**32)."""
+        return ((a + np.uint64(probe) * b) >> np.uint64(32)) * np.asarray(size, dtype=np.uint64) >> np.uint64(32)
 
     def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
         """Level of each n-gram, found by probing level after level until one is missing."""
         out = np.zeros(len(grams), dtype=np.int64)
         segment = order * self.buckets + (grams % np.uint64(self.buckets)).astype(np.int64)
         alive = np.flatnonzero(self.size[segment] > 0)
+        begin, size, grams = self.begin[segment[alive]], self.size[segment[alive]].astype(np.uint64), grams[alive]
         for level in range(1, LEVELS):
+            a, b = self.hashes(grams, level)
             for probe in range(PROBES):
-                s = segment[alive]
-                at = self.places(grams[alive], level, self.size[s], probe)
-                alive = alive[(self.bits[self.begin[s] + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = self.place(a, b, size, probe)
+                held = np.flatnonzero(self.bits[begin + (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                alive, begin, size, grams, a, b = (x[held] for x in (alive, begin, size, grams, a, b))
             if not len(alive):
                 break
             out[alive] = level
@@ -188,14 +198,22 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, stream), max(0, len(self.words) - 1))
         return np.where(self.words[at] == stream, self.word_counts[at], -1) if len(self.words) else np.full(len(stream), -1)
 
-    def pair_estimates(self, stream: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Level of each token's context, and the pair's share of the context's count."""
-        before, pairs = pairs_of(stream)
-        contexts, at = np.unique(before, return_inverse=True)
-        level = self.counts.levels(contexts, 0)[at]
-        whole = _MIDDLE[level] - left_out
-        part = np.maximum(_MIDDLE[self.counts.levels(pairs, 1)] - left_out, 0.0)
-        return level, np.where((level > 0) & (part > 0), part / np.maximum(whole, np.maximum(part, 1.0)), 0.0)
+    def look_up(self, stream: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token its exact count (-1: not among the frequent words), its context's level, and the pair's share of the context's count.
+
+        Every distinct token and pair of the stream is looked up once.
+        """
+        distinct, at = np.unique(stream, return_inverse=True)
+        count, level = self.exact(distinct), self.counts.levels(distinct, 0)
+        before = np.concatenate((np.searchsorted(distinct, [END]), at[:-1]))
+        codes, pair_at = np.unique(before * len(distinct) + at, return_inverse=True)
+        first, second = np.divmod(codes, len(distinct))
+        likely = np.flatnonzero((level[first] > 0) & (level[second] > 0))
+        first, second = first[likely], second[likely]
+        pair = np.zeros(len(codes))
+        part = np.maximum(_MIDDLE[self.counts.levels(pair_hash(distinct[first], distinct[second]), 1)] - left_out, 0.0)
+        pair[likely] = part / np.maximum(np.maximum(_MIDDLE[level[first]] - left_out, part), 1.0)
+        return count[at], level[before], pair[pair_at]
 
 
 def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes: int) -> CountFilter:
@@ -216,8 +234,9 @@ def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes:
                     keys = np.repeat(hashes, level)
                     begin = np.cumsum(level) - level
                     step = np.arange(len(keys)) - np.repeat(begin, level) + 1
+                    a, b = CountFilter.hashes(keys, step)
                     for probe in range(PROBES):
-                        at = CountFilter.places(keys, step, size, probe)
+                        at = CountFilter.place(a, b, size, probe)
                         np.bitwise_or.at(body, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "body": pa.array([body.tobytes()], pa.binary())})
 
@@ -268,8 +287,8 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 2
             for piece in chunks(batch, "text"):
                 stream, _ = token_stream(piece.column("text"))
                 m = shared.value
-                level, share = m.pair_estimates(stream, left_out=1)
-                plain = m.unigram(np.maximum(m.exact(stream), 1) - 1)
+                count, level, share = m.look_up(stream, left_out=1)
+                plain = m.unigram(np.maximum(count, 1) - 1)
                 seen = share > 0
                 # where no pair is known the mixture only loses the pair's weight
                 missing = np.bincount(level[~seen], minlength=LEVELS)
@@ -320,9 +339,8 @@ def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20
         for batch in batches:
             for piece in chunks(batch, "text"):
                 stream, sizes = token_stream(piece.column("text"))
-                level, share = m.pair_estimates(stream)
+                count, level, share = m.look_up(stream)
                 weight = m.weights[level]
-                count = m.exact(stream)
                 rare = (count < 0) & (not m.complete)
                 count = np.maximum(count, 0)
                 plain = m.unigram(count)
