@@ -1,4 +1,507 @@
-"""Every query of the engine with its SQL twin."""
+"""Every query of the engine, bound to the test tables, with its SQL twin.
 
-QUERIES = {}
-ORACLES = {}
+Small constants let little tables seal blocks and segments; operators take
+their real sizes as parameters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import blocks, delivery, logs, metrics, replication, routing, segments
+from ..sources.topics import conversations_log, documents_log, events_log, orders_log, table
+from .prefix import running
+
+BLOCK = 64 * 1024
+SMALL_BLOCK = 4096
+PAGE = 16 * 1024
+SEGMENT = 100
+ORDER_SEGMENT = 1000
+NODES = 3
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# -- SQL fragments -----------------------------------------------------------
+
+_E = "SELECT event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, event_id, user_id, ts, concat_ws('|', event_id, user_id, event_type, props) AS payload, strlen(concat_ws('|', event_id, user_id, event_type, props)) AS len FROM events"
+_D = "SELECT source AS topic, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS seq, strlen(text) AS len FROM documents"
+_O = "SELECT o_orderpriority AS topic, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS seq, o_orderkey FROM orders"
+_OFFSETS = f"e AS ({_E}), o AS (SELECT *, CAST(sum(len + 256) OVER (PARTITION BY topic ORDER BY seq) AS BIGINT) AS end_off FROM e), m AS (SELECT *, end_off - len - 256 AS start_off FROM o)"
+
+
+def _fnv(text: str) -> str:
+    """FNV-1a of an ASCII text, as a signed integer."""
+    steps = f"list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({text}, ''), lambda c: ord(c)::HUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::HUGEINT * 1099511628211) % 18446744073709551616)"
+    return f"list_transform([{steps}], lambda v: CASE WHEN v >= 9223372036854775808 THEN v - 18446744073709551616 ELSE v END)[1]::BIGINT"
+
+
+def _init(topic: str) -> str:
+    return f"((({_fnv(topic)} % {NODES}) + {NODES}) % {NODES})"
+
+
+def _segments(log: str, size: int) -> str:
+    return f"""l AS ({log}), t AS (SELECT topic, count(*) AS total FROM l GROUP BY topic),
+        s AS (SELECT topic, seq // {size} + 1 AS segment, min(seq) AS first_seq, count(*) AS n FROM l GROUP BY ALL
+              UNION ALL SELECT topic, total // {size} + 1, total, 0 FROM t WHERE total % {size} = 0),
+        c AS (SELECT topic, max(segment) AS current FROM s GROUP BY topic)"""
+
+
+def _next_fit(log: str, unit: int) -> str:
+    """Blocks of every entry as relation b, one recursive step a row."""
+    return f"""d AS (SELECT topic, seq + 1 AS rn, len + 256 AS need FROM ({log})),
+        f AS (SELECT DISTINCT topic, 0::BIGINT AS rn, 0::BIGINT AS block, {unit}::BIGINT AS lim, 0::BIGINT AS used, 0::BIGINT AS need FROM d
+              UNION ALL
+              SELECT d.topic, d.rn, CASE WHEN f.used + d.need <= f.lim THEN f.block ELSE f.block + 1 END,
+                     CASE WHEN f.used + d.need <= f.lim THEN f.lim ELSE ((d.need + {unit} - 1) // {unit}) * {unit} END,
+                     CASE WHEN f.used + d.need <= f.lim THEN f.used + d.need ELSE d.need END, d.need
+              FROM f JOIN d ON d.topic = f.topic AND d.rn = f.rn + 1),
+        b AS (SELECT topic, rn - 1 AS seq, block, need FROM f WHERE rn > 0)"""
+
+
+def _pages(log: str, budget: int, entries: int = 2000) -> str:
+    fits = f"f.n > 0 AND (f.bytes + d.len > {budget} OR f.n >= {entries})"
+    return f"""WITH RECURSIVE d AS (SELECT topic, seq + 1 AS rn, len FROM ({log})),
+        f AS (SELECT DISTINCT topic, 0::BIGINT AS rn, 0::BIGINT AS page, 0::BIGINT AS n, 0::BIGINT AS bytes, 0::BIGINT AS len FROM d
+              UNION ALL
+              SELECT d.topic, d.rn, CASE WHEN {fits} THEN f.page + 1 ELSE f.page END, CASE WHEN {fits} THEN 1 ELSE f.n + 1 END,
+                     CASE WHEN {fits} THEN d.len ELSE f.bytes + d.len END, d.len
+              FROM f JOIN d ON d.topic = f.topic AND d.rn = f.rn + 1)
+        SELECT topic, page, min(rn) - 1 AS first_seq, count(*) AS n, CAST(sum(len) AS BIGINT) AS bytes FROM f WHERE rn > 0 GROUP BY topic, page"""
+
+
+def query(name: str, oracle: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if oracle:
+            ORACLES[name] = oracle
+        return function
+
+    return add
+
+
+def _half(log: DataFrame, column: str, share: int = 2) -> DataFrame:
+    """Cursors that stand at an entries // share."""
+    return log.groupBy("topic").agg(F.floor(F.count("*") / share).cast("bigint").alias(column))
+
+
+# -- offsets and cursors -----------------------------------------------------
+
+
+@query("topic_size", f"SELECT topic, count(*) AS entries, CAST(sum(len) AS BIGINT) AS payload_bytes, CAST(sum(len + 256) AS BIGINT) AS footprint FROM ({_E}) GROUP BY topic")
+def topic_size(spark, sf_dir):
+    return logs.topic_size(events_log(spark, sf_dir))
+
+
+@query("append_seq", f"SELECT topic, seq, event_id FROM ({_E})")
+def append_seq(spark, sf_dir):
+    return events_log(spark, sf_dir).select("topic", "seq", "event_id")
+
+
+@query("read_next_peek", f"WITH e AS ({_E}), c AS (SELECT topic, count(*) // 2 AS cursor FROM e GROUP BY topic) SELECT topic, seq, payload FROM e JOIN c USING (topic) WHERE seq = cursor")
+def read_next_peek(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return logs.at_cursor(log, _half(log, "cursor")).select("topic", "seq", "payload")
+
+
+@query("unread_count", "SELECT event_type AS topic, count(*) - count(*) // 3 AS unread FROM events GROUP BY event_type")
+def unread_count(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return logs.unread(log, _half(log, "cursor", 3))
+
+
+@query("recovered_count", f"WITH {_OFFSETS}, d AS (SELECT topic, max(end_off) // 2 AS durable_off FROM m GROUP BY topic) SELECT topic, count(*) FILTER (WHERE end_off > durable_off) AS unread FROM m JOIN d USING (topic) GROUP BY topic")
+def recovered_count(spark, sf_dir):
+    offsets = logs.offset_map(events_log(spark, sf_dir))
+    durable = offsets.groupBy("topic").agg(F.floor(F.max("end_off") / 2).cast("bigint").alias("durable_off"))
+    return logs.recovered_unread(offsets, durable)
+
+
+@query("offset_map", f"WITH {_OFFSETS} SELECT topic, seq, start_off, end_off FROM m")
+def offset_map(spark, sf_dir):
+    return logs.offset_map(events_log(spark, sf_dir)).select("topic", "seq", "start_off", "end_off")
+
+
+@query("stateless_read", f"WITH {_OFFSETS}, q AS (SELECT topic, max(end_off) * k // 4 + 7 * k AS req FROM m, (SELECT unnest(range(5)) AS k) GROUP BY topic, k) SELECT q.topic, req, seq, greatest(req - start_off - 256, 0) AS trim FROM q JOIN m ON m.topic = q.topic AND start_off <= req AND req < end_off")
+def stateless_read(spark, sf_dir):
+    offsets = logs.offset_map(events_log(spark, sf_dir))
+    ends = offsets.groupBy("topic").agg(F.max("end_off").alias("end"))
+    asked = ends.select("topic", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "end").select("topic", (F.floor(F.col("end") * F.col("k") / 4) + 7 * F.col("k")).cast("bigint").alias("req"))
+    return logs.stateless_read(offsets, asked)
+
+
+@query("batch_validate", f"SELECT event_id // 2500 AS batch, count(*) AS n, CAST(sum(len + 256) AS BIGINT) AS bytes, count(*) <= 2000 AND sum(len + 256) <= 10737418240 AS ok FROM ({_E}) GROUP BY 1")
+def batch_validate(spark, sf_dir):
+    return logs.batch_checks(events_log(spark, sf_dir).withColumn("batch", F.floor(F.col("event_id") / 2500).cast("bigint")), ["batch"])
+
+
+@query("order_check", "SELECT event_type AS topic, true AS ok FROM events GROUP BY event_type")
+def order_check(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    sent = log.withColumn("line", F.concat(F.lit("seq-"), F.lpad(F.col("seq").cast("string"), 6, "0"), F.lit(":"), "payload"))
+    return routing.order_check(sent, F.regexp_extract("line", r"^seq-(\d+):", 1).cast("bigint"))
+
+
+# -- blocks, pages, files ----------------------------------------------------
+
+
+@query("block_pack", f"WITH RECURSIVE {_next_fit(_D, BLOCK)} SELECT topic, block, min(seq) AS first_seq, count(*) AS n, CAST(sum(need) AS BIGINT) AS used FROM b GROUP BY topic, block")
+def block_pack(spark, sf_dir):
+    return blocks.block_stats(blocks.pack_blocks(documents_log(spark, sf_dir), BLOCK))
+
+
+@query("page_reads", _pages(_D, PAGE))
+def page_reads(spark, sf_dir):
+    return blocks.page_reads(documents_log(spark, sf_dir), PAGE)
+
+
+@query("page_entry_cap", _pages("SELECT 'all' AS topic, row_number() OVER (ORDER BY event_id) - 1 AS seq, 8::BIGINT AS len FROM events", 1 << 40))
+def page_entry_cap(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.lit("all").alias("topic"), "event_id", F.lit(8).cast("bigint").alias("payload_len"))
+    return blocks.page_reads(running(rows, ["topic"], "event_id", {"seq": ("sum", F.lit(1).cast("bigint"))}, exclusive=True), 1 << 40)
+
+
+_FILES = f"""WITH RECURSIVE {_next_fit(_E, SMALL_BLOCK)}, e2 AS ({_E}), x AS (
+        SELECT b.topic, b.block, min(e2.event_id) AS opened, CAST(sum(b.need) AS BIGINT) AS used, max(b.seq) AS last_seq FROM b JOIN e2 ON b.topic = e2.topic AND b.seq = e2.seq GROUP BY ALL),
+        p AS (SELECT *, (row_number() OVER (ORDER BY opened) - 1) // 100 AS file_no, max(block) OVER (PARTITION BY topic) = block AS is_open FROM x),
+        c AS (SELECT topic, count(*) // 2 AS cursor FROM e2 GROUP BY topic)"""
+
+
+def _placed(spark, sf_dir):
+    packed = blocks.pack_blocks(events_log(spark, sf_dir), SMALL_BLOCK, keep=("event_id",))
+    stats = packed.groupBy("topic", "block").agg(F.min("event_id").alias("opened"), F.sum(F.col("payload_len") + 256).alias("used"), F.max("seq").alias("last_seq"))
+    return blocks.place_files(stats, "opened")
+
+
+@query("file_place", f"{_FILES} SELECT file_no, count(*) AS blocks, CAST(sum(used) AS BIGINT) AS used FROM p GROUP BY file_no")
+def file_place(spark, sf_dir):
+    return _placed(spark, sf_dir).groupBy("file_no").agg(F.count("*").alias("blocks"), F.sum("used").alias("used"))
+
+
+@query("reclaimable", f"{_FILES} SELECT file_no, count(*) = 100 AND count(*) FILTER (WHERE is_open) = 0 AND count(*) FILTER (WHERE last_seq < cursor) >= count(*) AS reclaim FROM p JOIN c USING (topic) GROUP BY file_no")
+def reclaimable(spark, sf_dir):
+    placed = _placed(spark, sf_dir)
+    opened = placed.groupBy("topic").agg(F.max("block").alias("open"), (F.max("last_seq") + 1).alias("entries"))
+    state = placed.join(opened, "topic").withColumns({"is_open": F.col("block") == F.col("open"), "consumed": F.col("last_seq") < F.floor(F.col("entries") / 2)})
+    return blocks.reclaimable(state)
+
+
+@query("corrupt_prefix", f"WITH RECURSIVE {_next_fit(_E, SMALL_BLOCK)}, v AS (SELECT topic, max(CASE WHEN seq % 97 = 13 THEN 1 ELSE 0 END) OVER (PARTITION BY topic, block ORDER BY seq) AS bad FROM b) SELECT topic, count(*) AS visible FROM v WHERE bad = 0 GROUP BY topic")
+def corrupt_prefix(spark, sf_dir):
+    packed = blocks.pack_blocks(events_log(spark, sf_dir), SMALL_BLOCK)
+    return delivery.valid_prefix(packed, F.col("seq") % 97 == 13).groupBy("topic").agg(F.count("*").alias("visible"))
+
+
+# -- segments ----------------------------------------------------------------
+
+
+@query("segment_assign", f"WITH {_segments(_E, SEGMENT)} SELECT topic, segment, first_seq, n FROM s")
+def segment_assign(spark, sf_dir):
+    return segments.segment_table(events_log(spark, sf_dir), SEGMENT)
+
+
+@query("segment_leader", f"WITH {_segments(_E, SEGMENT)} SELECT topic, segment, ({_init('topic')} + segment - 1) % {NODES} + 1 AS leader FROM s")
+def segment_leader(spark, sf_dir):
+    table_ = segments.segment_table(events_log(spark, sf_dir), SEGMENT)
+    return table_.select("topic", "segment", segments.leader_of(F.col("topic"), F.col("segment"), NODES).alias("leader"))
+
+
+@query("sealed_cumulative", f"WITH {_segments(_E, SEGMENT)} SELECT topic, segment, n AS sealed, CAST(sum(n) OVER (PARTITION BY topic ORDER BY segment) AS BIGINT) AS cum FROM s JOIN c USING (topic) WHERE segment < current")
+def sealed_cumulative(spark, sf_dir):
+    return segments.sealed_cumulative(segments.segment_table(events_log(spark, sf_dir), SEGMENT))
+
+
+_CONSUMED = (0, 1, 99, 100, 101, 1000)
+
+
+@query("cursor_locate", f"WITH t AS (SELECT event_type AS topic, count(*) AS total FROM events GROUP BY 1), g AS (SELECT topic, least(k, total) AS g FROM t, (SELECT unnest([{', '.join(map(str, _CONSUMED))}])::BIGINT AS k)) SELECT DISTINCT topic, g, CASE WHEN g = 0 THEN 1 ELSE (g - 1) // 100 + 1 END AS segment, CASE WHEN g = 0 THEN 0 ELSE g - (g - 1) // 100 * 100 END AS delivered FROM g")
+def cursor_locate(spark, sf_dir):
+    counts = events_log(spark, sf_dir).groupBy("topic").agg(F.count("*").alias("total"))
+    consumed = counts.select("topic", F.explode(F.array(*(F.lit(k).cast("bigint") for k in _CONSUMED))).alias("k"), "total").select("topic", F.least("k", "total").alias("g")).distinct()
+    segment, delivered = segments.locate(F.col("g"), SEGMENT)
+    return consumed.select("topic", "g", segment.alias("segment"), delivered.alias("delivered"))
+
+
+@query("cursor_advance", f"WITH {_segments(_E, SEGMENT)}, k AS (SELECT unnest([0, 50, 99, 100, 150, 250, 1000000])::BIGINT AS g), r AS (SELECT topic, CASE WHEN g = 0 THEN 0 ELSE (least(g, total) - 1) // 100 + 1 END AS segment, CASE WHEN g = 0 THEN 0 ELSE least(g, total) - (least(g, total) - 1) // 100 * 100 END AS delivered, least(g, total) AS done, total FROM t, k) SELECT DISTINCT topic, segment, delivered, CASE WHEN done < total THEN done END AS seq, CASE WHEN done < total THEN done // 100 + 1 ELSE total // 100 + 1 END AS new_segment, CASE WHEN done < total THEN done % 100 + 1 ELSE total % 100 END AS new_delivered FROM r")
+def cursor_advance(spark, sf_dir):
+    table_ = segments.segment_table(events_log(spark, sf_dir), SEGMENT)
+    total = table_.groupBy("topic").agg(F.sum("n").alias("total"))
+    at = total.select("topic", "total", F.explode(F.array(*(F.lit(k).cast("bigint") for k in (0, 50, 99, 100, 150, 250, 1000000)))).alias("k")).withColumn("g", F.least("k", "total"))
+    segment, delivered = segments.locate(F.col("g"), SEGMENT)
+    cursors = at.select("topic", F.when(F.col("g") == 0, 0).otherwise(segment).cast("bigint").alias("segment"), delivered.alias("delivered")).distinct()
+    return segments.advance(cursors, table_)
+
+
+@query("ownership", f"WITH {_segments(_E, SEGMENT)} SELECT ({_init('topic')} + current - 1) % {NODES} + 1 AS node, count(*) AS open_topics FROM c GROUP BY 1")
+def ownership(spark, sf_dir):
+    return segments.ownership(segments.segment_table(events_log(spark, sf_dir), SEGMENT), NODES)
+
+
+@query("tla_invariants", "SELECT unnest(['no_rows_after_open', 'sealed_count_matches', 'last_sealed_is_sum', 'contiguous_order', 'open_leader_valid']) AS invariant, 0::BIGINT AS violations")
+def tla_invariants(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return segments.invariants(log, segments.segment_table(log, SEGMENT), SEGMENT, NODES)
+
+
+@query("wal_key_roundtrip", f"WITH {_segments(_E, SEGMENT)} SELECT topic, segment, 't_' || topic || '_s_' || segment AS key, topic AS p_topic, segment AS p_segment FROM s")
+def wal_key_roundtrip(spark, sf_dir):
+    keyed = segments.segment_table(events_log(spark, sf_dir), SEGMENT).withColumn("key", S.wal_key(F.col("topic"), F.col("segment")))
+    topic, segment = S.parse_wal_key(F.col("key"))
+    return keyed.select("topic", "segment", "key", topic.alias("p_topic"), segment.alias("p_segment"))
+
+
+# -- integrity and delivery --------------------------------------------------
+
+
+@query("checksum", f"SELECT event_id, {_fnv('payload')} AS checksum FROM ({_E})")
+def checksum(spark, sf_dir):
+    return events_log(spark, sf_dir).select("event_id", S.fnv1a_vector(F.col("payload")).alias("checksum"))
+
+
+@query("verified_entries", f"SELECT topic, min(seq) FILTER (WHERE event_id % 1009 = 500) AS visible FROM ({_E}) GROUP BY topic HAVING count(*) FILTER (WHERE event_id % 1009 = 500) > 0")
+def verified_entries(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    stored = log.withColumn("checksum", S.fnv1a_vector(F.col("payload")) + F.when(F.col("event_id") % 1009 == 500, 1).otherwise(0))
+    good = delivery.verify(stored, S.fnv1a_vector(F.col("payload")))
+    hit = log.where(F.col("event_id") % 1009 == 500).select("topic").distinct()
+    return good.join(hit, "topic", "left_semi").groupBy("topic").agg(F.count("*").alias("visible"))
+
+
+@query("namespace_sanitize", f"WITH u AS (SELECT DISTINCT url AS key FROM pages), c AS (SELECT key, regexp_replace(key, '[^A-Za-z0-9._-]', '_', 'g') AS dir FROM u) SELECT key, CASE WHEN regexp_matches(dir, '^_*$') THEN 'ns_' || printf('%016x', {_fnv('key')}) ELSE dir END AS dir FROM c")
+def namespace_sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select(F.col("url").alias("key")).distinct().withColumn("dir", S.sanitize_namespace(F.col("key")))
+
+
+_K = (0, 1, 3, 5, 1000)
+_READS = f"r AS (SELECT event_type AS topic, count(*) // 3 AS reads FROM events GROUP BY 1), k AS (SELECT unnest([{', '.join(map(str, _K))}])::BIGINT AS k)"
+
+
+def _reads(spark, sf_dir):
+    return _half(events_log(spark, sf_dir), "reads", 3).withColumn("k", F.explode(F.array(*(F.lit(k).cast("bigint") for k in _K))))
+
+
+@query("durable_point", f"WITH {_READS} SELECT topic, k, reads, reads // greatest(k, 1) * greatest(k, 1) AS durable FROM r, k")
+def durable_point(spark, sf_dir):
+    return _reads(spark, sf_dir).select("topic", "k", "reads", delivery.durable_point(F.col("reads"), F.col("k")).alias("durable"))
+
+
+@query("replay_set", f"WITH {_READS} SELECT topic, k, reads % greatest(k, 1) AS duplicates FROM r, k")
+def replay_set(spark, sf_dir):
+    return _reads(spark, sf_dir).select("topic", "k", delivery.replayed(F.col("reads"), F.col("k")).alias("duplicates"))
+
+
+@query("dirty_generation", "WITH f AS (SELECT user_id, event_id, event_type <> 'view' AS is_clean, lag(event_type <> 'view', 1, true) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id AS topic, count(*) FILTER (WHERE before <> is_clean) AS generation, arg_max(is_clean, event_id) AS is_clean FROM f GROUP BY user_id")
+def dirty_generation(spark, sf_dir):
+    flags = table(spark, sf_dir, "events").select(F.col("user_id").alias("topic"), "event_id", (F.col("event_type") != "view").alias("is_clean"))
+    return delivery.generations(flags, "topic", "event_id", "is_clean")
+
+
+@query("monotone_clock", "WITH t AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, epoch_ms(ts) // 600000 * 600000 AS ms FROM events) SELECT event_id, greatest(max(ms - i) OVER (ORDER BY i), 1) + i AS clock FROM t")
+def monotone_clock(spark, sf_dir):
+    ticks = table(spark, sf_dir, "events").select("event_id", (F.floor(S.micros(F.col("ts")) / 600000000) * 600000).cast("bigint").alias("ms"))
+    return delivery.monotone_clock(ticks, "event_id", "ms").select("event_id", "clock")
+
+
+@query("flush_coalesce", "SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, count(DISTINCT event_type) AS paths FROM events GROUP BY 1")
+def flush_coalesce(spark, sf_dir):
+    return delivery.coalesced_flushes(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour")
+
+
+# -- replication -------------------------------------------------------------
+
+
+@query("kv_lww", "WITH l AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS id FROM events GROUP BY user_id) SELECT user_id::VARCHAR AS key, id::VARCHAR AS value FROM l WHERE kind <> 'error'")
+def kv_lww(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("DELETE "), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("SET "), F.col("user_id").cast("string"), F.lit("  "), F.col("event_id").cast("string")))
+    return replication.materialize(replication.parse_kv(e.select(F.col("event_id").alias("seq"), line.alias("line"))))
+
+
+_RAFT = "r AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 997 = 5 THEN 'purge' WHEN o_orderkey % 499 = 7 THEN 'truncate' ELSE 'entry' END AS kind, CASE WHEN o_orderkey % 997 = 5 THEN o_orderkey // 8 WHEN o_orderkey % 499 = 7 THEN o_orderkey // 2 - 60 ELSE o_orderkey // 2 END AS i FROM orders), a AS (SELECT * FROM r WHERE kind = 'entry'), k AS (SELECT i, max(pos) AS pos FROM a GROUP BY i), s AS (SELECT i, pos FROM k WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.kind = 'purge' AND r.pos > k.pos AND r.i >= k.i) AND NOT EXISTS (SELECT 1 FROM r WHERE r.kind = 'truncate' AND r.pos > k.pos AND r.i <= k.i))"
+
+
+def _raft_records(spark, sf_dir):
+    key = F.col("o_orderkey")
+    kind = F.when(key % 997 == 5, "purge").when(key % 499 == 7, "truncate").otherwise("entry")
+    index = F.when(kind == "purge", F.floor(key / 8)).when(kind == "truncate", F.floor(key / 2) - 60).otherwise(F.floor(key / 2)).cast("bigint")
+    return table(spark, sf_dir, "orders").select(key.alias("pos"), kind.alias("kind"), index.alias("log_index"))
+
+
+@query("raft_replay", f"WITH {_RAFT} SELECT i AS idx, pos FROM s")
+def raft_replay(spark, sf_dir):
+    return replication.replay(_raft_records(spark, sf_dir))
+
+
+@query("log_state", f"WITH {_RAFT} SELECT (SELECT max(i) FROM r WHERE kind = 'purge') AS last_purged, coalesce((SELECT max(i) FROM s), (SELECT max(i) FROM r WHERE kind = 'purge')) AS last_log")
+def log_state(spark, sf_dir):
+    return replication.log_state(_raft_records(spark, sf_dir))
+
+
+@query("metadata_apply", f"WITH t AS (SELECT o_orderpriority AS topic, count(*) AS total FROM orders GROUP BY 1) SELECT topic, total // {ORDER_SEGMENT} + 1 AS current_segment, total // {ORDER_SEGMENT} * {ORDER_SEGMENT} AS last_sealed, ({_init('topic')} + total // {ORDER_SEGMENT}) % {NODES} + 1 AS leader FROM t")
+def metadata_apply(spark, sf_dir):
+    log = orders_log(spark, sf_dir)
+    kind = F.when(F.col("seq") == 0, F.array(F.lit("create"))).otherwise(F.array())
+    rolled = F.when((F.col("seq") + 1) % ORDER_SEGMENT == 0, F.array(F.lit("rollover"))).otherwise(F.array())
+    commands = log.select("topic", (2 * F.col("o_orderkey")).alias("at"), F.explode(F.concat(kind.cast("array<string>"), rolled.cast("array<string>"))).alias("kind"))
+    commands = commands.select("topic", (F.col("at") + F.when(F.col("kind") == "rollover", 1).otherwise(0)).alias("log_index"), "kind", F.when(F.col("kind") == "rollover", ORDER_SEGMENT).alias("sealed_count"))
+    return replication.topic_states(commands, NODES)
+
+
+_PROGRESS = "p AS (SELECT o_orderkey % 50 AS grp, o_orderkey // 50 % 5 AS node, max(o_orderkey) AS matched FROM orders GROUP BY ALL)"
+
+
+def _progress(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy((F.col("o_orderkey") % 50).alias("grp"), F.pmod(F.floor(F.col("o_orderkey") / 50), F.lit(5)).cast("bigint").alias("node")).agg(F.max("o_orderkey").alias("matched"))
+
+
+@query("quorum_commit", f"WITH {_PROGRESS}, l AS (SELECT grp, list_sort(list(matched), 'DESC') AS v FROM p GROUP BY grp) SELECT grp, v[len(v) // 2 + 1] AS committed FROM l")
+def quorum_commit(spark, sf_dir):
+    return replication.quorum(_progress(spark, sf_dir), "grp")
+
+
+@query("joint_commit", f"WITH {_PROGRESS}, c AS (SELECT grp, 'a' AS config, matched FROM p WHERE node <= 2 UNION ALL SELECT grp, 'b', matched FROM p WHERE node >= 2), l AS (SELECT grp, config, list_sort(list(matched), 'DESC') AS v FROM c GROUP BY ALL) SELECT grp, min(v[len(v) // 2 + 1]) AS committed FROM l GROUP BY grp")
+def joint_commit(spark, sf_dir):
+    p = _progress(spark, sf_dir)
+    both = p.where("node <= 2").withColumn("config", F.lit("a")).unionAll(p.where("node >= 2").withColumn("config", F.lit("b")))
+    return replication.joint_quorum(both, "grp", "config")
+
+
+@query("catch_up", f"WITH {_PROGRESS}, m AS (SELECT max(o_orderkey) AS last FROM orders) SELECT grp, node, last - matched <= 100 AS ready FROM p, m")
+def catch_up(spark, sf_dir):
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("last"))
+    return _progress(spark, sf_dir).crossJoin(F.broadcast(last)).select("grp", "node", replication.caught_up(F.col("last"), F.col("matched"), 100).alias("ready"))
+
+
+@query("logid_runs", "WITH x AS (SELECT o_orderkey AS idx, o_orderkey // 37 % 3 AS leader FROM orders), y AS (SELECT *, lag(leader) OVER (ORDER BY idx) AS before, max(idx) OVER () AS last FROM x) SELECT leader, idx FROM y WHERE before IS NULL OR before <> leader OR idx = last")
+def logid_runs(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.pmod(F.floor(F.col("o_orderkey") / 37), F.lit(3)).cast("bigint").alias("by"))
+    return replication.leader_runs(o, "i", "by")
+
+
+@query("log_conflict", "SELECT o_orderstatus AS follower, min(o_orderkey) AS conflict FROM orders WHERE o_orderkey % 700 > 690 GROUP BY 1")
+def log_conflict(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("follower"), F.col("o_orderkey").alias("log_index"))
+    term = F.floor(F.col("log_index") / 100).cast("bigint")
+    theirs = o.withColumn("term", term + F.when(F.col("log_index") % 700 > 690, 1).otherwise(0))
+    return replication.conflicts(o.withColumn("term", term), theirs, "follower")
+
+
+@query("commit_rule", f"WITH {_PROGRESS} SELECT grp, node, CASE WHEN matched % 3 = 1 AND matched > 5000 THEN matched ELSE 5000 END AS committed FROM p")
+def commit_rule(spark, sf_dir):
+    return _progress(spark, sf_dir).select("grp", "node", replication.committed_by_leader(F.col("matched"), F.col("matched") % 3, F.lit(1), F.lit(5000).cast("bigint")).alias("committed"))
+
+
+@query("purge_bound", f"WITH {_PROGRESS} SELECT grp, node, CASE WHEN matched + 1 - 1000 >= 4000 + 2 THEN matched + 1 - 1000 - 1 END AS upto FROM p")
+def purge_bound(spark, sf_dir):
+    return _progress(spark, sf_dir).select("grp", "node", replication.purge_upto(F.col("matched"), F.lit(4000).cast("bigint"), 1000, 2 - 1).alias("upto"))
+
+
+@query("membership_change", "SELECT * FROM (VALUES (1, '1,2,3|1,2,3,4'), (2, '1,2,4'), (3, '1,2,4|2,4'), (4, '2,4')) AS t(step, config)")
+def membership_change(spark, sf_dir):
+    rows = spark.createDataFrame([(1, [[1, 2, 3]], "add", [4]), (2, [[1, 2, 3], [1, 2, 4]], "keep", []), (3, [[1, 2, 4]], "remove", [1]), (4, [[1, 2, 4], [2, 4]], "keep", [])], "step int, current array<array<int>>, kind string, ids array<int>")
+    target = replication.change_members(F.element_at("current", -1), F.col("kind"), F.col("ids"))
+    step = replication.joint_step(F.col("current"), target)
+    return rows.select("step", F.array_join(F.transform(step, lambda c: F.array_join(c.cast("array<string>"), ",")), "|").alias("config"))
+
+
+# -- routing -----------------------------------------------------------------
+
+
+@query("lease_fence", "SELECT count(*) FILTER (WHERE user_id % 3 = 0) AS accepted, count(*) FILTER (WHERE user_id % 3 <> 0) AS rejected FROM events")
+def lease_fence(spark, sf_dir):
+    writes = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"))
+    yes, no = routing.fenced(writes, writes.where(F.col("key") % 3 == 0))
+    return yes.agg(F.count("*").alias("accepted")).crossJoin(no.agg(F.count("*").alias("rejected")))
+
+
+@query("lease_diff", "WITH a AS (SELECT DISTINCT user_id AS key FROM events WHERE user_id % 3 = 0), b AS (SELECT DISTINCT user_id AS key FROM events WHERE user_id % 2 = 0) SELECT key, 'granted' AS change FROM (SELECT key FROM b EXCEPT SELECT key FROM a) UNION ALL SELECT key, 'revoked' FROM (SELECT key FROM a EXCEPT SELECT key FROM b)")
+def lease_diff(spark, sf_dir):
+    keys = table(spark, sf_dir, "events").select(F.col("user_id").alias("key")).distinct()
+    return routing.lease_changes(keys.where("key % 3 = 0"), keys.where("key % 2 = 0"))
+
+
+@query("leader_asof", f"WITH l AS ({_E}), g AS (SELECT topic, ts, ({_init('topic')} + seq // {SEGMENT}) % {NODES} + 1 AS leader FROM l WHERE seq % {SEGMENT} = 0) SELECT l.event_id, g.leader FROM l ASOF LEFT JOIN g ON l.topic = g.topic AND l.ts >= g.ts")
+def leader_asof(spark, sf_dir):
+    log = events_log(spark, sf_dir).withColumn("at", S.micros(F.col("ts")))
+    changes = log.where(F.col("seq") % SEGMENT == 0).select("topic", "at", segments.leader_of(F.col("topic"), segments.segment_of(F.col("seq"), SEGMENT), NODES).alias("leader"))
+    return routing.as_of(log.select("topic", "at", "event_id"), changes, "topic", "at", "leader").select("event_id", "leader")
+
+
+@query("rpc_pairs", "SELECT a.conv_id, a.turn, min(b.turn) AS reply_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND a.role = 'user' AND b.role = 'assistant' GROUP BY ALL")
+def rpc_pairs(spark, sf_dir):
+    return routing.reply_pairs(conversations_log(spark, sf_dir), "conv_id", "turn", "role")
+
+
+@query("consecutive_dedup", "WITH x AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id AS topic, count(*) AS kept FROM x WHERE before IS DISTINCT FROM event_type GROUP BY user_id")
+def consecutive_dedup(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("topic"), "event_id", "event_type")
+    return routing.consecutive_distinct(rows, ["topic"], "event_id", F.col("event_type")).groupBy("topic").agg(F.count("*").alias("kept"))
+
+
+@query("protocol_parse", "SELECT CASE event_id % 4 WHEN 0 THEN 'PUT' WHEN 1 THEN 'GET' WHEN 2 THEN 'STATE' ELSE 'FETCH' END AS verb, CASE WHEN event_id % 8 = 1 THEN NULL ELSE event_type END AS topic, CASE WHEN event_id % 4 = 3 THEN 'unknown command' WHEN event_id % 8 = 1 THEN 'GET requires a topic' END AS error, count(*) AS n FROM events GROUP BY ALL")
+def protocol_parse(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 4
+    line = F.when(k == 0, F.concat(F.lit("PUT "), "event_type", F.lit(" a  b "), "props")).when(F.col("event_id") % 8 == 1, F.lit("GET  \n")).when(k == 1, F.concat(F.lit("GET "), "event_type", F.lit("\n"))).when(k == 2, F.concat(F.lit("STATE "), "event_type")).otherwise(F.concat(F.lit("FETCH "), "event_type"))
+    return routing.parse_commands(e.select(line.alias("line"))).groupBy("verb", "topic", "error").agg(F.count("*").alias("n"))
+
+
+@query("frame_codec", "SELECT url AS line, strlen(url) AS n, true AS ok FROM pages GROUP BY url")
+def frame_codec(spark, sf_dir):
+    framed = table(spark, sf_dir, "pages").select(F.col("url").alias("line")).distinct().withColumn("f", S.frame(F.col("line")))
+    return framed.select("line", S.frame_length(F.col("f")).alias("n"), S.frame_ok(F.col("f")).alias("ok"))
+
+
+@query("response_codec", "SELECT event_type AS message, 'OK ' || event_type AS line, 'ok' AS kind, event_type AS parsed FROM events GROUP BY event_type")
+def response_codec(spark, sf_dir):
+    m = table(spark, sf_dir, "events").select(F.col("event_type").alias("message")).distinct().withColumn("line", S.response(F.lit("ok"), F.col("message")))
+    p = S.parse_response(F.col("line"))
+    return m.select("message", "line", p["kind"].alias("kind"), p["message"].alias("parsed"))
+
+
+@query("text_parsers", "SELECT * FROM (VALUES ('30s', 30, NULL), ('2m', 120, NULL), ('1h', 3600, NULL), ('45', 45, 45), ('sync-each', NULL, 0), ('no-fsync', NULL, -1), ('async', NULL, 1000), ('200ms', NULL, 200), ('x', NULL, NULL)) AS t(text, seconds, flush_ms)")
+def text_parsers(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in ("30s", "2m", "1h", "45", "sync-each", "no-fsync", "async", "200ms", "x")], "text string")
+    return rows.select("text", S.duration_seconds(F.col("text")).cast("int").alias("seconds"), S.fsync_mode(F.col("text")).cast("int").alias("flush_ms"))
+
+
+@query("initial_leader", f"SELECT DISTINCT event_type AS topic, {_init('event_type')}::BIGINT AS leader, event_type || '_' || printf('%016x', {_fnv('event_type')}) AS instance FROM events")
+def initial_leader(spark, sf_dir):
+    topics = table(spark, sf_dir, "events").select(F.col("event_type").alias("topic")).distinct()
+    return topics.select("topic", S.initial_leader(F.col("topic"), NODES).alias("leader"), S.instance_key(F.col("topic")).alias("instance"))
+
+
+@query("sha_verify", "SELECT doc_id, sha256(text) AS sha FROM documents")
+def sha_verify(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+
+
+# -- metrics -----------------------------------------------------------------
+
+
+@query("rate_series", "WITH c AS (SELECT date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1) SELECT bucket, n, n - lag(n) OVER (ORDER BY bucket) AS delta FROM c")
+def rate_series(spark, sf_dir):
+    return metrics.rate_series(table(spark, sf_dir, "events"), "ts", "hour")
+
+
+_HIST = "h AS (SELECT CASE WHEN n_chars < 4 THEN n_chars ELSE 4 + 4 * (length(bin(n_chars)) - 3) + ((n_chars >> (length(bin(n_chars)) - 3)::BIGINT) & 3) END AS bucket, count(*) AS n FROM documents GROUP BY 1)"
+
+
+@query("loghist", f"WITH {_HIST} SELECT bucket, n FROM h")
+def loghist(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "documents"), F.col("n_chars"))
+
+
+@query("loghist_pct", f"WITH {_HIST}, u AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS upto, sum(n) OVER () AS total FROM h), p AS (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS p), b AS (SELECT p, min(bucket) AS bucket FROM u, p WHERE upto >= greatest(1, ceil(total * p)) GROUP BY p) SELECT p, CASE WHEN bucket < 4 THEN bucket ELSE (4 + bucket % 4) << ((bucket - 4) // 4) END AS value FROM b")
+def loghist_pct(spark, sf_dir):
+    return metrics.percentiles(metrics.histogram(table(spark, sf_dir, "documents"), F.col("n_chars")))
+
+
+@query("stored_state", f"WITH {_segments(_E, SEGMENT)} SELECT topic, '{{\"current_segment\":' || current || ',\"sealed\":' || (current - 1) * {SEGMENT} || '}}' AS state FROM c")
+def stored_state(spark, sf_dir):
+    current = segments.segment_table(events_log(spark, sf_dir), SEGMENT).groupBy("topic").agg(F.max("segment").alias("current_segment"))
+    return current.select("topic", F.to_json(F.struct("current_segment", ((F.col("current_segment") - 1) * SEGMENT).alias("sealed"))).alias("state"))
