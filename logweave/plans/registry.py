@@ -505,3 +505,30 @@ def loghist_pct(spark, sf_dir):
 def stored_state(spark, sf_dir):
     current = segments.segment_table(events_log(spark, sf_dir), SEGMENT).groupBy("topic").agg(F.max("segment").alias("current_segment"))
     return current.select("topic", F.to_json(F.struct("current_segment", ((F.col("current_segment") - 1) * SEGMENT).alias("sealed"))).alias("state"))
+
+
+# -- streaming ---------------------------------------------------------------
+
+
+@query("stream_tail", "SELECT event_type AS topic, count(*) AS n FROM events GROUP BY event_type")
+def stream_tail(spark, sf_dir):
+    from ..streaming.tail import tail_counts
+
+    schema = table(spark, sf_dir, "events").schema
+    return tail_counts(spark, f"{sf_dir}/events.parquet", schema, "event_type")
+
+
+@query("window_counts", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def window_counts(spark, sf_dir):
+    from ..streaming.tail import windowed_counts
+
+    out = windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "10 minutes")
+    return out.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("session_counts", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, count(DISTINCT s) AS sessions, count(*) AS n FROM y GROUP BY user_id")
+def session_counts(spark, sf_dir):
+    from ..streaming.tail import sessions
+
+    out = sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes", "1 hour")
+    return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
