@@ -507,6 +507,107 @@ def stored_state(spark, sf_dir):
     return current.select("topic", F.to_json(F.struct("current_segment", ((F.col("current_segment") - 1) * SEGMENT).alias("sealed"))).alias("state"))
 
 
+# -- further analytics over recorded events ----------------------------------
+
+
+@query("metadata_replies", "WITH c AS (SELECT o_orderkey AS i, o_orderpriority AS topic, CASE o_orderkey % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'upsert_node' ELSE 'rollover' END AS kind FROM orders), f AS (SELECT topic, min(i) AS since FROM c WHERE kind = 'create' GROUP BY topic) SELECT topic, CASE kind WHEN 'upsert_node' THEN 'NODE' WHEN 'create' THEN CASE WHEN i = since THEN 'CREATED' ELSE 'EXISTS' END ELSE CASE WHEN i > since THEN 'ROLLED' ELSE 'ERR' END END AS reply, count(*) AS n FROM c LEFT JOIN f USING (topic) GROUP BY ALL")
+def metadata_replies(spark, sf_dir):
+    k = F.col("o_orderkey") % 5
+    kind = F.when(k == 0, "create").when(k == 1, "upsert_node").otherwise("rollover")
+    commands = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("log_index"), kind.alias("kind"), F.col("o_orderpriority").alias("topic"), F.lit(10).alias("sealed_count"))
+    return replication.command_results(commands).groupBy("topic", "reply").agg(F.count("*").alias("n"))
+
+
+@query("rpc_timeouts", "SELECT event_id AS id, CASE WHEN event_id % 7 <= 4 THEN ts + to_seconds(event_id % 7) END AS answered FROM events")
+def rpc_timeouts(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts")
+    replies = calls.select("id", (F.col("ts") + F.make_dt_interval(secs=F.col("id") % 7)).alias("ts"))
+    return routing.matched_calls(calls, replies, 4).select("id", "answered")
+
+
+@query("fault_filter", "SELECT count(*) FILTER (WHERE NOT ((a = 0 AND b = 1) OR (a = 2 AND b = 3))) AS delivered, count(*) FILTER (WHERE (a = 0 AND b = 1) OR (a = 2 AND b = 3)) AS dropped FROM (SELECT least(user_id % 5, event_id % 5) AS a, greatest(user_id % 5, event_id % 5) AS b FROM events)")
+def fault_filter(spark, sf_dir):
+    messages = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("src"), (F.col("event_id") % 5).alias("dst"))
+    cut = spark.createDataFrame([(1, 0), (2, 3)], "src bigint, dst bigint")
+    kept, gone = routing.dropped(messages, cut)
+    return kept.agg(F.count("*").alias("delivered")).crossJoin(gone.agg(F.count("*").alias("dropped")))
+
+
+@query("vote_grants", "SELECT user_id AS node, count(*) FILTER (WHERE event_id % 3 <> 0 AND event_id % 11 >= 5 AND event_id % 13 >= 6) AS granted FROM events GROUP BY user_id")
+def vote_grants(spark, sf_dir):
+    i = F.col("event_id")
+    ok = replication.vote_granted(i % 3 == 0, i % 11, F.lit(5), i % 13, F.lit(6))
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node")).agg(F.count_if(ok).alias("granted"))
+
+
+@query("first_true", "SELECT user_id AS node, min(ts) AS first_ts FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def first_true(spark, sf_dir):
+    samples = table(spark, sf_dir, "events").withColumnRenamed("user_id", "node")
+    return replication.first_time(samples, ["node"], "ts", F.col("event_type") == "purchase")
+
+
+@query("kv_snapshot", ORACLES["kv_lww"])
+def kv_snapshot(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "DELETE").otherwise("SET")
+    commands = e.select(op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value"), F.col("event_id").alias("seq"))
+    upto = 4000
+    return replication.with_snapshot(replication.materialize(commands.where(F.col("seq") <= upto)), commands, upto)
+
+
+_SAMPLED = "s AS (SELECT event_type AS system, date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY ALL), c AS (SELECT system, bucket, CAST(sum(n) OVER (PARTITION BY system ORDER BY bucket) AS BIGINT) AS total, row_number() OVER (PARTITION BY system ORDER BY bucket) * 0.5::DOUBLE AS elapsed FROM s), r AS (SELECT *, (total - lag(total) OVER (PARTITION BY system ORDER BY bucket)) / 0.5::DOUBLE AS rate FROM c)"
+
+
+def _sampled(spark, sf_dir):
+    from pyspark.sql import Window
+
+    hours = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("system"), F.date_trunc("hour", "ts").alias("bucket")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("system").orderBy("bucket")
+    return metrics.rates(hours.select("system", "bucket", F.sum("n").over(w).alias("total"), (F.row_number().over(w) * 0.5).cast("double").alias("elapsed")), ["system"], "bucket", "total")
+
+
+@query("sample_rates", f"WITH {_SAMPLED} SELECT system, bucket, total, rate FROM r")
+def sample_rates(spark, sf_dir):
+    return _sampled(spark, sf_dir).select("system", "bucket", "total", "rate")
+
+
+@query("bench_totals", f"WITH {_SAMPLED} SELECT system, max(total) AS total, max(total) / max(elapsed) AS avg_rate, max(rate) AS max_rate FROM r GROUP BY system")
+def bench_totals(spark, sf_dir):
+    return metrics.totals(_sampled(spark, sf_dir), ["system"], "total", "elapsed", "rate")
+
+
+@query("read_from_offset", f"WITH {_OFFSETS}, q AS (SELECT topic, max(end_off) // 2 AS req FROM m GROUP BY topic) SELECT q.topic, req, count(*) AS n, CAST(sum(len - greatest(least(req - start_off - 256, len), 0)) AS BIGINT) AS bytes FROM q JOIN m ON m.topic = q.topic AND end_off > req GROUP BY ALL")
+def read_from_offset(spark, sf_dir):
+    offsets = logs.offset_map(events_log(spark, sf_dir))
+    asked = offsets.groupBy("topic").agg(F.floor(F.max("end_off") / 2).cast("bigint").alias("req"))
+    return logs.read_from(offsets, asked).groupBy("topic", "req").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
+
+
+@query("entry_limits", "SELECT source AS topic, count(*) FILTER (WHERE strlen(text) + 256 <= 1073741824) AS ok, CAST(sum(((strlen(text) + 256 + 1023) // 1024) * 1024) AS BIGINT) AS allocated FROM documents GROUP BY source")
+def entry_limits(spark, sf_dir):
+    size = F.octet_length("text").cast("bigint")
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("topic")).agg(F.count_if(logs.entry_ok(size)).alias("ok"), F.sum(S.allocation(S.footprint(size), 1024)).alias("allocated"))
+
+
+@query("voter_sets", "WITH v AS (SELECT DISTINCT user_id % 9 AS node, event_id % 2 AS config FROM events WHERE user_id % 9 < 6), n AS (SELECT DISTINCT user_id % 9 AS node FROM events) SELECT n.node, n.node IN (SELECT node FROM v) AS voter FROM n")
+def voter_sets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("node"), (F.col("event_id") % 2).alias("config")).distinct()
+    voters = e.where("node < 6 AND config = 0").select("node").union(e.where("node < 6 AND config = 1").select("node")).distinct()
+    return e.select("node").distinct().join(voters.withColumn("voter", F.lit(True)), "node", "left").fillna(False, ["voter"])
+
+
+@query("cursor_index", "SELECT user_id AS topic, arg_max(event_id % 1000, event_id) AS cursor FROM events GROUP BY user_id")
+def cursor_index(spark, sf_dir):
+    updates = table(spark, sf_dir, "events")
+    return updates.groupBy(F.col("user_id").alias("topic")).agg(F.max_by(F.col("event_id") % 1000, "event_id").alias("cursor"))
+
+
+@query("peer_ids", "SELECT DISTINCT user_id AS port, CASE WHEN user_id % 10 <> 0 THEN user_id % 10 END AS peer FROM events")
+def peer_ids(spark, sf_dir):
+    ports = table(spark, sf_dir, "events").select(F.col("user_id").alias("port")).distinct()
+    return ports.select("port", S.peer_id(F.col("port")).alias("peer"))
+
+
 # -- streaming ---------------------------------------------------------------
 
 
