@@ -129,7 +129,8 @@ class _Tree:
         close(1)
         self.last[0] = len(self.tag) - 1
 
-    def densities(self) -> tuple[list[float], list[float]]:
+    def densities(self) -> tuple[list[float], list[float], list[bool]]:
+        """Density and density sum of each element, and whether most of its characters are linked."""
         n = len(self.tag)
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         linked = [False] * n
@@ -161,7 +162,7 @@ class _Tree:
         for e in range(n):
             if not total[e]:
                 total[e] = density[e]
-        return density, total
+        return density, total, [2 * x > c for x, c in zip(links, chars, strict=True)]
 
 
 def main_text(page: str | None) -> str:
@@ -170,12 +171,12 @@ def main_text(page: str | None) -> str:
         return ""
     tree = _Tree(page)
     n = len(tree.tag)
-    density, total = tree.densities()
+    density, total, linked = tree.densities()
     clear = [e for e in range(n) if not tree.noise[e] and density[e] > 0]
     if not clear:
         return ""
     root = next((e for e in clear if tree.tag[e] == "body"), 0)
-    core = max(clear, key=lambda e: (total[e], -e))
+    core = max(clear, key=lambda e: (not linked[e], total[e], -e))
     threshold, e = density[core], core
     while e > 0:
         threshold = min(threshold, density[e])
@@ -187,7 +188,7 @@ def main_text(page: str | None) -> str:
         p = tree.parent[e]
         if not tree.noise[e] and total[best[e]] > total[best[p]]:
             best[p] = best[e]
-    chosen = {best[e] for e in clear if e not in (0, root) and density[e] >= threshold} | {core}
+    chosen = {best[e] for e in clear if e not in (0, root) and density[e] >= threshold and not linked[e] and not linked[best[e]]} | {core}
     outer, e = None, core  # an article or main element around the core is the article's own border
     while e > 0:
         if tree.tag[e] in MAIN:
