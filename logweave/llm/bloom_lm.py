@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_count, checkpoint
+from .cluster import bucket_count, checkpoint, releasing, small_batches
 from .textnum import chunks, find_words, mix64
 
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
-FLUSH_TOKENS = 1_500_000
+FLUSH_TOKENS = 1_000_000
 STEP = 1.5  # ratio of neighbouring quantised counts
 LEAST = 2  # smallest count that is entered
 PROBES = 4
@@ -134,7 +134,7 @@ def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
             hashes, counts = hashes[keep], counts[keep]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(hashes)], pa.int32()), "hashes": pa.array([hashes.tobytes()], pa.binary()), "counts": pa.array([_pack(counts, "<i8")], pa.binary()), "total": pa.array([total], pa.int64())})
 
-    return texts.select("text").mapInArrow(share, schema).groupBy("bucket").applyInArrow(merge, schema)
+    return texts.select("text").mapInArrow(releasing(share), schema).groupBy("bucket").applyInArrow(merge, schema)
 
 
 def _grams(batch: pa.RecordBatch):
@@ -298,7 +298,7 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 2
                     total[:, k] += np.bincount(group, weights=np.log10(w * ratio + 1 - w), minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(LEVELS), len(GRID))), pa.array(np.tile(np.arange(len(GRID)), LEVELS)), pa.array(total.ravel())], ["level", "weight", "gain"])
 
-    found = texts.select("text").mapInArrow(gain, "level bigint, weight bigint, gain double").groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect()
+    found = texts.select("text").mapInArrow(releasing(gain), "level bigint, weight bigint, gain double").groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect()
     table = np.zeros((LEVELS, len(GRID)))
     for r in found:
         table[r.level, r.weight] = r.gain
@@ -328,6 +328,7 @@ def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20
     Exact counts of the `frequent_words` most frequent words travel with the
     model; those of all rarer words are joined to the rare tokens by hash.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), in_part(F.col("doc_id"), 10, 0).alias("held_out"))
     model, packed = train(rows.where(~F.col("held_out")), bits, max_filter_bytes, frequent_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -353,7 +354,7 @@ def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20
                 columns = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(pair, begin)), pa.ListArray.from_arrays(pa.array(edges), asked)]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "pair", "rare"])
 
-    done = rows.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+    done = rows.select("doc_id", "text", "held_out").mapInArrow(releasing(run), schema)
     if not model.complete:
         done = _with_rare(done, packed, model)
     return done.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("pair").alias("score"))

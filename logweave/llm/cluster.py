@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches be bounded by bytes too, so that long texts do not add up to large ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(key, None)
+    if have is None or not have.isdigit() or int(have) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system; Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return  # another C library, which has its own ways
+
+
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A map function over batches that releases memory when its task has ended."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and read them from there on.

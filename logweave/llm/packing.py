@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cluster import releasing, small_batches
+
 BATCH_WINDOWS = 256
 
 # Texts of these characters split alike in every regular-expression library: no
@@ -232,5 +234,6 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         if held:
             yield emit()
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
+    return plain.mapInArrow(releasing(run), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_count, checkpoint
+from .cluster import bucket_count, checkpoint, releasing, small_batches
 from .components import connected, connected_local
 from .textnum import chunks, find_words, mix64, windows, within_texts
 
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
             made = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(run), "doc_id bigint, fp bigint")
 
 
 def _ring(segments: int, budget: int) -> tuple[list[int], int]:
@@ -169,6 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
     keep their fingerprint but link nothing and have a null component.  Repeated
     rows are returned as often as they come; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     marked = checkpoint(fingerprints(docs, shingle, seed))
     classes = marked.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = connected(links(classes, budget))
@@ -221,7 +222,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(edges, pa.array(bands.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64)), lists], ["doc_id", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id bigint, fp bigint, bands array<bigint>")
+    return docs.mapInArrow(releasing(run), "doc_id bigint, fp bigint, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -247,10 +248,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
                     good[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], ["a", "b"])
 
-    made = docs.mapInArrow(sets, "id bigint, shingles binary")
+    made = docs.mapInArrow(releasing(sets), "id bigint, shingles binary")
     one = made.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     two = made.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(check, "a bigint, b bigint")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(releasing(check), "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
@@ -264,6 +265,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     without words, null ones included, are copies of each other.  Rows with a
     null doc_id are left out; rows that share one are one text, any of them.
     """
+    small_batches(docs.sparkSession)
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = checkpoint(_sketches(texts, shingle))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))

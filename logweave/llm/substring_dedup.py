@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import bucket_count
+from .cluster import bucket_count, releasing, small_batches
 from .textnum import chunks, find_words, mix64, windows, within_texts
 
 SEGMENTS = 64
-FLUSH_WINDOWS = 2_000_000
+FLUSH_WINDOWS = 1_000_000
 NO_ID = np.iinfo(np.int64).min
 _SALTS = (np.uint64(0), np.uint64(0x9FB21C651E98DF25))
 
@@ -106,7 +106,7 @@ def _sketch(texts: DataFrame, width: int, bits: int) -> np.ndarray:
                 twice[unpack_sorted(t.as_py())] = True
         yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    shares = texts.select("text").mapInArrow(share, "part int, once binary, twice binary")
+    shares = texts.select("text").mapInArrow(releasing(share), "part int, once binary, twice binary")
     merged = np.zeros((len(_SALTS) * SEGMENTS, (1 << part_bits) // 8), dtype=np.uint8)
     for part, packed in shares.groupBy("part").applyInArrow(merge, "part int, bits binary").toLocalIterator():
         merged[part] = np.frombuffer(packed, dtype=np.uint8)
@@ -219,7 +219,7 @@ def _marks(texts: DataFrame, width: int, sketch: np.ndarray, bits: int, buckets:
         if len(doc):
             yield from _packed_rows(np.mod(doc, buckets).astype(np.int32), buckets, doc, pos)
 
-    return texts.select("doc_id", "text").mapInArrow(candidates, _PACKED).groupBy("bucket").applyInArrow(decide, _PACKED).select("bucket", "n", "one", "two", "doc", "pos")
+    return texts.select("doc_id", "text").mapInArrow(releasing(candidates), _PACKED).groupBy("bucket").applyInArrow(decide, _PACKED).select("bucket", "n", "one", "two", "doc", "pos")
 
 
 def kept_words(texts: pa.Array, rows_of: dict[int, np.ndarray], width: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -260,6 +260,7 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_sketch_bits: int = 30
     document's marks.  A null doc_id counts as the smallest id.  An empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     names = ("n_words", "n_removed", "kept")
     keep = [c for c in docs.columns if c not in names]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom_lm import in_part
+from .cluster import releasing, small_batches
 
 WINDOW, STRIDE = 24, 16
 LETTERS, PIECE = 320, 16  # character codes; a longer word is read in pieces
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 FIT_STEPS = 60  # updates a round at least, where the texts are few
 _SHELL = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -395,6 +396,7 @@ def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
     named like `column` is replaced.  Equal texts score equally up to rounding;
     an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     keep = [f for f in docs.schema if f.name != column]
     places = [docs.columns.index(f.name) for f in keep]
     at = docs.columns.index("text")
@@ -407,5 +409,6 @@ def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
                 piece = batch.slice(a, 128)
                 made = pa.array(model.scores(piece.column(at).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(piece.column(i) for i in places), made], [*(f.name for f in keep), column])
+        model.forget()
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(releasing(run), T.StructType([*keep, T.StructField(column, T.DoubleType())]))

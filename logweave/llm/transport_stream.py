@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .cluster import releasing, small_batches
+
 PACKET, BODY = 188, 184
 SYNC = 0x47
 PAT_PID, PMT_PID, DATA_PID = 0x0000, 0x1000, 0x0100
@@ -230,7 +232,8 @@ def encode(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame
             columns = [batch.column(i) for i in places]
             yield pa.RecordBatch.from_arrays([*columns, made], [*(f.name for f in keep), media])
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(releasing(run), schema)
 
 
 DECODED = T.StructType(
@@ -275,4 +278,5 @@ def decode(df: DataFrame, media: str = "media") -> DataFrame:
             columns = [batch.column(i) for i in places]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(list(v), k) for v, k in zip(made, kinds, strict=True))], schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(releasing(run), schema)
