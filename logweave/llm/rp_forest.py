@@ -95,7 +95,7 @@ class Forest:
             out[:, t] = tree.leaf[at]
         return out
 
-    def search(self, point: np.ndarray, enough: int) -> list[tuple[int, int]]:
+    def search(self, point: np.ndarray, enough: float) -> list[tuple[int, int]]:
         """(tree, leaf) pairs, most promising first, until they hold `enough` sample points."""
         margins = [tree.normals @ point - tree.offsets for tree in self.trees]
         queue = [(0.0, t, 0) for t in range(len(self.trees))]
@@ -130,9 +130,10 @@ def nearest(
     vector_column: str = "embedding",
     k: int = 10,
     every: int = 100,
-    trees: int = 12,
-    leaf_size: int = 96,
-    enough: int = 6000,
+    trees: int = 24,
+    leaf_size: int = 64,
+    enough: float = 0.65,
+    at_least: int = 2_000,
     sample_rows: int = 20_000,
     block: int = 20_000,
     seed: int = 7,
@@ -149,11 +150,15 @@ def nearest(
     gives an empty result.
 
     The forest is fitted on at most `sample_rows` rows, the ones with the
-    smallest id hashes; all rows are indexed and searched.
+    smallest id hashes; all rows are indexed and searched.  A query visits leaves
+    until they hold `enough` times as many points as the sample has, and
+    `at_least` so many, a point counting once for each tree that finds it.
     """
     empty = "query_id long, rank int, vec_id long, score double"
+    # vectors travel in the width they came in; distances are taken in double precision
+    kind = "float" if embeddings.schema[vector_column].dataType.elementType.simpleString() == "float" else "double"
     spark = embeddings.sparkSession
-    rows = _usable(embeddings.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast("array<double>").alias("vector")))
+    rows = _usable(embeddings.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector_column).cast(f"array<{kind}>").alias("vector")))
     sample = rows.select("vector").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()["vector"].to_list()
     if not sample:
         return spark.createDataFrame([], empty)
@@ -162,6 +167,7 @@ def nearest(
     points = np.unique(np.array([v for v in sample if len(v) == dimension], dtype=np.float32), axis=0)
     forest = Forest.fit(points, trees, leaf_size, seed)
     shared = spark.sparkContext.broadcast(forest)
+    wanted_points = max(enough * len(points), at_least)
     rows = rows.where(F.size("vector") == dimension)
     first = Window.partitionBy("vector").orderBy("id")
     points = checkpoint(rows.select("id", F.col("vector")).distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).select("id", "vector"))
@@ -177,13 +183,13 @@ def nearest(
     def probe(batches):
         model = shared.value
         for batch in batches:
-            found = [model.search(q, enough) for q in _matrix(batch.column("vector"), dimension, np.float32)]
+            found = [model.search(q, wanted_points) for q in _matrix(batch.column("vector"), dimension, np.float32)]
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             pairs = np.array([p for f in found for p in f], dtype=np.int32).reshape(-1, 2)
             taken = batch.take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), taken.column("id"), taken.column("vector")], ["tree", "leaf", "id", "vector"])
 
-    schema = "tree int, leaf int, id bigint, vector array<double>"
+    schema = f"tree int, leaf int, id bigint, vector array<{kind}>"
     indexed = points.mapInArrow(index, schema)
     # at most a leaf for every few sample points, so this table is bounded by the sample
     crowded = indexed.groupBy("tree", "leaf").count().where(F.col("count") > block).select("tree", "leaf", F.ceil(F.col("count") / block).cast("int").alias("blocks"))

@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-BANDS, BAND_ROWS = 20, 6  # pairs of similarity 0.8 share a band with probability 0.998
+BANDS, BAND_ROWS = 28, 6  # pairs of similarity 0.8 share a band with probability 0.9998
 
 
 def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -258,9 +258,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     """doc_id and component_id (smallest doc_id linked to it, directly or not) of every row with an id.
 
     Two texts are linked if the sets of their word shingles (A-Z lower-cased)
-    have at least the Jaccard similarity and one is the smallest id under the
-    other's fingerprint or one of its bands, or their fingerprints are linked.
-    Candidates are so at most one a band and text, however large a group is.
+    have at least the Jaccard similarity and one is the smallest or the largest id
+    under the other's fingerprint or one of its bands, or their fingerprints are
+    linked.  Candidates are so at most two a band and text, however large a group is.
     Texts shorter than a shingle compare by their whole word sequence; texts
     without words, null ones included, are copies of each other.  Rows with a
     null doc_id are left out; rows that share one are one text, any of them.
@@ -270,8 +270,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     marked = checkpoint(_sketches(texts, shingle))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     keys = marked.select("doc_id", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("a < top").drop("top")
-    pairs = keys.join(least, ["band", "key"]).where("a < doc_id").select("a", F.col("doc_id").alias("b"))
+    least = keys.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("a < top")
+    ends = keys.join(least, ["band", "key"]).select("doc_id", F.explode(F.array("a", "top")).alias("end"))
+    pairs = ends.where("end <> doc_id").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b"))
     pairs = checkpoint(pairs.unionAll(links(classes, budget)).where("a < b").distinct())
     found = connected(_verified(pairs, texts, shingle, similarity))
     named = marked.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
