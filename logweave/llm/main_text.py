@@ -36,6 +36,8 @@ NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dial
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
+NOISE_STEMS = ("advert", "breadcrumb", "commentlist", "comments", "cookie", "disqus", "gdpr", "navbar", "newsletter", "popup", "sidebar", "sponsor")
+NOISE_ENDS = ("banner", "comments", "footer", "menu", "nav", "sidebar")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 MAIN = frozenset(("article", "main"))
 
@@ -44,6 +46,10 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
+def _is_noise_word(word: str) -> bool:
+    return word in NOISE_WORDS or word + "s" in NOISE_WORDS or word.startswith(NOISE_STEMS) or word.endswith(NOISE_ENDS)
+
+
 def _is_noise(tag: str, raw: str) -> bool:
     if tag in NOISE_TAGS:
         return True
@@ -56,7 +62,7 @@ def _is_noise(tag: str, raw: str) -> bool:
         return True
     if tag in MAIN:
         return bool({w.lower() for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")} & {"comment", "comments", "ad", "advert", "reply"})
-    return any(w.lower() in NOISE_WORDS or w.lower() + "s" in NOISE_WORDS for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}"))
+    return any(_is_noise_word(w.lower()) for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}"))
 
 
 class _Tree:

@@ -20,6 +20,7 @@ LONG = "This sentence stands for an article paragraph and is long enough to carr
         (f"<body><header>H</header><main><section><p>{LONG}</p></section><section><p>short</p></section></main><aside>S</aside>", f"{LONG}\nshort"),
         (f"<div class='cookie-notice'>we use cookies</div><div id=content><p>{LONG}</p><p>{LONG}</p><div class='comments'><p>{LONG} I agree!</p></div></div><form>mail</form>", f"{LONG}\n{LONG}"),
         (f"<article><p>{LONG}</p><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></article>", f"{LONG}\none\ntwo\nc1\nc2"),
+        (f"<div id='cookiebar'>{LONG}</div><div class='topNav'>{LONG}</div><div class='commentary'><p>{LONG}</p></div>", LONG),
         (f"<div class=ad>buy</div><article>{LONG}<!-- a <p>comment</p> --><p hidden>no</p></article>", LONG),
     ],
 )
