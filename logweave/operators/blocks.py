@@ -1,14 +1,25 @@
 """Order-dependent folds: next-fit blocks, read pages, files and what can be reclaimed.
 
-A fold needs the entries of a topic one after another.  Only lengths take part:
-rows are dealt by topic, sorted within partitions (Spark spills the sort), and
-streamed through one Arrow pass that jumps from block to block by binary search
-on running sums.  A task's memory is one Arrow batch whatever a topic's size.
+In a fold the group of an entry depends on all entries of its topic before it.
+But a group that begins at entry i ends where the lengths after i say, whatever
+came before.  So a topic is cut into chunks of entries, in three passes over
+lengths only:
+
+1. each chunk, alone, finds for every place where its first new group may begin
+   which group would be open at its end, and how many groups there are until
+   then (by doubling jumps from group to group);
+2. the chunks of a topic are chained by their short summaries;
+3. each chunk is folded from the state that the chain gives it.
+
+The first and last pass are parallel over chunks, so a topic of any size is
+spread over all tasks; the second one reads a summary of one group's length a
+chunk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,94 +31,182 @@ from ..model import BLOCK_BYTES, FILE_BLOCKS, HEADER_BYTES, MAX_BATCH_ENTRIES
 from ..plans.prefix import running
 
 
-def _folded(log: DataFrame, fold: Callable, names: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
-    """topic, seq, payload_len, `keep` and the columns of a fold that is called with (lengths, state) and gives (columns, state)."""
-    rows = log.select("topic", F.col("seq").cast("bigint").alias("seq"), F.col("payload_len").cast("bigint").alias("payload_len"), *keep)
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+CHUNK_ENTRIES = 1 << 20
 
-    def run(batches):
-        current, state = object(), None
-        for batch in batches:
-            topics = batch.column("topic").dictionary_encode()
-            codes = topics.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            lengths = batch.column("payload_len").fill_null(0).to_numpy(zero_copy_only=False)
-            begin = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else []
-            parts = []
-            for a, b in zip(begin, [*begin[1:], len(codes)], strict=False):
-                name = topics.dictionary[int(codes[a])].as_py() if codes[a] >= 0 else None
-                if name != current:
-                    current, state = name, None
-                made, state = fold(lengths[a:b], state)
-                parts.append(made)
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=np.int64)] * len(names)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], schema.fieldNames())
 
-    return rows.repartition("topic").sortWithinPartitions("topic", "seq").mapInArrow(run, schema)
+@dataclass(frozen=True)
+class Rule:
+    """A greedy grouping: where the group that begins at an entry ends, and the state before a topic's first entry.
+
+    A state is (group number, capacity, used, entries).
+    """
+
+    first: tuple[int, int, int, int]
+    header: int
+    room: int  # largest capacity left after a group's first entry, or before a topic's first entry
+    entries: int  # most entries of a group
+    capacity: Callable[[np.ndarray], np.ndarray]  # of a group by its first entry's size
+
+    def sizes(self, lengths: np.ndarray) -> np.ndarray:
+        return lengths + self.header
+
+    def boundary(self, ends: np.ndarray, state: tuple) -> int:
+        """First entry that does not join the open group."""
+        _, capacity, used, entries = state
+        return min(int(np.searchsorted(ends, capacity - used, side="right")), max(0, self.entries - entries))
 
+    def next_starts(self, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        at = np.arange(len(sizes))
+        stop = np.searchsorted(ends, ends - sizes + self.capacity(sizes), side="right")
+        return np.maximum(np.minimum(stop, at + self.entries), at + 1)
 
-def next_fit(lengths: np.ndarray, state: tuple | None, unit: int, whole_units: bool = True) -> tuple[list[np.ndarray], tuple]:
-    """Block number and offset of each entry; state is (block, its limit, its used bytes).
 
-    An entry that does not fit seals the block and opens one of its own size
-    rounded up to units (or just large enough, without `whole_units`).  The
-    first block of a topic is one unit.
+_NEVER = 1 << 62
+
+
+def block_rule(unit: int, whole_units: bool = True) -> Rule:
+    """Next-fit blocks: an entry that does not fit opens one of its own size rounded up to units.
+
+    Without `whole_units` the new block is just large enough.  A topic's first
+    block is one unit.
     """
-    block, limit, used = state or (0, unit, 0)
-    need = lengths + HEADER_BYTES
-    ends = np.cumsum(need)
-    blocks, offsets = np.empty(len(need), dtype=np.int64), np.empty(len(need), dtype=np.int64)
-    at, before = 0, 0
-    while at < len(need):
-        stop = int(np.searchsorted(ends, before + limit - used, side="right"))
-        if stop > at:
-            blocks[at:stop] = block
-            offsets[at:stop] = used + ends[at:stop] - need[at:stop] - before
-            used += int(ends[stop - 1]) - before
-            before, at = int(ends[stop - 1]), stop
-        if at < len(need):
-            size = int(need[at])
-            block, limit, used = block + 1, -(-size // unit) * unit if whole_units else max(size, unit), 0
-    return [blocks, offsets], (block, limit, used)
-
-
-def pack_blocks(log: DataFrame, unit: int = BLOCK_BYTES, batched: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Add block (0-based per topic) and block_off to each entry; `batched` sizes new blocks as batch appends do."""
-    return _folded(log, lambda x, s: next_fit(x, s, unit, not batched), ("block", "block_off"), keep)
 
+    def capacity(sizes: np.ndarray) -> np.ndarray:
+        return -(-sizes // unit) * unit if whole_units else np.maximum(sizes, unit)
 
-def block_stats(packed: DataFrame) -> DataFrame:
-    """First entry, entries and used bytes of each block."""
-    return packed.groupBy("topic", "block").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.sum(F.col("payload_len") + HEADER_BYTES).alias("used"))
+    return Rule((0, unit, 0, 0), HEADER_BYTES, unit, _NEVER, capacity)
 
 
-def greedy_pages(lengths: np.ndarray, state: tuple | None, max_bytes: int, max_entries: int) -> tuple[list[np.ndarray], tuple]:
-    """Page of each entry; state is (page, its entries, its bytes).
+def page_rule(max_bytes: int, max_entries: int) -> Rule:
+    """Read pages: closed when another entry would pass the budget, unless empty, or when full of entries.
 
-    A page closes when another entry would pass the byte budget, unless it is
-    empty, or when it has `max_entries`.  Headers do not count, and empty
-    payloads are entries like any other.
+    Headers do not count, and empty payloads are entries like any other.
     """
-    page, n, held = state or (0, 0, 0)
-    ends = np.cumsum(lengths)
-    pages = np.empty(len(lengths), dtype=np.int64)
+    return Rule((-1, -1, 0, max_entries), 0, max_bytes, max_entries, lambda sizes: np.full(len(sizes), max_bytes, dtype=np.int64))
+
+
+def fold(lengths: np.ndarray, state: tuple, rule: Rule) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Group and offset in the group of each entry, and the state after them."""
+    sizes = rule.sizes(lengths)
+    ends = np.cumsum(sizes)
+    groups, offsets = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
+    group, capacity, used, entries = state
     at, before = 0, 0
-    while at < len(lengths):
-        stop = min(int(np.searchsorted(ends, before + max_bytes - held, side="right")), at + max_entries - n)
-        if n == 0 and stop <= at:
-            stop = at + 1
+    while at < len(sizes):
+        stop = min(int(np.searchsorted(ends, before + capacity - used, side="right")), at + max(0, rule.entries - entries))
         if stop <= at:
-            page, n, held = page + 1, 0, 0
-            continue
-        pages[at:stop] = page
-        n += stop - at
-        held += int(ends[stop - 1]) - before
+            # the next entry begins a group, and fits it even if it is larger than the group should be
+            group, capacity, used, entries = group + 1, int(rule.capacity(sizes[at : at + 1])[0]), 0, 0
+            stop = max(at + 1, min(int(np.searchsorted(ends, before + capacity, side="right")), at + rule.entries))
+        groups[at:stop] = group
+        offsets[at:stop] = used + ends[at:stop] - sizes[at:stop] - before
+        used += int(ends[stop - 1]) - before
+        entries += stop - at
         before, at = int(ends[stop - 1]), stop
-    return [pages], (page, n, held)
+    return groups, offsets, (group, capacity, used, entries)
+
+
+def summarize(lengths: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
+    """What chaining needs of a chunk: running sizes up to a group's room, and for a first boundary at each of these places the groups and the open group's start and capacity at the end."""
+    sizes = rule.sizes(lengths)
+    ends, n = np.cumsum(sizes), len(sizes)
+    jump = np.append(rule.next_starts(sizes, ends), n)
+    last, count = np.append(np.arange(n), -1), np.append(np.ones(n, dtype=np.int64), 0)
+    while (jump[:n] < n).any():
+        inside = jump < n
+        last = np.where(inside, last[jump], last)
+        count = count + count[jump]
+        jump = jump[jump]
+    k = min(n, int(np.searchsorted(ends, rule.room, side="right")) + 1, rule.entries + 1)
+    start = last[:k]
+    return {"ends": ends[:k], "count": count[:k], "used": ends[-1] - ends[start] + sizes[start], "capacity": rule.capacity(sizes[start]), "entries": n - start}
+
+
+def chain(state: tuple, total: int, n: int, summary: dict[str, np.ndarray], rule: Rule) -> tuple:
+    """State after a chunk of `n` entries and `total` bytes, from the state before it."""
+    j = rule.boundary(summary["ends"], state)
+    group, capacity, used, entries = state
+    if j >= len(summary["ends"]):  # all of a chunk that is no larger than its summary fits
+        return group, capacity, used + total, entries + n
+    return group + int(summary["count"][j]), int(summary["capacity"][j]), int(summary["used"][j]), int(summary["entries"][j])
+
+
+_STATE = ("__group", "__capacity", "__used", "__entries")
+_PARTS = ("ends", "count", "used", "capacity", "entries")
+
+
+def _runs(batch: pa.RecordBatch, columns: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Spans of a batch in which the columns do not change."""
+    change = np.zeros(batch.num_rows, dtype=bool)
+    for c in columns:
+        codes = batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        change[1:] |= codes[1:] != codes[:-1]
+    begin = np.flatnonzero(change).tolist()
+    return list(zip([0, *begin], [*begin, batch.num_rows], strict=True)) if batch.num_rows else []
+
+
+def grouped(log: DataFrame, rule: Rule, names: tuple[str, str], keep: tuple[str, ...] = (), chunk_entries: int = CHUNK_ENTRIES) -> DataFrame:
+    """topic, seq, payload_len, `keep`, and two columns with the group (0-based per topic) and the offset in it."""
+    size = F.coalesce(F.col("payload_len").cast("bigint"), F.lit(0))
+    rows = log.select("topic", F.col("seq").cast("bigint").alias("seq"), size.alias("payload_len"), *keep).withColumn("__chunk", F.floor(F.col("seq") / chunk_entries).cast("bigint"))
+    topic = rows.schema["topic"]
+    binary = [T.StructField(p, T.BinaryType()) for p in _PARTS]
+    told = T.StructType([topic, T.StructField("__chunk", T.LongType()), T.StructField("n", T.LongType()), T.StructField("total", T.LongType()), *binary])
+
+    def summary(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        lengths = table.column("payload_len").to_numpy()
+        made = summarize(lengths, rule)
+        head = [table.column("topic").slice(0, 1), table.column("__chunk").slice(0, 1), pa.array([len(lengths)], pa.int64()), pa.array([int(rule.sizes(lengths).sum())], pa.int64())]
+        return pa.Table.from_arrays([*head, *(pa.array([made[p].astype("<i8").tobytes()], pa.binary()) for p in _PARTS)], told.fieldNames())
+
+    states = T.StructType([topic, T.StructField("__chunk", T.LongType()), *(T.StructField(s, T.LongType()) for s in _STATE)])
+
+    def chained(batches):
+        current, state = object(), rule.first
+        for batch in batches:
+            found = []
+            for name, n, total, *parts in zip(*(batch.column(c).to_pylist() for c in ("topic", "n", "total", *_PARTS)), strict=True):
+                if name != current:
+                    current, state = name, rule.first
+                found.append(state)
+                state = chain(state, total, n, {p: np.frombuffer(x, dtype="<i8") for p, x in zip(_PARTS, parts, strict=True)}, rule)
+            yield pa.RecordBatch.from_arrays([batch.column("topic"), batch.column("__chunk"), *(pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else [[]] * 4))], states.fieldNames())
+
+    chunks = rows.select("topic", "__chunk", "seq", "payload_len").groupBy("topic", "__chunk").applyInArrow(summary, told)
+    before = chunks.repartition("topic").sortWithinPartitions("topic", "__chunk").mapInArrow(chained, states)
+    out = T.StructType([*(f for f in rows.schema.fields if f.name != "__chunk"), *(T.StructField(n, T.LongType()) for n in names)])
+
+    def assign(batches):
+        current, state = object(), None
+        for batch in batches:
+            parts = []
+            for a, b in _runs(batch, ("topic", "__chunk")):
+                key = (batch.column("topic")[a].as_py(), batch.column("__chunk")[a].as_py())
+                if key != current:
+                    current, state = key, tuple(batch.column(s)[a].as_py() for s in _STATE)
+                groups, offsets, state = fold(batch.column("payload_len").slice(a, b - a).to_numpy(), state, rule)
+                parts.append((groups, offsets))
+            made = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0, dtype=np.int64)] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in out.fieldNames()[:-2]), *(pa.array(x, pa.int64()) for x in made)], out.fieldNames())
+
+    joined = rows.alias("l").join(before.alias("r"), F.col("l.topic").eqNullSafe(F.col("r.topic")) & (F.col("l.__chunk") == F.col("r.__chunk"))).select("l.*", *(F.col(f"r.{s}") for s in _STATE))
+    return joined.repartition("topic", "__chunk").sortWithinPartitions("topic", "__chunk", "seq").mapInArrow(assign, out)
+
+
+def pack_blocks(log: DataFrame, unit: int = BLOCK_BYTES, batched: bool = False, keep: tuple[str, ...] = (), chunk_entries: int = CHUNK_ENTRIES) -> DataFrame:
+    """Add block (0-based per topic) and block_off to each entry; `batched` sizes new blocks as batch appends do."""
+    return grouped(log, block_rule(unit, not batched), ("block", "block_off"), keep, chunk_entries)
+
+
+def block_stats(packed: DataFrame) -> DataFrame:
+    """First entry, entries and used bytes of each block."""
+    return packed.groupBy("topic", "block").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.sum(F.col("payload_len") + HEADER_BYTES).alias("used"))
 
 
-def page_reads(log: DataFrame, max_bytes: int, max_entries: int = MAX_BATCH_ENTRIES) -> DataFrame:
+def page_reads(log: DataFrame, max_bytes: int, max_entries: int = MAX_BATCH_ENTRIES, chunk_entries: int = CHUNK_ENTRIES) -> DataFrame:
     """Pages of a reader that drains each topic: first entry, entries and payload bytes."""
-    paged = _folded(log, lambda x, s: greedy_pages(x, s, max_bytes, max_entries), ("page",))
+    paged = grouped(log, page_rule(max_bytes, max_entries), ("page", "page_off"), chunk_entries=chunk_entries)
     return paged.groupBy("topic", "page").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.sum("payload_len").alias("bytes"))
 
 

@@ -36,18 +36,33 @@ def plain_blocks(sizes, unit):
     return out
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 3000), max_size=60), st.integers(1, 5000), st.integers(1, 9), st.integers(0, 60))
-def test_folds_equal_plain_loops(sizes, budget, cap, split):
-    parts = [np.array(sizes[:split], dtype=np.int64), np.array(sizes[split:], dtype=np.int64)]
-    pages, where, a, b = [], [], None, None
-    for p in parts:
-        (x,), a = blocks.greedy_pages(p, a, budget, cap)
-        (y, z), b = blocks.next_fit(p, b, 1024)
-        pages += x.tolist()
-        where += list(zip(y.tolist(), z.tolist(), strict=True))
-    assert pages == plain_pages(sizes, budget, cap)
-    assert where == plain_blocks(sizes, 1024)
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=80), st.integers(1, 5000), st.integers(1, 9), st.integers(1, 40), st.booleans())
+def test_folds_equal_plain_loops(sizes, budget, cap, chunk, paged):
+    rule = blocks.page_rule(budget, cap) if paged else blocks.block_rule(1024)
+    state, groups, offsets = rule.first, [], []
+    for a in range(0, len(sizes), chunk):
+        part = np.array(sizes[a : a + chunk], dtype=np.int64)
+        chained = blocks.chain(state, int(rule.sizes(part).sum()), len(part), blocks.summarize(part, rule), rule)
+        g, o, state = blocks.fold(part, state, rule)
+        assert chained == state
+        groups += g.tolist()
+        offsets += o.tolist()
+    if paged:
+        assert groups == plain_pages(sizes, budget, cap)
+    else:
+        assert list(zip(groups, offsets, strict=True)) == plain_blocks(sizes, 1024)
+
+
+def test_chunked_topics(spark):
+    rng = random.Random(6)
+    sizes = {t: [rng.randrange(0, 3000) for _ in range(rng.randrange(1, 300))] for t in ("a", "b", None)}
+    rows = [(t, i, n) for t, v in sizes.items() for i, n in enumerate(v)]
+    log = spark.createDataFrame(rows, "topic string, seq bigint, payload_len bigint").repartition(3)
+    got = {(r.topic, r.seq): (r.block, r.block_off) for r in blocks.pack_blocks(log, 4096, chunk_entries=16).collect()}
+    assert got == {(t, i): x for t, v in sizes.items() for i, x in enumerate(plain_blocks(v, 4096))}
+    pages = {(r.topic, r.page): r.n for r in blocks.page_reads(log, 5000, 4, chunk_entries=16).collect()}
+    assert pages == {(t, p): plain_pages(v, 5000, 4).count(p) for t, v in sizes.items() for p in plain_pages(v, 5000, 4)}
 
 
 def pages_of(spark, sizes, budget, cap=2000):
