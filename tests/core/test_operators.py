@@ -219,3 +219,13 @@ def test_histogram_percentiles(spark):
     hist = metrics.histogram(spark.createDataFrame([(v,) for v in values], "v bigint"), F.col("v"))
     assert [(r.p, r.value) for r in metrics.percentiles(hist).collect()] == [(0.5, 3), (0.9, 896), (0.99, 896)]
     assert [r.value for r in metrics.percentiles(hist.where("false")).collect()] == [0, 0, 0]
+
+
+def test_sample_files(spark, tmp_path):
+    for kind, head, row in (("scaling", "threads,throughput", "4,12.5"), ("writes", "timestamp,elapsed_seconds,writes_per_second,bytes_per_second,total_writes,total_bytes,dirty_pages_kb,dirty_ratio_percent", "1,0.5,10,100,5,50,0,0.0")):
+        path = tmp_path / f"{kind}.csv"
+        path.write_text(f"{head}\n{row}\n")
+        got = metrics.read_samples(spark, str(path), kind)
+        assert got.count() == 1 and got.columns == head.split(",")
+    series = spark.createDataFrame([("a", 1, 0), ("a", 2, 5), ("a", 3, 15)], "s string, t bigint, total bigint")
+    assert [r.rate for r in metrics.rates(series, ["s"], "t", "total").orderBy("t").collect()] == [None, 10.0, 20.0]
