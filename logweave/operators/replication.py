@@ -129,6 +129,30 @@ def purge_upto(snapshot: Column, purged: Column, keep: int = 1000, batch: int =
     return F.when(end >= F.coalesce(purged, F.lit(-1)) + 1 + batch, end - 1)
 
 
+def purge_requested(index: Column, snapshot: Column) -> Column:
+    """A manual purge goes no further than the snapshot, and does nothing without one."""
+    return F.when(snapshot.isNotNull(), F.least(index, snapshot))
+
+
+def snapshots_taken(applied: Column, every: int = 5000) -> Column:
+    return F.floor(applied / every).cast("bigint")
+
+
+def read_index(noop: Column, committed: Column) -> Column:
+    """Position a linearizable read must wait for: the leader's own first entry or what is committed, if later."""
+    return F.greatest(noop, F.coalesce(committed, noop))
+
+
+def invalid_voters(voters: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Voters (config, node) without an address; a membership is valid only if there are none."""
+    return voters.join(nodes.select("node"), "node", "left_anti")
+
+
+def metrics_record(line: Column) -> Column:
+    """A node's metrics from their JSON text."""
+    return F.from_json(line, "id bigint, current_term bigint, last_log_index bigint, last_applied bigint, snapshot bigint, purged bigint, state string, current_leader bigint, millis_since_quorum_ack bigint")
+
+
 def joint_step(current: Column, target: Column) -> Column:
     """Configs of the next membership: straight to the target if it is one of the current ones, else both."""
     return F.when(F.array_contains(current, target), F.array(target)).otherwise(F.array(F.element_at(current, -1), target))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,28 @@ def with_open(segments: DataFrame) -> DataFrame:
     return segments.join(segments.groupBy("topic").agg(F.max("segment").alias("current")), "topic")
 
 
+def tick_rollover(log: DataFrame, ts: str, tick: str, size: int) -> DataFrame:
+    """Segments of topics that are only looked at once a tick: one is sealed at the first tick that finds `size` entries or more.
+
+    Entries are counted by tick before they are folded, so a topic's group holds
+    one row a tick, and grows with time rather than with traffic.
+    """
+    counts = log.groupBy("topic", F.window(ts, tick).start.alias("tick")).agg(F.count("*").alias("n"))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tick")
+        segment, held, out = 1, 0, []
+        for n in pdf["n"].tolist():
+            if held >= size:
+                segment, held = segment + 1, 0
+            held += n
+            out.append(segment)
+        return pd.DataFrame({"topic": pdf["topic"], "segment": out, "n": pdf["n"]})
+
+    topic = log.schema["topic"].dataType.simpleString()
+    return counts.groupBy("topic").applyInPandas(fold, f"topic {topic}, segment bigint, n bigint").groupBy("topic", "segment").agg(F.sum("n").alias("n"))
+
+
 def leader_of(topic: Column, segment: Column, nodes: int) -> Column:
     """Leaders take turns: each rollover passes the topic to the next node (1-based)."""
     return (F.pmod(initial_leader(topic, nodes) + segment - 1, F.lit(nodes)) + 1).cast("bigint")

@@ -608,6 +608,43 @@ def peer_ids(spark, sf_dir):
     return ports.select("port", S.peer_id(F.col("port")).alias("peer"))
 
 
+@query("monitor_rollover", "WITH RECURSIVE h AS (SELECT event_type AS topic, date_trunc('hour', ts) AS tick, count(*) AS n FROM events GROUP BY ALL), t AS (SELECT topic, n, row_number() OVER (PARTITION BY topic ORDER BY tick) AS rn FROM h), f AS (SELECT DISTINCT topic, 0::BIGINT AS rn, 1::BIGINT AS segment, 0::BIGINT AS held, 0::BIGINT AS n FROM t UNION ALL SELECT t.topic, t.rn, CASE WHEN f.held >= 20 THEN f.segment + 1 ELSE f.segment END, CASE WHEN f.held >= 20 THEN t.n ELSE f.held + t.n END, t.n FROM f JOIN t ON t.topic = f.topic AND t.rn = f.rn + 1) SELECT topic, segment, CAST(sum(n) AS BIGINT) AS n FROM f WHERE rn > 0 GROUP BY topic, segment")
+def monitor_rollover(spark, sf_dir):
+    return segments.tick_rollover(events_log(spark, sf_dir), "ts", "1 hour", 20)
+
+
+@query("raft_arithmetic", f"WITH {_PROGRESS} SELECT grp, node, least(matched, 9000) AS purge_to, matched // 5000 AS snapshots, greatest(100, matched - 40) AS read_at FROM p")
+def raft_arithmetic(spark, sf_dir):
+    m = F.col("matched")
+    return _progress(spark, sf_dir).select("grp", "node", replication.purge_requested(m, F.lit(9000).cast("bigint")).alias("purge_to"), replication.snapshots_taken(m).alias("snapshots"), replication.read_index(F.lit(100).cast("bigint"), m - 40).alias("read_at"))
+
+
+@query("membership_valid", "SELECT DISTINCT user_id % 9 AS node, event_id % 2 AS config FROM events WHERE user_id % 9 > 6")
+def membership_valid(spark, sf_dir):
+    voters = table(spark, sf_dir, "events").select((F.col("user_id") % 9).alias("node"), (F.col("event_id") % 2).alias("config")).distinct()
+    return replication.invalid_voters(voters, spark.range(7).withColumnRenamed("id", "node"))
+
+
+@query("node_metrics", "SELECT user_id AS id, max(event_id) AS last_log_index FROM events GROUP BY user_id")
+def node_metrics(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("m")).select(F.to_json(F.struct(F.col("user_id").alias("id"), F.col("m").alias("last_log_index"), F.lit("Leader").alias("state"))).alias("line"))
+    return lines.select(replication.metrics_record(F.col("line")).alias("r")).select("r.id", "r.last_log_index")
+
+
+@query("value_formats", "SELECT * FROM (VALUES (12, '12', '12B/s'), (3400, '3.4K', '3.4KB/s'), (1234567, '1.2M', '1.2MB/s'), (1040000000, '1040.0M', '1.0GB/s')) AS t(v, short, rate)")
+def value_formats(spark, sf_dir):
+    rows = spark.createDataFrame([(12,), (3400,), (1234567,), (1040000000,)], "v int")
+    return rows.select("v", S.short_number(F.col("v")).alias("short"), S.bandwidth(F.col("v")).alias("rate"))
+
+
+@query("payload_heads", "SELECT event_id, event_id % 200 AS topic_index, event_id // 200 AS chunk_index, 'a' || chr(65533) || 'b' AS text FROM events")
+def payload_heads(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id")
+    head = F.concat(F.lpad(F.hex(F.col("event_id") % 200), 2, "0"), F.lpad(F.hex(F.floor(F.col("event_id") / 200)), 16, "0"), F.lit("61FF62"))
+    ids = S.payload_ids(F.col("p"))
+    return e.withColumn("p", F.unhex(head)).select("event_id", ids["topic_index"].alias("topic_index"), ids["chunk_index"].cast("bigint").alias("chunk_index"), S.lossy_text(F.expr("substring(p, 10, 3)")).alias("text"))
+
+
 # -- streaming ---------------------------------------------------------------
 
 
