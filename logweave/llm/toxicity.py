@@ -196,12 +196,12 @@ class Network:
     def places(self, words: list[str]) -> np.ndarray:
         """Rows of the word table, new words added; the table starts anew when it is full."""
         known = self._known
-        fresh = list({w for w in words if w not in known})
+        fresh = list(dict.fromkeys(w for w in words if w not in known))
         if fresh:
             if known and len(known) + len(fresh) > CACHE_WORDS:
                 known.clear()
                 self._table = None
-                fresh = list(set(words))
+                fresh = list(dict.fromkeys(words))
             gates = self.word_gates(fresh)
             begin = len(known)
             if self._table is None or begin + len(fresh) > self._table.shape[1]:
