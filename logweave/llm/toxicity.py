@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bloom_lm import in_part
-from .cluster import releasing, small_batches
+from .cluster import release_memory, releasing, small_batches
 
 WINDOW, STRIDE = 24, 16
 LETTERS, PIECE = 320, 16  # character codes; a longer word is read in pieces
@@ -239,6 +239,10 @@ class Network:
         parts = np.split(logits, np.cumsum([len(s) for s in starts])[:-1])
         return np.array([p.max() for p in parts]), parts
 
+    def all_windows(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Window logits of each of many texts, a few at a time."""
+        return [p for a in range(0, len(texts), 128) for p in self.text_logits(texts[a : a + 128])[1]]
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.scale
         return 1 / (1 + np.exp(-np.clip(a * self.text_logits(texts)[0].astype(np.float64) + b, -60, 60)))
@@ -347,7 +351,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float, seed: int = 3,
         told = plain
         if k:
             net.forget()
-            told = net.text_logits([texts[i] for i in learn])[1]
+            told = net.all_windows([texts[i] for i in learn])
         chosen: list[tuple[list[str], float]] = []
         for i, words, network in zip(learn, plain, told, strict=True):
             if y[i]:
@@ -365,7 +369,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float, seed: int = 3,
                 trainer.update([chosen[j][0] for j in some], target[some], balance[some], forget=0.4)
     net.forget()
     check = np.flatnonzero(held) if 0 < y[held].sum() < held.sum() else np.arange(len(y))
-    x = net.text_logits([texts[i] for i in check])[0].astype(np.float64)
+    x = np.array([p.max() for p in net.all_windows([texts[i] for i in check])], dtype=np.float64)
     share = y[check].mean()
     w = np.where(y[check] == 1, prior / share, (1 - prior) / (1 - share))
     net.scale = _platt(x, y[check].astype(np.float64), w)
@@ -386,7 +390,9 @@ def sample_labels(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[li
 
 def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, seed: int = 3) -> Network:
     rows, share = sample_labels(docs, labels, fit_rows)
-    return fit([r[1] for r in rows], [r[2] for r in rows], min(max(share, 0.001), 0.999), seed)
+    net = fit([r[1] for r in rows], [r[2] for r in rows], min(max(share, 0.001), 0.999), seed)
+    release_memory()
+    return net
 
 
 def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
