@@ -16,7 +16,10 @@ matches leave the task as a forest, never as all its pairs.
 Few bits of a fingerprint cannot say that (at 0.8 and five words half of the
 pairs differ in nine bits of 64 or more, and no ring of segments is selective
 for so many), so there min-hash bands find further candidates, and each
-candidate pair is checked exactly on its shingle sets.
+candidate pair is checked exactly on its shingle sets.  Texts with equal sets
+count as one.  All members of a band are first compared with its two ends; the
+pairs that are left are those of members which no link joins yet, and they are
+compared in blocks, whose links leave the task as a forest.
 """
 
 from __future__ import annotations
@@ -179,6 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: in
 
 
 BANDS, BAND_ROWS = 28, 6  # pairs of similarity 0.8 share a band with probability 0.9998
+SET_BLOCK, BLOCK_SHINGLES = 512, 1 << 20  # texts of a block, and their shingles
 
 
 def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +209,7 @@ def _shingle_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fingerprint and min-hash bands of every row."""
+    """doc_id, fingerprint, two hashes of the shingle set, its size and min-hash bands of every row."""
     factors = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches):
@@ -220,13 +224,14 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 fp = np.array([fingerprint(t, shingle) for t in piece.column("text").to_pylist()], dtype=np.uint64)
                 edges = pa.array(np.arange(0, BANDS * len(sizes) + 1, BANDS, dtype=np.int32))
                 lists = pa.ListArray.from_arrays(edges, pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64)), lists], ["doc_id", "fp", "bands"])
+                whole = [pa.array(np.add.reduceat(mix64(values ^ np.uint64(salt)), begin).view(np.int64)) for salt in (1, 2)]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(fp.view(np.int64)), *whole, pa.array(sizes, pa.int64()), lists], ["doc_id", "fp", "s1", "s2", "size", "bands"])
 
-    return docs.mapInArrow(releasing(run), "doc_id bigint, fp bigint, bands array<bigint>")
+    return docs.mapInArrow(releasing(run), "doc_id bigint, fp bigint, s1 bigint, s2 bigint, size bigint, bands array<bigint>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity."""
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """id and shingle set (halves of the hashes, ascending) of every row."""
 
     def sets(batches):
         for batch in batches:
@@ -237,6 +242,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
                 edges = np.concatenate(([0], np.cumsum(sizes)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([low[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)], pa.binary())], ["id", "shingles"])
 
+    return docs.mapInArrow(releasing(sets), "id bigint, shingles binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have at least the similarity."""
+
     def check(batches):
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
@@ -248,19 +259,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float
                     good[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(a[good], pa.int64()), pa.array(b[good], pa.int64())], ["a", "b"])
 
-    made = docs.mapInArrow(releasing(sets), "id bigint, shingles binary")
+    made = _sets(docs, shingle)
     one = made.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
     two = made.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(releasing(check), "a bigint, b bigint")
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets have in common."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    fresh = np.ones(len(values), dtype=bool)
+    fresh[1:] = values[1:] != values[:-1]
+    code = np.cumsum(fresh) - 1
+    held = np.bincount(code)[code]
+    both = np.zeros(n * n, dtype=np.float32)
+    few = (held > 1) & (held <= 8)
+    code_few, owner_few = code[few], owner[few]
+    for step in range(1, 8):
+        k = np.flatnonzero(code_few[step:] == code_few[:-step])
+        if len(k):
+            both += np.bincount(owner_few[k] * n + owner_few[k + step], minlength=n * n).astype(np.float32)
+    both = both.reshape(n, n)
+    both += both.T
+    many = held > 8
+    code_many, owner_many = np.cumsum(fresh & many)[many] - 1, owner[many]
+    for at in range(0, int(code_many[-1]) + 1 if len(code_many) else 0, 4096):
+        a, b = np.searchsorted(code_many, [at, at + 4096])
+        table = np.zeros((n, 4096), dtype=np.float32)
+        table[owner_many[a:b], code_many[a:b] - at] = 1
+        both += table @ table.T
+    return both
+
+
+def _crossing(members: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) between members (band, key, id, comp, size) of a key that are in different components.
+
+    Their components are those of all links of at least the similarity.  The
+    members of a key's largest component are compared with the others only.
+    """
+    key = ["band", "key"]
+    by_comp = members.groupBy(*key, "comp").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sums = by_comp.groupBy(*key).agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("comps > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / SET_BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1))
+    plan = sums.select(*key, F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("rest"), blocks(F.col("main.n"), F.col("main.size")).alias("mains"))
+    salt = lambda n: F.pmod(F.xxhash64("id"), n)
+    own = F.when(F.col("comp") == F.col("main"), F.col("rest") + salt(F.col("mains"))).otherwise(salt(F.col("rest")))
+    last = F.when(F.col("comp") == F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1
+    placed = members.join(plan, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    placed = placed.select(*key, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "comp")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, comp, own = (table.column(c).to_numpy() for c in ("id", "comp", "own"))
+        sets = [np.unique(np.frombuffer(v.as_py(), dtype="<u4")) for v in table.column("shingles")]
+        alone = table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        if (comp == comp[0]).all() or (not alone and (own == own[0]).all()):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(x) for x in sets], dtype=np.float64)
+        both = _common(sets)
+        near = (both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9) & (comp[:, None] != comp[None, :])
+        if not alone:
+            near &= own[:, None] != own[None, :]
+        i, j = np.nonzero(np.triu(near, 1))
+        label = connected_local(len(ids), i, j)
+        joined = np.flatnonzero(label != np.arange(len(ids)))
+        a, b = ids[joined], ids[label[joined]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return placed.join(_sets(docs, shingle), "id").groupBy(*key, "x", "y").applyInArrow(compare, "a bigint, b bigint")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
     """doc_id and component_id (smallest doc_id linked to it, directly or not) of every row with an id.
 
     Two texts are linked if the sets of their word shingles (A-Z lower-cased)
-    have at least the Jaccard similarity and one is the smallest or the largest id
-    under the other's fingerprint or one of its bands, or their fingerprints are
-    linked.  Candidates are so at most two a band and text, however large a group is.
+    have at least the Jaccard similarity and they share a fingerprint or a band,
+    or their fingerprints are linked.  No pair of a band is left out: members
+    that the links with its smallest and largest id do not join are compared
+    with one another.
     Texts shorter than a shingle compare by their whole word sequence; texts
     without words, null ones included, are copies of each other.  Rows with a
     null doc_id are left out; rows that share one are one text, any of them.
@@ -269,12 +348,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = checkpoint(_sketches(texts, shingle))
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keys = marked.select("doc_id", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "key"))
-    least = keys.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("a < top")
-    ends = keys.join(least, ["band", "key"]).select("doc_id", F.explode(F.array("a", "top")).alias("end"))
-    pairs = ends.where("end <> doc_id").select(F.least("end", "doc_id").alias("a"), F.greatest("end", "doc_id").alias("b"))
+    alike = marked.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
+    copies = marked.select("doc_id", "s1", "s2").join(alike, ["s1", "s2"]).where("id < doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    firsts = marked.join(alike.withColumnRenamed("id", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "size", F.posexplode("bands").alias("band", "key"))
+    prints = marked.select("s1", "s2", "size", "fp").join(alike, ["s1", "s2"]).select("id", "size", F.lit(BANDS).alias("band"), F.col("fp").alias("key"))
+    keys = firsts.unionAll(prints)
+    least = keys.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.count("*").alias("n")).where("low < top")
+    crowd = checkpoint(keys.join(least, ["band", "key"]))
+    ends = crowd.select("id", F.explode(F.array("low", "top")).alias("end"))
+    pairs = ends.where("end <> id").select(F.least("end", "id").alias("a"), F.greatest("end", "id").alias("b"))
     pairs = checkpoint(pairs.unionAll(links(classes, budget)).where("a < b").distinct())
-    found = connected(_verified(pairs, texts, shingle, similarity))
+    found = checkpoint(connected(_verified(pairs, texts, shingle, similarity).unionAll(copies)))
+    # with three members every pair has an end
+    middle = crowd.where("n > 3 AND id <> low AND id <> top").select("band", "key", "id", "size").distinct()
+    middle = middle.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "key", "id", "size", F.coalesce("component", "id").alias("comp"))
+    more = checkpoint(_crossing(middle, texts, shingle, similarity))
+    if not more.isEmpty():
+        found = connected(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionAll(more))
     named = marked.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -105,3 +105,26 @@ def test_similar_groups_match_exact_jaccard(spark):
     kept = simhash.keep_one(df).collect()
     assert sorted(r.doc_id or -1 for r in kept) == sorted([-1, 1, *(d for d, c in got.items() if d == c)])
     assert kept[0].asDict().keys() == {"doc_id", "text", "fp"} and simhash.similar_groups(df.limit(0)).collect() == []
+
+
+def test_pairs_in_the_middle_of_large_families_are_found(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    edited = lambda words, at: [word() if i in at else w for i, w in enumerate(words)]
+    spots = lambda n: set(rng.sample(range(5, 295, 5), n))
+    rows = []
+    for f in range(2):
+        base = [word() for _ in range(300)]
+        texts = [edited(base, spots(3 if k in (120, 180) else 9)) for k in range(300)]
+        rows += [(f * 1000 + k, " ".join(w)) for k, w in enumerate(texts)]
+    want = jaccard_groups(rows)
+    assert want[180] == 120 and want[1180] == 1120
+    got = simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, top, 60).astype("<u4")) for top in [90] * 30 + [4000] * 30]
+    both = simhash._common(sets)
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(60) if i != j)
