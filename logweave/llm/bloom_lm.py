@@ -6,9 +6,9 @@ at level q is entered q times, as (n-gram, 1) to (n-gram, q); a reader probes
 wrong answer can only make a level too high, and ever less likely so.
 
 The filter is cut into one segment for each hash bucket, so the reducers that
-sum the counts also build their segments; the whole is broadcast.  It takes
-`bits` bits an entry, fewer above `max_filter_bytes`: more errors then, but no
-n-gram is left out.
+sum the counts also build their segments.  It takes `bits` bits an entry at any
+size.  Up to `max_filter_bytes` the whole is broadcast; a larger one stays in its
+segments, and the n-grams of the texts are sent there and their levels back.
 
 A pair's probability is interpolated with the exact unigram probability; the
 weight depends on the level of the context and is fitted by leaving each
@@ -18,7 +18,7 @@ training token out of the counts in turn.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,7 @@ LEAST = 2  # smallest count that is entered
 PROBES = 4
 GRID = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
 LEVELS = 64
+SALTS = 4  # tasks that probe a segment which is not broadcast
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -180,9 +181,17 @@ class CountFilter:
         return out
 
 
+def distinct_grams(stream: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct tokens, each token's place among them and its context's, both places of each distinct pair, and each token's pair."""
+    distinct, at = np.unique(stream, return_inverse=True)
+    before = np.concatenate((np.searchsorted(distinct, [END]), at[:-1]))
+    codes, pair_at = np.unique(before * len(distinct) + at, return_inverse=True)
+    return distinct, at, before, *np.divmod(codes, len(distinct)), pair_at
+
+
 @dataclass
 class Model:
-    counts: CountFilter
+    counts: CountFilter | None  # none if the filter stays in its segments
     words: np.ndarray  # hashes of the most frequent words, ascending
     word_counts: np.ndarray
     complete: bool  # whether `words` are all words of the training texts
@@ -198,37 +207,107 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, stream), max(0, len(self.words) - 1))
         return np.where(self.words[at] == stream, self.word_counts[at], -1) if len(self.words) else np.full(len(stream), -1)
 
-    def look_up(self, stream: np.ndarray, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def look_up(self, stream: np.ndarray, levels: Callable, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token its exact count (-1: not among the frequent words), its context's level, and the pair's share of the context's count.
 
-        Every distinct token and pair of the stream is looked up once.
+        Every distinct token and pair of the stream is looked up once, by
+        `levels` of n-grams, their order and their places among all of it.
         """
-        distinct, at = np.unique(stream, return_inverse=True)
-        count, level = self.exact(distinct), self.counts.levels(distinct, 0)
-        before = np.concatenate((np.searchsorted(distinct, [END]), at[:-1]))
-        codes, pair_at = np.unique(before * len(distinct) + at, return_inverse=True)
-        first, second = np.divmod(codes, len(distinct))
+        distinct, at, before, first, second, pair_at = distinct_grams(stream)
+        count, level = self.exact(distinct), levels(distinct, 0, slice(None))
         likely = np.flatnonzero((level[first] > 0) & (level[second] > 0))
+        pair = np.zeros(len(first))
         first, second = first[likely], second[likely]
-        pair = np.zeros(len(codes))
-        part = np.maximum(_MIDDLE[self.counts.levels(pair_hash(distinct[first], distinct[second]), 1)] - left_out, 0.0)
+        part = np.maximum(_MIDDLE[levels(pair_hash(distinct[first], distinct[second]), 1, likely)] - left_out, 0.0)
         pair[likely] = part / np.maximum(np.maximum(_MIDDLE[level[first]] - left_out, part), 1.0)
         return count[at], level[before], pair[pair_at]
 
 
-def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes: int) -> CountFilter:
+def _by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the n-grams by bucket, and where each bucket begins in it."""
+    bucket = (grams % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict]]:
+    for k, body in enumerate(batch.column("body")):
+        given = batch.column("given")[k].as_py() if "given" in batch.schema.names else []
+        yield pa.ipc.open_stream(body.as_buffer()).read_next_batch(), {g["bucket"]: g["levels"] for g in given or []}
+
+
+def _routed(rows: DataFrame, segments: DataFrame, buckets: int) -> DataFrame:
+    """Pieces of the rows (`body`) with the levels of all their n-grams by bucket (`given`), probed segment by segment."""
+
+    def pack(batches):
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, piece.schema) as out:
+                    out.write_batch(piece)
+                yield pa.RecordBatch.from_pydict({"body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    def ask(batches):
+        for batch in batches:
+            for name, (piece, _) in zip(batch.column("piece").to_pylist(), _read(batch), strict=True):
+                stream, _ = token_stream(piece.column("text"))
+                distinct, _, _, first, second, _ = distinct_grams(stream)
+                for order, grams in enumerate((distinct, pair_hash(distinct[first], distinct[second]))):
+                    by, edges = _by_bucket(grams, buckets)
+                    used = np.flatnonzero(edges[1:] > edges[:-1])
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(order * buckets + used, pa.int32()), "salt": pa.array([name % SALTS] * len(used), pa.int32()), "piece": pa.array([name] * len(used), pa.int64()), "grams": pa.array([grams[by[edges[b] : edges[b + 1]]].tobytes() for b in used], pa.binary())})
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        levels = []
+        body, size = (held.column("body")[0].as_buffer(), held.column("size")[0].as_py()) if len(held) else (b"", 0)
+        part = CountFilter(np.frombuffer(body, dtype=np.uint8), np.array([0]), np.array([size]), 1)
+        for grams in asked.column("grams"):
+            levels.append(part.levels(np.frombuffer(grams.as_buffer(), dtype="<u8"), 0).astype(np.uint8).tobytes())
+        return pa.table({"piece": asked.column("piece"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
+
+    pieces = checkpoint(rows.mapInArrow(releasing(pack), "body binary").withColumn("piece", F.monotonically_increasing_id()))
+    asked = pieces.mapInArrow(releasing(ask), "bucket int, salt int, piece bigint, grams binary")
+    copies = segments.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+    answers = asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(answer, "piece bigint, bucket int, levels binary")
+    given = answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "levels")).alias("given"))
+    return pieces.join(given, "piece", "left").select("body", "given")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[tuple[pa.RecordBatch, Callable]]:
+    """Pieces of texts, each with the function that finds the levels of its n-grams."""
+    for batch in batches:
+        if model.counts is not None:
+            for piece in chunks(batch, "text"):
+                yield piece, lambda grams, order, places: model.counts.levels(grams, order)
+            continue
+        for piece, given in _read(batch):
+
+            def levels(grams, order, places, piece=piece, given=given):
+                distinct, _, _, first, second, _ = distinct_grams(token_stream(piece.column("text"))[0])
+                whole = pair_hash(distinct[first], distinct[second]) if order else distinct
+                by, edges = _by_bucket(whole, buckets)
+                out = np.zeros(len(whole), dtype=np.int64)
+                for b in range(buckets):
+                    if edges[b] < edges[b + 1]:
+                        out[by[edges[b] : edges[b + 1]]] = np.frombuffer(given[order * buckets + b], dtype=np.uint8)
+                return out[places]
+
+            yield piece, levels
+
+
+def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes: int) -> tuple[CountFilter | None, DataFrame | None]:
+    """The filter, or its segments (bucket, size, body) if it is too large to be broadcast."""
     def entered(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"n": pa.array([int(sum(int(levels_of(c).sum()) for _, _, c in _grams(batch)))], pa.int64())})
 
     total = grams.select("bucket", "n", "hashes", "counts").mapInArrow(entered, "n bigint").agg(F.sum("n")).first()[0] or 0
-    each = min(bits, 8 * max_filter_bytes / max(1, total))
 
     def segments(batches):
         for batch in batches:
             for bucket, hashes, counts in _grams(batch):
                 level = levels_of(counts)
-                size = int(level.sum() * each) // 8 * 8 + 64 if level.any() else 0
+                size = int(level.sum() * bits) // 8 * 8 + 64 if level.any() else 0
                 body = np.zeros(size // 8, dtype=np.uint8)
                 if size:
                     keys = np.repeat(hashes, level)
@@ -240,21 +319,24 @@ def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes:
                         np.bitwise_or.at(body, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "body": pa.array([body.tobytes()], pa.binary())})
 
-    made = {r.bucket: (r["size"], r.body) for r in grams.select("bucket", "n", "hashes", "counts").mapInArrow(segments, "bucket int, size bigint, body binary").toLocalIterator()}
+    built = grams.select("bucket", "n", "hashes", "counts").mapInArrow(segments, "bucket int, size bigint, body binary")
+    if total * bits > 8 * max_filter_bytes:
+        return None, checkpoint(built)
+    made = {r.bucket: (r["size"], r.body) for r in built.toLocalIterator()}
     size = np.array([made.get(b, (0, b""))[0] for b in range(2 * buckets)], dtype=np.int64)
     body = np.frombuffer(b"".join(made.get(b, (0, b""))[1] for b in range(2 * buckets)), dtype=np.uint8)
-    return CountFilter(body, np.cumsum(size // 8) - size // 8, size, buckets)
+    return CountFilter(body, np.cumsum(size // 8) - size // 8, size, buckets), None
 
 
-def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20, frequent_words: int = 1 << 20) -> tuple[Model, DataFrame]:
-    """Model of the column `text`, and the packed word counts (all of them)."""
+def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20, frequent_words: int = 1 << 20) -> tuple[Model, DataFrame, DataFrame | None, int]:
+    """Model of the column `text`, the packed word counts (all of them), the filter's segments if it is not broadcast, and its buckets."""
     spark = texts.sparkSession
     buckets = bucket_count(texts)
     grams = checkpoint(count_grams(texts, buckets))
     words = grams.where(F.col("bucket") < buckets)
     sums = words.agg(F.sum("total"), F.sum("n")).first()
     tokens, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
-    counts = _build_filter(grams, buckets, bits, max_filter_bytes)
+    counts, segments = _build_filter(grams, buckets, bits, max_filter_bytes)
 
     def spread(batches):
         for batch in batches:
@@ -283,29 +365,29 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 2
 
     def gain(batches):
         total = np.zeros((LEVELS, len(GRID)))
-        for batch in batches:
-            for piece in chunks(batch, "text"):
-                stream, _ = token_stream(piece.column("text"))
-                m = shared.value
-                count, level, share = m.look_up(stream, left_out=1)
-                plain = m.unigram(np.maximum(count, 1) - 1)
-                seen = share > 0
-                # where no pair is known the mixture only loses the pair's weight
-                missing = np.bincount(level[~seen], minlength=LEVELS)
-                total += missing[:, None] * np.log10(1 - GRID)[None, :]
-                ratio, group = share[seen] / plain[seen], level[seen]
-                for k, w in enumerate(GRID):
-                    total[:, k] += np.bincount(group, weights=np.log10(w * ratio + 1 - w), minlength=LEVELS)
+        m = shared.value
+        for piece, levels in _pieces(batches, m, buckets):
+            stream, _ = token_stream(piece.column("text"))
+            count, level, share = m.look_up(stream, levels, left_out=1)
+            plain = m.unigram(np.maximum(count, 1) - 1)
+            seen = share > 0
+            # where no pair is known the mixture only loses the pair's weight
+            missing = np.bincount(level[~seen], minlength=LEVELS)
+            total += missing[:, None] * np.log10(1 - GRID)[None, :]
+            ratio, group = share[seen] / plain[seen], level[seen]
+            for k, w in enumerate(GRID):
+                total[:, k] += np.bincount(group, weights=np.log10(w * ratio + 1 - w), minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(LEVELS), len(GRID))), pa.array(np.tile(np.arange(len(GRID)), LEVELS)), pa.array(total.ravel())], ["level", "weight", "gain"])
 
-    found = texts.select("text").mapInArrow(releasing(gain), "level bigint, weight bigint, gain double").groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect()
+    asked = texts.select("text") if segments is None else _routed(texts.select("text"), segments, buckets)
+    found = asked.mapInArrow(releasing(gain), "level bigint, weight bigint, gain double").groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect()
     table = np.zeros((LEVELS, len(GRID)))
     for r in found:
         table[r.level, r.weight] = r.gain
     model.weights = GRID[table.argmax(axis=1)]
     model.weights[0] = 0.0
     shared.unpersist()
-    return model, packed
+    return model, packed, segments, buckets
 
 
 def in_part(doc_id: Column, parts: int, part: int) -> Column:
@@ -330,31 +412,31 @@ def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), in_part(F.col("doc_id"), 10, 0).alias("held_out"))
-    model, packed = train(rows.where(~F.col("held_out")), bits, max_filter_bytes, frequent_words)
+    model, packed, segments, buckets = train(rows.where(~F.col("held_out")), bits, max_filter_bytes, frequent_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, pair double, rare array<struct<h:bigint,a:double,b:double>>"
 
     def run(batches):
         m = shared.value
-        for batch in batches:
-            for piece in chunks(batch, "text"):
-                stream, sizes = token_stream(piece.column("text"))
-                count, level, share = m.look_up(stream)
-                weight = m.weights[level]
-                rare = (count < 0) & (not m.complete)
-                count = np.maximum(count, 0)
-                plain = m.unigram(count)
-                begin = np.cumsum(sizes) - sizes
-                base = np.where(rare, 0.0, np.log10(plain))
-                pair = np.where(rare, 0.0, np.log10(weight * share + (1 - weight) * plain))
-                edges = np.concatenate(([0], np.cumsum(np.add.reduceat(rare, begin, dtype=np.int64)))).astype(np.int32)
-                at = np.flatnonzero(rare)
-                asked = pa.StructArray.from_arrays([pa.array(stream[at].view(np.int64)), pa.array((weight * share)[at]), pa.array((1 - weight)[at])], ["h", "a", "b"])
-                columns = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(pair, begin)), pa.ListArray.from_arrays(pa.array(edges), asked)]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "pair", "rare"])
-
-    done = rows.select("doc_id", "text", "held_out").mapInArrow(releasing(run), schema)
+        for piece, levels in _pieces(batches, m, buckets):
+            stream, sizes = token_stream(piece.column("text"))
+            count, level, share = m.look_up(stream, levels)
+            weight = m.weights[level]
+            rare = (count < 0) & (not m.complete)
+            count = np.maximum(count, 0)
+            plain = m.unigram(count)
+            begin = np.cumsum(sizes) - sizes
+            base = np.where(rare, 0.0, np.log10(plain))
+            pair = np.where(rare, 0.0, np.log10(weight * share + (1 - weight) * plain))
+            edges = np.concatenate(([0], np.cumsum(np.add.reduceat(rare, begin, dtype=np.int64)))).astype(np.int32)
+            at = np.flatnonzero(rare)
+            asked = pa.StructArray.from_arrays([pa.array(stream[at].view(np.int64)), pa.array((weight * share)[at]), pa.array((1 - weight)[at])], ["h", "a", "b"])
+            columns = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(pair, begin)), pa.ListArray.from_arrays(pa.array(edges), asked)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "pair", "rare"])
+
+    asked = rows.select("doc_id", "text", "held_out")
+    done = (asked if segments is None else _routed(asked, segments, buckets)).mapInArrow(releasing(run), schema)
     if not model.complete:
         done = _with_rare(done, packed, model)
     return done.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("pair").alias("score"))

@@ -74,3 +74,11 @@ def test_filter_levels_are_never_too_low():
 
 def test_levels():
     assert lm.levels_of(np.array([0, 1, 2, 3, 4, 5])).tolist() == [0, 0, 1, 2, 2, 3]
+
+
+@pytest.mark.parametrize("frequent", [1 << 20, 40])
+def test_a_filter_too_large_to_broadcast_scores_alike(spark, frequent):
+    df = spark.createDataFrame(make_rows(), "doc_id bigint, text string").repartition(3)
+    whole, cut = (sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(df, max_filter_bytes=most, frequent_words=frequent).collect()) for most in (256 << 20, 100))
+    assert [x[:3] for x in whole] == [x[:3] for x in cut]
+    assert np.allclose([x[3:] for x in whole], [x[3:] for x in cut], rtol=0, atol=1e-9)
