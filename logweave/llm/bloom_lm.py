@@ -32,7 +32,7 @@ from .textnum import chunks, find_words, mix64
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
 FLUSH_TOKENS = 1_000_000
 STEP = 1.5  # ratio of neighbouring quantised counts
-LEAST = 2  # smallest count that is entered
+LEAST = 2  # smallest count of the logarithmic scale; a count of one is a level of its own below it
 PROBES = 4
 GRID = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
 LEVELS = 64
@@ -45,7 +45,12 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.where(counts >= LEAST, np.floor(np.log(safe) / math.log(STEP) + 1e-9).astype(np.int64) + 1, 0)
 
 
-_MIDDLE = np.array([0.0] + [LEAST * STEP ** (q - 0.5) if q > 1 else float(LEAST) for q in range(1, LEVELS)])
+def entries_of(counts: np.ndarray) -> np.ndarray:
+    """How often each count is entered: once for a count of one, then once more for each quantised level."""
+    return np.where(counts > 0, levels_of(counts) + 1, 0)
+
+
+_MIDDLE = np.array([0.0, 1.0] + [LEAST * STEP ** (q - 0.5) if q > 1 else float(LEAST) for q in range(1, LEVELS - 1)])
 
 
 def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +87,7 @@ def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
-    """Packed counts by bucket: words in buckets 0.., all of them; pairs in buckets `buckets`.., those counted LEAST times or more."""
+    """Packed counts by bucket: words in buckets 0.., pairs in buckets `buckets`.., all of them."""
     schema = "bucket int, n int, hashes binary, counts binary, total bigint"
 
     def share(batches):
@@ -130,9 +135,6 @@ def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
                     waiting, size = [], 0
         hashes, counts = _merge(np.concatenate([hashes, *(x[0] for x in waiting)]), np.concatenate([counts, *(x[1] for x in waiting)]))
         total = int(counts.sum())
-        if bucket >= buckets:
-            keep = counts >= LEAST
-            hashes, counts = hashes[keep], counts[keep]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(hashes)], pa.int32()), "hashes": pa.array([hashes.tobytes()], pa.binary()), "counts": pa.array([_pack(counts, "<i8")], pa.binary()), "total": pa.array([total], pa.int64())})
 
     return texts.select("text").mapInArrow(releasing(share), schema).groupBy("bucket").applyInArrow(merge, schema)
@@ -299,14 +301,14 @@ def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes:
     """The filter, or its segments (bucket, size, body) if it is too large to be broadcast."""
     def entered(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([int(sum(int(levels_of(c).sum()) for _, _, c in _grams(batch)))], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"n": pa.array([int(sum(int(entries_of(c).sum()) for _, _, c in _grams(batch)))], pa.int64())})
 
     total = grams.select("bucket", "n", "hashes", "counts").mapInArrow(entered, "n bigint").agg(F.sum("n")).first()[0] or 0
 
     def segments(batches):
         for batch in batches:
             for bucket, hashes, counts in _grams(batch):
-                level = levels_of(counts)
+                level = entries_of(counts)
                 size = int(level.sum() * bits) // 8 * 8 + 64 if level.any() else 0
                 body = np.zeros(size // 8, dtype=np.uint8)
                 if size:
@@ -386,6 +388,7 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 2
         table[r.level, r.weight] = r.gain
     model.weights = GRID[table.argmax(axis=1)]
     model.weights[0] = 0.0
+    model.weights[1] = model.weights[2]  # of a context counted once nothing is left out; of one counted twice, one is left
     shared.unpersist()
     return model, packed, segments, buckets
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from logweave.llm import bloom_lm as lm
@@ -82,3 +83,12 @@ def test_a_filter_too_large_to_broadcast_scores_alike(spark, frequent):
     whole, cut = (sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in lm.score(df, max_filter_bytes=most, frequent_words=frequent).collect()) for most in (256 << 20, 100))
     assert [x[:3] for x in whole] == [x[:3] for x in cut]
     assert np.allclose([x[3:] for x in whole], [x[3:] for x in cut], rtol=0, atol=1e-9)
+
+
+def test_pairs_counted_once_are_known(spark):
+    rows = [(i, f"left{i} right{i}") for i in range(300)]
+    model = lm.train(spark.createDataFrame(rows, "id bigint, text string").repartition(3))[0]
+    stream = np.concatenate([lm.token_stream(pa.array([t]))[0] for _, t in rows])
+    _, level, share = model.look_up(stream, lambda grams, order, places: model.counts.levels(grams, order))
+    assert (level > 0).all() and (share > 0).all()
+    assert lm.entries_of(np.array([0, 1, 2, 3, 4, 5])).tolist() == [0, 1, 2, 3, 3, 4]
