@@ -1,12 +1,21 @@
 """Main text of HTML pages by composite text density.
 
-A page becomes a small tree held in parallel lists.  For each element the
-density is its characters per tag, scaled by a logarithm whose base grows with
-the share of linked characters, so that link lists score low.  The density sum
-of an element adds the densities of its children.  The element with the largest
-sum is the core of the article; the smallest density on its way up to the body
-is the threshold.  Every element that reaches the threshold contributes its own
-best subtree, and text in those subtrees is the article.
+A page becomes a small tree held in parallel lists.  The density of an element
+is its characters per tag, scaled by a logarithm that falls to zero as its
+characters and tags are all linked, and whose base grows with the linked
+characters.  The density sum of an element adds the densities of its children,
+text of its own being one of them.  The subtree with the largest sum is the core
+of the article; the smallest density on its way up to the body is the threshold.
+
+Going up from the core, siblings that reach the threshold join the article if
+their own sum is a fair part of the core's, or if they are its headline; an
+`article` or `main` element around the core joins as a whole.  Inside, elements
+whose density is below the threshold and whose text is mostly linked go.
+
+Page furniture that says what it is (`nav`, `footer`, `aside`, a class or id such
+as ``sidebar``) is not cut out by name: its characters count as linked ones, and
+the densities decide.  Only what no browser shows as text is left out at once:
+scripts, styles, the head, form controls, hidden elements.
 """
 
 from __future__ import annotations
@@ -19,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .cluster import releasing, small_batches
+from .textnum import chunks
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
@@ -30,46 +42,41 @@ ENDS_P = BLOCK - {"body", "caption", "html", "legend", "optgroup", "option", "tb
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "tbody", "thead"), "tfoot": ("tr", "td", "th", "tbody", "thead"), "thead": ("tr", "td", "th")}
 HOLDS = frozenset("ul ol dl select table body html article section main div".split())
 
-# What is never article text: elements, roles, and words in class or id.
-NOISE_TAGS = frozenset("head title script style noscript template nav header footer aside form button select input textarea label fieldset dialog menu iframe object embed applet canvas svg math audio video map noembed noframes xmp".split())
-NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
-)
-NOISE_STEMS = ("advert", "breadcrumb", "commentlist", "comments", "cookie", "disqus", "gdpr", "navbar", "newsletter", "popup", "sidebar", "sponsor")
-NOISE_ENDS = ("banner", "comments", "footer", "menu", "nav", "sidebar")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Elements that no page shows as running text.
+UNSEEN = frozenset("head title script style noscript template button select datalist input textarea label legend iframe object embed applet canvas svg math audio video map noembed noframes xmp".split())
+# Elements, roles and names of page furniture, whose characters count as linked.
+FURNITURE_TAGS = frozenset("nav footer aside menu dialog".split())
+FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+FURNITURE_NAMES = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer masthead menu nav navbar navigation newsletter notice popup promo sidebar sponsor sponsored".split())
+FURNITURE_STEMS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar")
+HEADLINES = frozenset(("h1", "h2"))
 MAIN = frozenset(("article", "main"))
+FAIR_PART = 0.15  # of the core's density sum, for a sibling to be of the same article
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _is_noise_word(word: str) -> bool:
-    return word in NOISE_WORDS or word + "s" in NOISE_WORDS or word.startswith(NOISE_STEMS) or word.endswith(NOISE_ENDS)
+def _is_hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower()) is not None
 
 
-def _is_noise(tag: str, raw: str) -> bool:
-    if tag in NOISE_TAGS:
-        return True
-    if not raw or raw.isspace() or tag in ("html", "body"):
-        return False
-    a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", "").lower()):
-        return True
-    if a.get("role", "").lower() in NOISE_ROLES:
-        return True
-    if tag in MAIN:
-        return bool({w.lower() for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")} & {"comment", "comments", "ad", "advert", "reply"})
-    return any(_is_noise_word(w.lower()) for w in _WORD.findall(f"{a.get('class', '')} {a.get('id', '')}"))
+def _named(a: dict[str, str]) -> bool:
+    """Whether a class or id names furniture by its first or last word (``site-footer``, ``cookie_bar``, ``topNav``)."""
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        parts = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower().replace("_", "-").split("-")
+        if parts[0] in FURNITURE_NAMES or parts[-1] in FURNITURE_NAMES or parts[0].startswith(FURNITURE_STEMS):
+            return True
+    return False
 
 
 class _Tree:
     """Elements in document order; items are texts and element borders, in order, for reading blocks back."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.noise, self.last = ["#"], [-1], [False], [0]
+        self.tag, self.parent, self.unseen, self.last = ["#"], [-1], [False], [0]
+        self.furniture = [""]  # why an element may be furniture: tag, name, form or nothing
         self.items: list[tuple[int, str | None, bool]] = []  # element, text or None for a border, whether it breaks a block
         stack, at = [0], 0
         opened = {}  # open elements by tag
@@ -120,7 +127,9 @@ class _Tree:
             e = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.noise.append(self.noise[stack[-1]] or _is_noise(name, raw))
+            a = _attributes(raw) if raw and not raw.isspace() else {}
+            self.unseen.append(self.unseen[stack[-1]] or name in UNSEEN or bool(a) and name not in ("html", "body") and _is_hidden(a))
+            self.furniture.append(self._kind(name, a, stack))
             self.last.append(e)
             if name in BLOCK:
                 self.items.append((e, None, True))
@@ -135,40 +144,100 @@ class _Tree:
         close(1)
         self.last[0] = len(self.tag) - 1
 
-    def densities(self) -> tuple[list[float], list[float], list[bool]]:
-        """Density and density sum of each element, and whether most of its characters are linked."""
+    def _kind(self, name: str, a: dict[str, str], stack: list[int]) -> str:
+        if name in ("html", "body", *MAIN):
+            return ""
+        if name in FURNITURE_TAGS or a.get("role", "").lower() in FURNITURE_ROLES:
+            return "tag"
+        if name == "header":  # of the page; an article's own holds its headline
+            return "" if any(self.tag[x] in MAIN or self.tag[x] == "section" for x in stack) else "tag"
+        if name == "form":
+            return "form"
+        return "name" if a and _named(a) else ""
+
+    def measure(self) -> None:
+        """Characters, linked characters, tags and linked tags of each element, and which are furniture.
+
+        A form that holds most of the page's text is its frame, and so is an
+        element of a telling name around an `h1`, `article` or `main`.
+        """
         n = len(self.tag)
-        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        own = [0] * n
+        for e, text, _ in self.items:
+            if text and not self.unseen[e]:
+                own[e] += len(" ".join(text.split()))
+        whole, frames = list(own), [False] * n
+        for e in range(n - 1, 0, -1):
+            whole[self.parent[e]] += whole[e]
+            if frames[e] or self.tag[e] == "h1" or self.tag[e] in MAIN:
+                frames[self.parent[e]] = True
+        self.aside = [False] * n
+        for e in range(1, n):
+            kind = self.furniture[e]
+            self.aside[e] = self.aside[self.parent[e]] or kind == "tag" or kind == "name" and not frames[e] or kind == "form" and 2 * whole[e] < whole[0]
         linked = [False] * n
         for e in range(1, n):
-            linked[e] = linked[self.parent[e]] or self.tag[e] in ("a", "button", "select")
-        for e, text, _ in self.items:
-            if text and not self.noise[e]:
-                k = len(" ".join(text.split()))
-                chars[e] += k
-                links[e] += k if linked[e] else 0
+            linked[e] = linked[self.parent[e]] or self.tag[e] == "a" or self.aside[e]
+        self.own = [0 if x else k for x, k in zip(linked, own, strict=True)]
+        self.chars, self.links, self.tags, self.link_tags = list(own), [k if x else 0 for x, k in zip(linked, own, strict=True)], [0] * n, [0] * n
         for e in range(n - 1, 0, -1):
-            if not self.noise[e]:
+            if not self.unseen[e]:
                 p = self.parent[e]
-                chars[p] += chars[e]
-                links[p] += links[e]
-                tags[p] += tags[e] + 1
-                link_tags[p] += link_tags[e] + (self.tag[e] == "a")
-        all_chars, all_links = max(1, chars[0]), links[0]
+                self.chars[p] += self.chars[e]
+                self.links[p] += self.links[e]
+                self.tags[p] += self.tags[e] + 1
+                self.link_tags[p] += self.link_tags[e] + (self.tag[e] == "a" or self.aside[e])
+
+    def densities(self) -> tuple[list[float], list[float]]:
+        """Composite density and density sum of each element."""
+        n = len(self.tag)
+        share = self.links[0] / max(1, self.chars[0])
         density, total = [0.0] * n, [0.0] * n
         for e in range(n - 1, -1, -1):
-            if chars[e]:
-                c, link = chars[e], links[e]
-                per_tag = c / max(1, tags[e])
-                base = math.log(c / max(1, c - link) * link + all_links / all_chars * c + math.e)
-                inside = max(1.0, c / max(1, link) * max(1, tags[e]) / max(1, link_tags[e]))
-                density[e] = per_tag * math.log(inside + 1) / max(1e-9, math.log(base + 1))
-            if e and not self.noise[e]:
+            if self.chars[e]:
+                density[e] = composite(self.chars[e], self.links[e], self.tags[e], self.link_tags[e], share)
+            if self.own[e]:
+                total[e] += composite(self.own[e], 0, 0, 0, share)
+            if e and not self.unseen[e]:
                 total[self.parent[e]] += density[e]
+        return density, total
+
+    def article(self) -> list[bool]:
+        """Whether each element's own text is of the article."""
+        n = len(self.tag)
+        self.measure()
+        density, total = self.densities()
+        clear = [e for e in range(n) if not self.unseen[e] and density[e] > 0]
+        if not clear:
+            return [False] * n
+        core = max(clear, key=lambda e: (total[e], -e))
+        path = [core]
+        while path[-1] > 0 and self.tag[path[-1]] != "body":
+            path.append(self.parent[path[-1]])
+        threshold = min(density[e] for e in path)
+        border = max((k for k, e in enumerate(path) if self.tag[e] in MAIN), default=0)
+        chosen, on_path = {path[border]}, set(path)
+        above = set(path[border + 1 :])
+        for e in range(1, n):
+            if self.parent[e] in above and e not in on_path and not self.unseen[e] and not self.aside[e]:
+                headline = self.tag[e] in HEADLINES and e < core
+                if headline or density[e] >= threshold and total[e] >= FAIR_PART * total[core]:
+                    chosen.add(e)
+        inside = [False] * n
         for e in range(n):
-            if not total[e]:
-                total[e] = density[e]
-        return density, total, [2 * x > c for x, c in zip(links, chars, strict=True)]
+            thin = density[e] < threshold and 2 * self.links[e] > self.chars[e] and (self.aside[e] or self.link_tags[e] > 1) and self.tag[e] != "a"
+            inside[e] = not self.unseen[e] and (e in chosen or e > 0 and inside[self.parent[e]] and not thin)
+        return inside
+
+
+def composite(chars: int, links: int, tags: int, link_tags: int, share: float) -> float:
+    """Composite text density, counts smoothed by one; `share` is the share of linked characters of the whole page.
+
+    Zero where all characters and tags are linked.
+    """
+    base = math.log(chars * links / (chars - links + 1) + share * chars + math.e)
+    ratio = (chars + 1) / (links + 1) * (tags + 1) / (link_tags + 1)
+    return chars / max(1, tags) * math.log(ratio) / math.log(base + 1)
 
 
 def main_text(page: str | None) -> str:
@@ -176,35 +245,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _Tree(page)
-    n = len(tree.tag)
-    density, total, linked = tree.densities()
-    clear = [e for e in range(n) if not tree.noise[e] and density[e] > 0]
-    if not clear:
-        return ""
-    root = next((e for e in clear if tree.tag[e] == "body"), 0)
-    core = max(clear, key=lambda e: (not linked[e], total[e], -e))
-    threshold, e = density[core], core
-    while e > 0:
-        threshold = min(threshold, density[e])
-        if e == root:
-            break
-        e = tree.parent[e]
-    best = list(range(n))  # of each subtree, the element with the largest sum; the outer one on a tie
-    for e in range(n - 1, 0, -1):
-        p = tree.parent[e]
-        if not tree.noise[e] and total[best[e]] > total[best[p]]:
-            best[p] = best[e]
-    chosen = {best[e] for e in clear if e not in (0, root) and density[e] >= threshold and not linked[e] and not linked[best[e]]} | {core}
-    outer, e = None, core  # an article or main element around the core is the article's own border
-    while e > 0:
-        if tree.tag[e] in MAIN:
-            outer = e
-        e = tree.parent[e]
-    if outer is not None:
-        chosen = {outer} | {e for e in chosen if outer <= e <= tree.last[outer]}
-    inside = [False] * n
-    for e in range(n):
-        inside[e] = not tree.noise[e] and (e in chosen or e > 0 and inside[tree.parent[e]])
+    inside = tree.article()
     blocks, run = [], []
     for e, text, breaks in tree.items:
         if breaks:
@@ -221,18 +262,21 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
     """Add the main text and its number of code points (`n_chars`) of each row's whole html.
 
     Null, empty or text-free pages get an empty text.  Columns named `text` or
-    `n_chars` are replaced, others pass through; repeated rows are extracted
-    alike, and an empty table gives an empty result.
+    `n_chars` are replaced, others pass through, whatever their names; repeated
+    rows are extracted alike, and an empty table gives an empty result.  A page
+    of any length is read whole, in time proportional to its length; pages are
+    taken a few megabytes at a time.
     """
     keep = [f for f in pages.schema if f.name not in (text, "n_chars")]
-    at = pages.columns.index(html)
+    names = pages.columns
     schema = T.StructType([*keep, T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x) for x in batch.column(at).to_pylist()]
-            columns = [batch.column(pages_columns.index(f.name)) for f in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema.fieldNames())
+            for piece in chunks(batch, html):
+                texts = [main_text(x) for x in piece.column(names.index(html)).to_pylist()]
+                columns = [piece.column(names.index(f.name)) for f in keep]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], schema.fieldNames())
 
-    pages_columns = pages.columns
-    return pages.mapInArrow(run, schema)
+    small_batches(pages.sparkSession)
+    return pages.mapInArrow(releasing(run), schema)
