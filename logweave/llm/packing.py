@@ -48,19 +48,21 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Tokens:
-    """Ids of texts under a byte-level BPE file of the tokenizers library, strings of special tokens read as text.
+    """Ids of texts under a byte-level BPE file of the tokenizers library, without the special tokens it would put around a text.
 
     In such a file a token's id is also the rank of its merge, so the same ids
     come from any ranked BPE engine; the faster one takes texts of plain
-    characters, the tokenizers library itself all others and all other files.
+    characters that hold no added token's string, the tokenizers library itself
+    all others and all other files.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = self._ranked(json.loads(self.tokenizer.to_str()))
+        file = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in file["added_tokens"]]
+        self.fast = self._ranked(file)
 
     @staticmethod
     def _ranked(file: dict):
@@ -75,7 +77,7 @@ class Tokens:
         return tiktoken.Encoding("file", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.fast is not None and _PLAIN.fullmatch(text):
+        if self.fast is not None and _PLAIN.fullmatch(text) and not any(a in text for a in self.added):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 

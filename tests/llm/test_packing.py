@@ -18,22 +18,42 @@ def reference(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-ODD = ["", " ", "\n\n  x", "it's we'll I'D", "a\x1cb\x85c　d", "<|endoftext|> x", "日本語 テキスト", "naïve ßé ÿ—“quoted” €5 ½ ²", "͸῰", "x" * 3000, "\xa0 \xa0a \t b", "👍🏽 ok", "1234567 ٣٤"]
+ODD = ["", " ", "\n\n  x", "it's we'll I'D", "a\x1cb\x85c　d", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|", "<|endoftext|><|endoftext|>", "日本語 テキスト", "naïve ßé ÿ—“quoted” €5 ½ ²", "͸῰", "x" * 3000, "\xa0 \xa0a \t b", "👍🏽 ok", "1234567 ٣٤"]
 
 
 def test_ids_are_the_tokenizers(path):
     tokens, want = packing.load_tokens(path), reference(path)
     rng = random.Random(0)
-    texts = ODD + ["".join(rng.choice("ab cdé'st!\n\t 12_ß—") for _ in range(rng.randrange(200))) for _ in range(300)]
+    texts = ODD + ["".join(rng.choice(["a", "b", " ", "c", "d", "é", "'", "s", "t", "!", "\n", "\t", " ", "1", "2", "_", "ß", "—", "<|endoftext|>", "<|"]) for _ in range(rng.randrange(200))) for _ in range(300)]
     assert tokens.fast is not None
     for t in texts:
         assert tokens.encode(t).tolist() == want(t)
 
 
+def plain_difference(sizes, windows):
+    """The same rule on full lists: merge the two partial partitions of the largest imbalance, fullest with emptiest."""
+    parts = [(sorted([(s, [i])] + [(0, [])] * (windows - 1), key=lambda x: -x[0]), k) for k, (i, s) in enumerate(enumerate(sizes))]
+    tick = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[0][0][0] - p[0][-1][0]), p[1]))
+        (a, _), (b, _), *parts = parts
+        merged = [(x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b), strict=True)]
+        parts.append((sorted(merged, key=lambda x: -x[0]), tick))
+        tick += 1
+    return sorted(s for s, _ in parts[0][0])
+
+
+@pytest.mark.parametrize("n,windows", [(2, 2), (9, 3), (40, 7), (60, 4), (25, 12)])
+def test_differencing_is_that_of_full_lists(n, windows):
+    rng = random.Random(n * windows)
+    sizes = rng.sample(range(1, 4000), n)
+    sums = np.bincount(packing.difference(sizes, windows), weights=sizes, minlength=windows)
+    assert sorted(sums.astype(int).tolist()) == plain_difference(sizes, windows)
+
+
 @pytest.mark.parametrize("n,windows", [(1, 1), (5, 2), (40, 7), (300, 20), (10, 30)])
 def test_differencing_is_level(n, windows):
     rng = random.Random(n)
