@@ -57,6 +57,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that the rows do not have yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """Rows that each pass reads in the same splits and order: those of a plain scan as they are, others from a checkpoint."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    moved = any(word in plan for word in ("Exchange", "Python", "Pandas", "Arrow", "Sample", "Limit"))
+    return checkpoint(df) if moved else df
+
+
 def next_prime(n: int) -> int:
     n = max(2, n)
     while any(n % k == 0 for k in range(2, int(n**0.5) + 1)):
