@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .cluster import free_names
 from .textnum import mix64
 
 HOST_PATTERN = r"(?s)^.*?://([^/?#]*)"
@@ -99,11 +100,11 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(url, PATH_PATTERN, 1)
 
 
-def _keys(host: str, path: str, lengths: Sequence[int]) -> Column:
-    """Every rule text that could fit: host suffixes at label borders times path prefixes of the lengths in use."""
-    suffixes = F.expr(f"transform(sequence(1, size(split({host}, '[.]'))), i -> array_join(slice(split({host}, '[.]'), i, 4096), '.'))")
-    wanted = ", ".join(map(str, lengths)) or "0"
-    prefixes = F.expr(f"transform(filter(array({wanted}), n -> n <= length({path})), n -> substring({path}, 1, n))")
+def _keys(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
+    """Every rule text that could fit: host endings of as many labels as rules have, times path beginnings of their lengths."""
+    whole = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.array_compact(F.array(*(F.when(whole >= k, F.substring_index(host, ".", -k)) for k in labels)))
+    prefixes = F.array_compact(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
 
 
@@ -111,11 +112,12 @@ def _hash_pair(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("one"), F.xxhash64(F.lit(1), key).alias("two"))
 
 
-def build_cascades(spark: SparkSession, universe: DataFrame, lists: dict[str, Sequence[str]], max_list_keys: int = 20_000_000) -> dict[str, Cascade]:
+def build_cascades(spark: SparkSession, universe: DataFrame, lists: dict[str, Sequence[str]], max_list_keys: int = 4_000_000) -> dict[str, Cascade]:
     """One cascade for each named list of keys, over the universe's column `key`.
 
-    One pass sizes the universe, one finds the keys that a first level accepts
-    wrongly; both send only list-sized results to the driver.
+    One pass sizes the universe, one finds the keys that a first level accepts;
+    both send only list-sized results to the driver, 24 bytes a key.  Only the
+    first levels' bits are broadcast.
     """
     if sum(map(len, lists.values())) > max_list_keys:
         raise ValueError(f"lists hold more than {max_list_keys} keys; split them by host")
@@ -129,31 +131,33 @@ def build_cascades(spark: SparkSession, universe: DataFrame, lists: dict[str, Se
     for name, keys in hashed.items():
         rate = max(1e-9, min(0.5, len(keys[0]) / total * math.sqrt(0.5)))
         first[name] = BloomFilter.build(*keys, rate=rate, seed=0)
-    shared = spark.sparkContext.broadcast((first, hashed))
+    shared = spark.sparkContext.broadcast(first)
     names = list(lists)
 
-    def mistaken(batches):
-        filters, own = shared.value
+    def accepted(batches):
+        filters = shared.value
         for pdf in batches:
             one, two = (pdf[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("one", "two"))
-            for name in names:
+            for k, name in enumerate(names):
                 at = np.flatnonzero(filters[name].has(one, two))
-                at = at[~np.isin(one[at], own[name][0]) | ~np.isin(two[at], own[name][1])]
                 if len(at):
-                    yield pd.DataFrame({"name": name, "one": one[at].view(np.int64), "two": two[at].view(np.int64)}).drop_duplicates()
+                    yield pd.DataFrame({"list": k, "one": one[at].view(np.int64), "two": two[at].view(np.int64)}).drop_duplicates()
 
-    found = pairs.mapInPandas(mistaken, "name string, one bigint, two bigint").distinct().limit(max_list_keys + 1).toPandas()
-    if len(found) > max_list_keys:
+    most = 2 * max_list_keys
+    found = pairs.mapInPandas(accepted, "list int, one bigint, two bigint").distinct().limit(most + 1).toPandas()
+    if len(found) > most:
         raise ValueError("the first levels leave too many false positives for the driver")
     out = {}
-    for name in names:
-        part = found[found["name"] == name].sort_values(["one", "two"])
-        outside = tuple(part[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("one", "two"))
-        out[name] = _refine(hashed[name], outside, first[name])
+    for k, name in enumerate(names):
+        part = found[found["list"] == k].sort_values(["one", "two"])
+        one, two = (part[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("one", "two"))
+        listed = set(zip(*(x.tolist() for x in hashed[name]), strict=True))
+        wrong = np.array([x not in listed for x in zip(one.tolist(), two.tolist(), strict=True)], dtype=bool)
+        out[name] = _refine(hashed[name], (one[wrong], two[wrong]), first[name])
     return out
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", default: str = "allow", max_list_keys: int = 20_000_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "url", default: str = "allow", max_list_keys: int = 4_000_000) -> DataFrame:
     """Judge each row's url by the longest fitting rule.
 
     `rules` are (verdict, text) pairs, text being host + path such as
@@ -166,33 +170,39 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "
     table gives an empty result; a text of any length is used whole.
     """
     spark = pages.sparkSession
-    verdicts = dict.fromkeys(v for v, _ in rules)
+    verdicts = list(dict.fromkeys(v for v, _ in rules))
     if len({t for _, t in rules}) != len({*rules}):
         raise ValueError("a rule text has two verdicts")
+    cut = [t.find("/") if "/" in t else len(t) for _, t in rules]
+    labels = sorted({t[:k].count(".") + 1 for (_, t), k in zip(rules, cut, strict=True)})
+    lengths = sorted({len(t) - k for (_, t), k in zip(rules, cut, strict=True)})
+    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # helper columns stand in one struct, whose name no column of the rows has
+    (me,) = free_names(pages, "url_helper")
+    x = lambda name: F.col(f"{me}.{name}")
     host, path = split_url(F.col(f"`{url}`"))
-    lengths = sorted({len(t) - t.find("/") if "/" in t else 0 for _, t in rules})
-    plain = pages.select("*", host.alias("__host"), path.alias("__path"))
-    keys = _keys("__host", "__path", lengths)
-    universe = plain.select("__host", "__path").select(F.explode(keys).alias("key"))
-    cascades = build_cascades(spark, universe, {v: [t for w, t in rules if w == v] for v in verdicts}, max_list_keys)
+    plain = pages.select(*rest, F.struct(host.alias("host"), path.alias("path")).alias(me))
+    if not rules:
+        return plain.select(*rest, x("host").alias("host"), x("path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keys = _keys(x("host"), x("path"), labels, lengths)
+    cascades = build_cascades(spark, plain.select(F.explode(keys).alias("key")), {v: [t for w, t in rules if w == v] for v in verdicts}, max_list_keys)
     shared = spark.sparkContext.broadcast(cascades)
 
-    def judge(name: str):
-        def has(one: pd.Series, two: pd.Series) -> pd.Series:
-            sizes = one.map(len).to_numpy()
-            flat = [np.concatenate([np.asarray(x, dtype=np.int64) for x in s]).view(np.uint64) if sizes.sum() else np.empty(0, dtype=np.uint64) for s in (one, two)]
-            found = shared.value[name].has(*flat)
-            return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else [])
-
-        has.__annotations__ = {"one": pd.Series, "two": pd.Series, "return": pd.Series}
-        return F.pandas_udf(has, T.ArrayType(T.BooleanType()))
-
-    asked = plain.withColumn("__keys", keys)
-    asked = asked.withColumn("__one", F.transform("__keys", lambda k: F.xxhash64(k))).withColumn("__two", F.transform("__keys", lambda k: F.xxhash64(F.lit(1), k)))
-    hits = []
-    for k, verdict in enumerate(verdicts):
-        asked = asked.withColumn(f"__in{k}", judge(verdict)("__one", "__two"))
-        hits.append(f"transform(filter(arrays_zip(__keys, __in{k}), x -> x.__in{k}), x -> named_struct('n', length(x.__keys), 'h', locate('/', concat(x.__keys, '/')), 'rule', x.__keys, 'verdict', '{verdict}'))")
-    best = F.array_max(F.expr(f"concat({', '.join(hits)})")) if hits else F.lit(None).cast("struct<n:int,h:int,rule:string,verdict:string>")
-    rest = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return asked.withColumn("__best", best).select(*rest, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    def judged(one: pd.Series, two: pd.Series) -> pd.Series:
+        """For each key the number of the list that has it, else -1."""
+        sizes = one.map(len).to_numpy()
+        flat = [np.concatenate([np.asarray(v, dtype=np.int64) for v in s]).view(np.uint64) if sizes.sum() else np.empty(0, dtype=np.uint64) for s in (one, two)]
+        found = np.full(sizes.sum(), -1, dtype=np.int32)
+        for k, name in enumerate(verdicts):
+            found[shared.value[name].has(*flat)] = k
+        return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if len(sizes) else [])
+
+    lists = F.pandas_udf(judged, T.ArrayType(T.IntegerType()))
+    asked = plain.select(*rest, F.col(me), keys.alias(me + "_keys"))
+    hashed = [F.transform(me + "_keys", lambda k: F.xxhash64(k)), F.transform(me + "_keys", lambda k: F.xxhash64(F.lit(1), k))]
+    asked = asked.select("*", lists(*hashed).alias(me + "_lists"))
+    hits = F.filter(F.arrays_zip(F.col(me + "_keys").alias("rule"), F.col(me + "_lists").alias("list")), lambda h: h["list"] >= 0)
+    ranked = F.transform(hits, lambda h: F.struct(F.length(h["rule"]).alias("n"), F.locate("/", F.concat(h["rule"], F.lit("/"))).alias("h"), h["rule"].alias("rule"), F.get(F.array(*(F.lit(v) for v in verdicts)), h["list"]).alias("verdict")))
+    best = asked.select(*rest, F.col(me), F.array_max(ranked).alias(me + "_best"))
+    verdict = F.coalesce(f"{me}_best.verdict", F.lit(default))
+    return best.select(*rest, x("host").alias("host"), x("path").alias("path"), F.col(f"{me}_best.rule").alias("rule"), verdict.alias("verdict"))

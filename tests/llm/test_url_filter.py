@@ -23,7 +23,7 @@ def judge(url, rules, default="allow"):
     return host, path, best[1] if best else None, best[0] if best else default
 
 
-ODD = [None, "", "no scheme", "http://", "http://EXAMPLE.org", "http://a.Example.ORG/en/1x?y#z", "https://org/", "x://example.org/es/#a://b/c", "http://notexample.org/es/", "http://com/fr/", "http://a.b.com/de/q?x=/fr/", "http://u@example.org:80/en/1", "http://.org/", "http://example.org./es/", "ü://ß.org/é", "http://x.org?y/es/", "a\nb://c.org/\nd", "http://" + "a." * 60 + "org/" + "x" * 5000]
+ODD = [None, "", "no scheme", "http://", "http://EXAMPLE.org", "http://a.Example.ORG/en/1x?y#z", "https://org/", "x://example.org/es/#a://b/c", "http://notexample.org/es/", "http://com/fr/", "http://a.b.com/de/q?x=/fr/", "http://u@example.org:80/en/1", "http://.org/", "http://example.org./es/", "ü://ß.org/é", "http://x.org?y/es/", "a\nb://c.org/\nd", "http://" + "a." * 60 + "org/" + "x" * 5000, "http://q." + "a." * 5000 + "example.org/es/", "http://example.org." + "a." * 4095 + "zz/es/", "http://" + "." * 9000 + "com/de/"]
 
 
 def test_matches_plain_rules(spark):
@@ -36,6 +36,22 @@ def test_matches_plain_rules(spark):
     assert uf.filter_urls(df.limit(0), URL_RULES).collect() == []
 
 
+def test_clashing_columns(spark):
+    names = ["__host", "__path", "host", "url_helper", "Url_Helper_keys", "__best", "verdict", "key"]
+    df = spark.createDataFrame([(1, "http://a.org/x", *names)] * 2, "page_id int, url string, " + ", ".join(f"`{n}` string" for n in names))
+    for r in uf.filter_urls(df, URL_RULES).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == ("a.org", "/x", "org/", "allow")
+        assert all(r[n] == n for n in names if n not in ("host", "verdict"))
+
+
+def test_hosts_of_any_number_of_labels(spark):
+    """A rule of many labels and a host of more than 4,096 behave as short ones do."""
+    rules = [("block", "a." * 5000 + "zz/"), ("allow", "zz/p")]
+    urls = ["http://" + "a." * n + "zz/p" for n in (0, 4095, 4096, 4999, 5000, 5001)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in uf.filter_urls(df, rules).collect()} == {i: judge(u, rules) for i, u in enumerate(urls)}
+
+
 def test_many_rules(spark):
     rng = random.Random(4)
     rules = list({f"h{rng.randrange(4000)}.example.org/{rng.choice(['', 'a', 'b/c'])}": rng.choice(["allow", "block"]) for _ in range(3000)}.items())
