@@ -1,18 +1,22 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised on a logarithmic scale.  An n-gram
-at level q is entered q times, as (n-gram, 1) to (n-gram, q); a reader probes
-(n-gram, 1), (n-gram, 2), ... until a probe fails and so finds the level.  A
-wrong answer can only make a level too high, and ever less likely so.
+Counts of word pairs are quantised on a logarithmic scale.  A pair at level q is
+entered q times, as (pair, 1) to (pair, q); a reader probes (pair, 1), (pair, 2),
+... until a probe fails and so finds the level.  A wrong answer can only make a
+level too high, and ever less likely so.
 
 The filter is cut into one segment for each hash bucket, so the reducers that
 sum the counts also build their segments.  It takes `bits` bits an entry at any
 size.  Up to `max_filter_bytes` the whole is broadcast; a larger one stays in its
-segments, and the n-grams of the texts are sent there and their levels back.
-
-A pair's probability is interpolated with the exact unigram probability; the
-weight depends on the level of the context and is fitted by leaving each
-training token out of the counts in turn.
+segments, and the pairs of the texts are sent there and their levels back.
+
+A pair's probability is its quantised count, less a discount, over the sum of
+the quantised counts of all pairs of its context; what the discount leaves goes
+to the exact unigram probabilities.  So the probabilities of all words after a
+context, the unknown word being one, add up to one, but for the filter's false
+positives.  Pairs are dealt by context, and their buckets by follower, so that
+the reducers have those sums, too; the discount comes from the numbers of pairs
+counted once and twice.
 """
 
 from __future__ import annotations
@@ -30,11 +34,10 @@ from .cluster import bucket_count, checkpoint, releasing, small_batches
 from .textnum import chunks, find_words, mix64
 
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS = 800_000
 STEP = 1.5  # ratio of neighbouring quantised counts
 LEAST = 2  # smallest count of the logarithmic scale; a count of one is a level of its own below it
-PROBES = 4
-GRID = np.array([0.0, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98])
+PROBES = 6
 LEVELS = 64
 SALTS = 4  # tasks that probe a segment which is not broadcast
 
@@ -62,20 +65,40 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return stream, counts + 1
 
 
-def pair_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + token)
+def follower(token: np.ndarray) -> np.ndarray:
+    """The 48 bits that stand for a token after its context."""
+    return token >> np.uint64(16)
+
+
+def pair_hash(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of a context and the follower bits of the token after it."""
+    return mix64(before * np.uint64(0x9E3779B97F4A7C15) + after)
+
+
+def _slot(hashes: np.ndarray, n: int) -> np.ndarray:
+    """One of n buckets for each hash, ascending with it."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
 
+@dataclass(frozen=True)
+class Layout:
+    """Buckets: `words` for words, then `groups` times `parts` for pairs; a context is in all parts of its group."""
 
-def pairs_of(stream: np.ndarray) -> np.ndarray:
-    """Pair hashes of a stream; texts follow one another, so each first word has an end as its context."""
-    return pair_hash(np.concatenate(([END], stream[:-1])), stream)
+    words: int
+    groups: int
+    parts: int
 
+    @classmethod
+    def of(cls, buckets: int) -> Layout:
+        parts = max(1, buckets // 16)
+        return cls(buckets, -(-buckets // parts), parts)
 
-def _merge(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, dtype=np.int64)
-    return hashes[begin], np.add.reduceat(counts, begin) if len(begin) else counts
+    @property
+    def pairs(self) -> int:
+        return self.groups * self.parts
+
+    def of_pair(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return _slot(before, self.groups) * self.parts + (after % np.uint64(self.parts)).astype(np.int64)
 
 
 def _pack(values: np.ndarray, kind: str) -> bytes:
@@ -86,31 +109,50 @@ def _unpack(data: bytes, n: int, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), dtype=kind) if n else np.empty(0, dtype=kind)
 
 
-def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
-    """Packed counts by bucket: words in buckets 0.., pairs in buckets `buckets`.., all of them."""
-    schema = "bucket int, n int, hashes binary, counts binary, total bigint"
+def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by bucket, and where each bucket begins in it."""
+    by = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def _distinct_pairs(distinct: np.ndarray, at: np.ndarray, inverse: bool = False) -> tuple[np.ndarray, ...]:
+    """Places, among the distinct tokens, of context and token of each distinct pair, with its count or each token's pair."""
+    before = np.concatenate((np.searchsorted(distinct, [END]), at[:-1]))
+    codes = before * len(distinct) + at
+    codes, other = np.unique(codes, return_inverse=inverse, return_counts=not inverse)
+    return *np.divmod(codes, len(distinct)), other
+
+
+_SHARE = "bucket int, n int, hashes binary, counts binary, ctx binary, runs binary"
+_GRAMS = "bucket int, n int, total bigint, hashes binary, counts binary, once bigint, twice bigint, m int, ctx binary, mass binary, followers binary"
+
+
+def count_grams(texts: DataFrame, layout: Layout) -> DataFrame:
+    """Packed counts by bucket, of words and of pairs; pair rows also have sum and number of followers of their contexts."""
 
     def share(batches):
         held, size = [], 0
 
         def flush():
-            stream = np.concatenate(held)
-            for order, grams in enumerate((stream, pairs_of(stream))):
-                hashes, counts = _merge(grams, np.ones(len(grams), dtype=np.int64))
-                bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-                by = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                used = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-                spans = [by[edges[b] : edges[b + 1]] for b in used]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array([order * buckets + b for b in used], pa.int32()),
-                        "n": pa.array([len(x) for x in spans], pa.int32()),
-                        "hashes": pa.array([hashes[x].tobytes() for x in spans], pa.binary()),
-                        "counts": pa.array([_pack(counts[x], "<u4") for x in spans], pa.binary()),
-                        "total": pa.array([0] * len(used), pa.int64()),
-                    }
-                )
+            distinct, at, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            edges = np.searchsorted(_slot(distinct, layout.words), np.arange(layout.words + 1))
+            spans = [(b, i, j) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if i < j]
+            none = [None] * len(spans)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _, _ in spans], pa.int32()), pa.array([j - i for _, i, j in spans], pa.int32()), pa.array([distinct[i:j].tobytes() for _, i, j in spans], pa.binary()), pa.array([_pack(counts[i:j], "<u4") for _, i, j in spans], pa.binary()), pa.array(none, pa.binary()), pa.array(none, pa.binary())],
+                ["bucket", "n", "hashes", "counts", "ctx", "runs"],
+            )
+            first, second, counts = _distinct_pairs(distinct, at)
+            after = follower(distinct[second])
+            by, edges = _by_bucket(layout.of_pair(distinct[first], after), layout.pairs)
+            rows = []
+            for b in np.flatnonzero(edges[1:] > edges[:-1]):
+                own = by[edges[b] : edges[b + 1]]
+                begin = np.flatnonzero(np.diff(first[own], prepend=-1))
+                runs = np.diff(np.append(begin, len(own)))
+                # contexts and runs cost little; a follower is six bytes
+                rows.append((layout.words + int(b), len(own), after[own].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), _pack(counts[own], "<u4"), distinct[first[own[begin]]].tobytes(), _pack(runs, "<u4")))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "n", "hashes", "counts", "ctx", "runs"])
 
         for batch in batches:
             for piece in chunks(batch, "text"):
@@ -123,21 +165,59 @@ def count_grams(texts: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield from flush()
 
+    def read(row: dict) -> tuple[np.ndarray, ...]:
+        """Hashes, counts and, of pairs, contexts."""
+        counts = _unpack(row["counts"], row["n"], "<u4").astype(np.int64)
+        if row["ctx"] is None:
+            return np.frombuffer(row["hashes"], dtype="<u8"), counts
+        after = np.zeros((row["n"], 8), dtype=np.uint8)
+        after[:, :6] = np.frombuffer(row["hashes"], dtype=np.uint8).reshape(-1, 6)
+        ctx = np.frombuffer(row["ctx"], dtype="<u8")
+        ctx = np.repeat(ctx, _unpack(row["runs"], len(ctx), "<u4"))
+        return pair_hash(ctx, after.view("<u8").ravel()), counts, ctx
+
     def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = key[0].as_py()
-        hashes, counts, waiting, size = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), [], 0
+        bucket, waiting, size, sums = key[0].as_py(), [], 0, None
+
+        def summed():
+            grams = [np.concatenate(x) for x in zip(*([sums] if sums else []), *waiting, strict=True)]
+            order = np.argsort(grams[0])
+            hashes, counts = grams[0][order], grams[1][order]
+            begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            return (hashes[begin], np.add.reduceat(counts, begin), *(x[order[begin]] for x in grams[2:]))
+
         for batch in batches:
-            for n, h, c in zip(*(batch.column(x).to_pylist() for x in ("n", "hashes", "counts")), strict=True):
-                waiting.append((np.frombuffer(h, dtype="<u8"), _unpack(c, n, "<u4").astype(np.int64)))
-                size += n
-                if size > len(hashes) + 500_000:  # merge now and then, each time at least doubling
-                    hashes, counts = _merge(np.concatenate([hashes, *(x[0] for x in waiting)]), np.concatenate([counts, *(x[1] for x in waiting)]))
+            for row in batch.to_pylist():
+                waiting.append(read(row))
+                size += row["n"]
+                if size > (len(sums[0]) if sums else 0) + 300_000:  # merge now and then, each time at least doubling
+                    sums = summed()
                     waiting, size = [], 0
-        hashes, counts = _merge(np.concatenate([hashes, *(x[0] for x in waiting)]), np.concatenate([counts, *(x[1] for x in waiting)]))
-        total = int(counts.sum())
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(hashes)], pa.int32()), "hashes": pa.array([hashes.tobytes()], pa.binary()), "counts": pa.array([_pack(counts, "<i8")], pa.binary()), "total": pa.array([total], pa.int64())})
+        hashes, counts, *ctx = summed() if waiting else sums
+        row = {"bucket": bucket, "n": len(hashes), "total": int(counts.sum()), "hashes": hashes.tobytes(), "counts": _pack(counts, "<i8"), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "m": 0, "ctx": None, "mass": None, "followers": None}
+        if ctx:
+            names, at = np.unique(ctx[0], return_inverse=True)
+            row |= {"m": len(names), "ctx": names.tobytes(), "mass": np.bincount(at, weights=_MIDDLE[entries_of(counts)]).tobytes(), "followers": _pack(np.bincount(at), "<i8")}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("once", pa.int64()), ("twice", pa.int64()), ("m", pa.int32()), ("ctx", pa.binary()), ("mass", pa.binary()), ("followers", pa.binary())]))
+
+    return texts.select("text").mapInArrow(releasing(share), _SHARE).groupBy("bucket").applyInArrow(merge, _GRAMS)
+
+
+def _context_sums(grams: DataFrame, layout: Layout) -> DataFrame:
+    """Packed contexts with sum and number of their followers, over all parts of a group: m, ctx, mass, followers."""
+
+    def add(batches_of_group: pa.Table) -> pa.Table:
+        parts = [_contexts(r) for r in batches_of_group.to_pylist()]
+        ctx, mass, followers = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names, at = np.unique(ctx, return_inverse=True)
+        return pa.table({"m": pa.array([len(names)], pa.int32()), "ctx": pa.array([names.tobytes()], pa.binary()), "mass": pa.array([np.bincount(at, weights=mass).tobytes()], pa.binary()), "followers": pa.array([_pack(np.bincount(at, weights=followers), "<i8")], pa.binary())})
+
+    packed = grams.where(F.col("bucket") >= layout.words).select(F.floor((F.col("bucket") - layout.words) / layout.parts).alias("group"), "m", "ctx", "mass", "followers")
+    return packed.groupBy("group").applyInArrow(add, "m int, ctx binary, mass binary, followers binary")
 
-    return texts.select("text").mapInArrow(releasing(share), schema).groupBy("bucket").applyInArrow(merge, schema)
+
+def _contexts(row: dict) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(row["ctx"], dtype="<u8"), np.frombuffer(row["mass"], dtype="<f8"), _unpack(row["followers"], row["m"], "<i8")
 
 
 def _grams(batch: pa.RecordBatch):
@@ -147,12 +227,11 @@ def _grams(batch: pa.RecordBatch):
 
 @dataclass
 class CountFilter:
-    """The log-frequency filter: bit segments side by side, one for each bucket of each order."""
+    """The log-frequency filter: bit segments side by side, one for each bucket of pairs."""
 
     bits: np.ndarray
     begin: np.ndarray  # first byte of each segment
     size: np.ndarray  # bits of each segment
-    buckets: int
 
     @staticmethod
     def hashes(grams: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
@@ -165,10 +244,22 @@ class CountFilter:
         """Bit of one probe, in a segment of `size` bits (fewer than 2**32)."""
         return ((a + np.uint64(probe) * b) >> np.uint64(32)) * np.asarray(size, dtype=np.uint64) >> np.uint64(32)
 
-    def levels(self, grams: np.ndarray, order: int) -> np.ndarray:
+    @classmethod
+    def segment(cls, grams: np.ndarray, counts: np.ndarray, bits: float) -> tuple[int, np.ndarray]:
+        """Size in bits and bytes of the segment that holds the counts."""
+        level = entries_of(counts)
+        size = int(level.sum() * bits) // 8 * 8 + 64 if level.any() else 0
+        body = np.zeros(size // 8, dtype=np.uint8)
+        for step in range(1, int(level.max(initial=0)) + 1):
+            a, b = cls.hashes(grams[level >= step], step)
+            for probe in range(PROBES):
+                at = cls.place(a, b, size, probe)
+                np.bitwise_or.at(body, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+        return size, body
+
+    def levels(self, grams: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """Level of each n-gram, found by probing level after level until one is missing."""
         out = np.zeros(len(grams), dtype=np.int64)
-        segment = order * self.buckets + (grams % np.uint64(self.buckets)).astype(np.int64)
         alive = np.flatnonzero(self.size[segment] > 0)
         begin, size, grams = self.begin[segment[alive]], self.size[segment[alive]].astype(np.uint64), grams[alive]
         for level in range(1, LEVELS):
@@ -183,53 +274,48 @@ class CountFilter:
         return out
 
 
-def distinct_grams(stream: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct tokens, each token's place among them and its context's, both places of each distinct pair, and each token's pair."""
-    distinct, at = np.unique(stream, return_inverse=True)
-    before = np.concatenate((np.searchsorted(distinct, [END]), at[:-1]))
-    codes, pair_at = np.unique(before * len(distinct) + at, return_inverse=True)
-    return distinct, at, before, *np.divmod(codes, len(distinct)), pair_at
-
-
 @dataclass
 class Model:
     counts: CountFilter | None  # none if the filter stays in its segments
+    layout: Layout
     words: np.ndarray  # hashes of the most frequent words, ascending
     word_counts: np.ndarray
+    mass: np.ndarray  # sum of the quantised counts of the pairs that begin with each
+    followers: np.ndarray  # number of those pairs
     complete: bool  # whether `words` are all words of the training texts
     tokens: int
     vocabulary: int
-    weights: np.ndarray  # of the pair estimate, by level of the context
+    discount: float
 
     def unigram(self, count):
         return (count + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1))
 
-    def exact(self, stream: np.ndarray) -> np.ndarray:
-        """Counts of tokens among the frequent words, else -1."""
-        at = np.minimum(np.searchsorted(self.words, stream), max(0, len(self.words) - 1))
-        return np.where(self.words[at] == stream, self.word_counts[at], -1) if len(self.words) else np.full(len(stream), -1)
+    def places(self, tokens: np.ndarray) -> np.ndarray:
+        """Places of tokens among the frequent words, else -1."""
+        if not len(self.words):
+            return np.full(len(tokens), -1)
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        return np.where(self.words[at] == tokens, at, -1)
 
-    def look_up(self, stream: np.ndarray, levels: Callable, left_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token its exact count (-1: not among the frequent words), its context's level, and the pair's share of the context's count.
+    def look_up(self, stream: np.ndarray, levels: Callable) -> dict[str, np.ndarray]:
+        """For each token: its count and its context's sum and followers (-1 where they are not at hand), and the discounted pair count.
 
-        Every distinct token and pair of the stream is looked up once, by
-        `levels` of n-grams, their order and their places among all of it.
+        Every distinct pair of the stream is looked up once, by `levels` of
+        pairs, their buckets and their places among all of it.
         """
-        distinct, at, before, first, second, pair_at = distinct_grams(stream)
-        count, level = self.exact(distinct), levels(distinct, 0, slice(None))
-        likely = np.flatnonzero((level[first] > 0) & (level[second] > 0))
+        distinct, at = np.unique(stream, return_inverse=True)
+        first, second, pair_at = _distinct_pairs(distinct, at, inverse=True)
+        place = self.places(distinct)
+        none = 0 if self.complete else -1
+        count, mass, followers = (np.where(place >= 0, x[place] if len(x) else none, none) for x in (self.word_counts, self.mass, self.followers))
+        # a pair of an unknown word was never seen
+        likely = np.flatnonzero((count[first] != 0) & (count[second] != 0))
+        before, after = distinct[first[likely]], follower(distinct[second[likely]])
+        level = levels(pair_hash(before, after), self.layout.of_pair(before, after), likely)
         pair = np.zeros(len(first))
-        first, second = first[likely], second[likely]
-        part = np.maximum(_MIDDLE[levels(pair_hash(distinct[first], distinct[second]), 1, likely)] - left_out, 0.0)
-        pair[likely] = part / np.maximum(np.maximum(_MIDDLE[level[first]] - left_out, part), 1.0)
-        return count[at], level[before], pair[pair_at]
-
-
-def _by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the n-grams by bucket, and where each bucket begins in it."""
-    bucket = (grams % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+        pair[likely] = np.maximum(_MIDDLE[level] - self.discount, 0.0)
+        context = first[pair_at]
+        return {"count": count[at], "context": distinct[context], "mass": mass[context], "followers": followers[context], "pair": pair[pair_at]}
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict]]:
@@ -238,8 +324,16 @@ def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict]]:
         yield pa.ipc.open_stream(body.as_buffer()).read_next_batch(), {g["bucket"]: g["levels"] for g in given or []}
 
 
-def _routed(rows: DataFrame, segments: DataFrame, buckets: int) -> DataFrame:
-    """Pieces of the rows (`body`) with the levels of all their n-grams by bucket (`given`), probed segment by segment."""
+def _pairs_by_bucket(piece: pa.RecordBatch, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct pairs of a piece, their order by bucket, and where each bucket begins in it."""
+    distinct, at = np.unique(token_stream(piece.column("text"))[0], return_inverse=True)
+    first, second, _ = _distinct_pairs(distinct, at)
+    before, after = distinct[first], follower(distinct[second])
+    return pair_hash(before, after), *_by_bucket(layout.of_pair(before, after), layout.pairs)
+
+
+def _routed(rows: DataFrame, segments: DataFrame, layout: Layout) -> DataFrame:
+    """Pieces of the rows (`body`) with the levels of all their pairs by bucket (`given`), probed segment by segment."""
 
     def pack(batches):
         for batch in batches:
@@ -252,19 +346,17 @@ def _routed(rows: DataFrame, segments: DataFrame, buckets: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for name, (piece, _) in zip(batch.column("piece").to_pylist(), _read(batch), strict=True):
-                stream, _ = token_stream(piece.column("text"))
-                distinct, _, _, first, second, _ = distinct_grams(stream)
-                for order, grams in enumerate((distinct, pair_hash(distinct[first], distinct[second]))):
-                    by, edges = _by_bucket(grams, buckets)
-                    used = np.flatnonzero(edges[1:] > edges[:-1])
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(order * buckets + used, pa.int32()), "salt": pa.array([name % SALTS] * len(used), pa.int32()), "piece": pa.array([name] * len(used), pa.int64()), "grams": pa.array([grams[by[edges[b] : edges[b + 1]]].tobytes() for b in used], pa.binary())})
+                grams, by, edges = _pairs_by_bucket(piece, layout)
+                used = np.flatnonzero(edges[1:] > edges[:-1])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "salt": pa.array([name % SALTS] * len(used), pa.int32()), "piece": pa.array([name] * len(used), pa.int64()), "grams": pa.array([grams[by[edges[b] : edges[b + 1]]].tobytes() for b in used], pa.binary())})
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         levels = []
         body, size = (held.column("body")[0].as_buffer(), held.column("size")[0].as_py()) if len(held) else (b"", 0)
-        part = CountFilter(np.frombuffer(body, dtype=np.uint8), np.array([0]), np.array([size]), 1)
-        for grams in asked.column("grams"):
-            levels.append(part.levels(np.frombuffer(grams.as_buffer(), dtype="<u8"), 0).astype(np.uint8).tobytes())
+        part = CountFilter(np.frombuffer(body, dtype=np.uint8), np.array([0]), np.array([size]))
+        for packed in asked.column("grams"):
+            grams = np.frombuffer(packed.as_buffer(), dtype="<u8")
+            levels.append(part.levels(grams, np.zeros(len(grams), dtype=np.int64)).astype(np.uint8).tobytes())
         return pa.table({"piece": asked.column("piece"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
     pieces = checkpoint(rows.mapInArrow(releasing(pack), "body binary").withColumn("piece", F.monotonically_increasing_id()))
@@ -275,122 +367,107 @@ def _routed(rows: DataFrame, segments: DataFrame, buckets: int) -> DataFrame:
     return pieces.join(given, "piece", "left").select("body", "given")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], model: Model, buckets: int) -> Iterator[tuple[pa.RecordBatch, Callable]]:
-    """Pieces of texts, each with the function that finds the levels of its n-grams."""
+def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, Callable]]:
+    """Pieces of texts, each with the function that finds the levels of its pairs."""
     for batch in batches:
         if model.counts is not None:
             for piece in chunks(batch, "text"):
-                yield piece, lambda grams, order, places: model.counts.levels(grams, order)
+                yield piece, lambda grams, bucket, places: model.counts.levels(grams, bucket)
             continue
         for piece, given in _read(batch):
 
-            def levels(grams, order, places, piece=piece, given=given):
-                distinct, _, _, first, second, _ = distinct_grams(token_stream(piece.column("text"))[0])
-                whole = pair_hash(distinct[first], distinct[second]) if order else distinct
-                by, edges = _by_bucket(whole, buckets)
+            def levels(grams, bucket, places, piece=piece, given=given):
+                whole, by, edges = _pairs_by_bucket(piece, model.layout)
                 out = np.zeros(len(whole), dtype=np.int64)
-                for b in range(buckets):
-                    if edges[b] < edges[b + 1]:
-                        out[by[edges[b] : edges[b + 1]]] = np.frombuffer(given[order * buckets + b], dtype=np.uint8)
+                for b in np.flatnonzero(edges[1:] > edges[:-1]):
+                    out[by[edges[b] : edges[b + 1]]] = np.frombuffer(given[b], dtype=np.uint8)
                 return out[places]
 
             yield piece, levels
 
 
-def _build_filter(grams: DataFrame, buckets: int, bits: float, max_filter_bytes: int) -> tuple[CountFilter | None, DataFrame | None]:
+def _build_filter(grams: DataFrame, layout: Layout, bits: float, max_filter_bytes: int) -> tuple[CountFilter | None, DataFrame | None]:
     """The filter, or its segments (bucket, size, body) if it is too large to be broadcast."""
+    packed = grams.where(F.col("bucket") >= layout.words).select((F.col("bucket") - layout.words).alias("bucket"), "n", "hashes", "counts")
+
     def entered(batches):
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"n": pa.array([int(sum(int(entries_of(c).sum()) for _, _, c in _grams(batch)))], pa.int64())})
 
-    total = grams.select("bucket", "n", "hashes", "counts").mapInArrow(entered, "n bigint").agg(F.sum("n")).first()[0] or 0
-
     def segments(batches):
         for batch in batches:
             for bucket, hashes, counts in _grams(batch):
-                level = entries_of(counts)
-                size = int(level.sum() * bits) // 8 * 8 + 64 if level.any() else 0
-                body = np.zeros(size // 8, dtype=np.uint8)
-                if size:
-                    keys = np.repeat(hashes, level)
-                    begin = np.cumsum(level) - level
-                    step = np.arange(len(keys)) - np.repeat(begin, level) + 1
-                    a, b = CountFilter.hashes(keys, step)
-                    for probe in range(PROBES):
-                        at = CountFilter.place(a, b, size, probe)
-                        np.bitwise_or.at(body, (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+                size, body = CountFilter.segment(hashes, counts, bits)
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "body": pa.array([body.tobytes()], pa.binary())})
 
-    built = grams.select("bucket", "n", "hashes", "counts").mapInArrow(segments, "bucket int, size bigint, body binary")
+    total = packed.mapInArrow(entered, "n bigint").agg(F.sum("n")).first()[0] or 0
+    built = packed.mapInArrow(releasing(segments), "bucket int, size bigint, body binary")
     if total * bits > 8 * max_filter_bytes:
         return None, checkpoint(built)
-    made = {r.bucket: (r["size"], r.body) for r in built.toLocalIterator()}
-    size = np.array([made.get(b, (0, b""))[0] for b in range(2 * buckets)], dtype=np.int64)
-    body = np.frombuffer(b"".join(made.get(b, (0, b""))[1] for b in range(2 * buckets)), dtype=np.uint8)
-    return CountFilter(body, np.cumsum(size // 8) - size // 8, size, buckets), None
-
-
-def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20, frequent_words: int = 1 << 20) -> tuple[Model, DataFrame, DataFrame | None, int]:
-    """Model of the column `text`, the packed word counts (all of them), the filter's segments if it is not broadcast, and its buckets."""
-    spark = texts.sparkSession
-    buckets = bucket_count(texts)
-    grams = checkpoint(count_grams(texts, buckets))
-    words = grams.where(F.col("bucket") < buckets)
+    made = built.toArrow()
+    size, begin, at = np.zeros(layout.pairs, dtype=np.int64), np.zeros(layout.pairs, dtype=np.int64), 0
+    body = np.empty(sum(made.column("size").to_pylist()) // 8, dtype=np.uint8)
+    for bucket, n, part in zip(made.column("bucket").to_pylist(), made.column("size").to_pylist(), made.column("body"), strict=True):
+        size[bucket], begin[bucket] = n, at
+        body[at : at + n // 8] = np.frombuffer(part.as_buffer(), dtype=np.uint8) if n else 0
+        at += n // 8
+    return CountFilter(body, begin, size), None
+
+
+def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 20, frequent_words: int = 1 << 20) -> tuple[Model, DataFrame, DataFrame | None]:
+    """Model of the column `text`, its packed counts (all of them), and the filter's segments if it is not broadcast."""
+    layout = Layout.of(bucket_count(texts))
+    grams = checkpoint(count_grams(texts, layout))
+    words = grams.where(F.col("bucket") < layout.words)
     sums = words.agg(F.sum("total"), F.sum("n")).first()
     tokens, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
-    counts, segments = _build_filter(grams, buckets, bits, max_filter_bytes)
+    rare = grams.where(F.col("bucket") >= layout.words).agg(F.sum("once"), F.sum("twice")).first()
+    once, twice = int(rare[0] or 0), int(rare[1] or 0)
+    discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+    counts, segments = _build_filter(grams, layout, bits, max_filter_bytes)
+    packed = words.select("bucket", "n", "hashes", "counts")
+    floor = 0
+    if vocabulary > frequent_words:
 
-    def spread(batches):
-        for batch in batches:
-            for _, _, c in _grams(batch):
-                value, n = np.unique(levels_of(c), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["level", "n"])
+        def spread(batches):
+            for batch in batches:
+                for _, _, c in _grams(batch):
+                    value, n = np.unique(entries_of(c), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["level", "n"])
 
-    packed = words.select("bucket", "n", "hashes", "counts")
-    by_level = {r.level: r.n for r in packed.mapInArrow(spread, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    floor, room = LEVELS, frequent_words
-    while floor > 0 and by_level.get(floor - 1, 0) <= room:
-        floor -= 1
-        room -= by_level.get(floor, 0)
+        by_level = {r.level: r.n for r in packed.mapInArrow(spread, "level bigint, n bigint").groupBy("level").agg(F.sum("n").alias("n")).collect()}
+        floor, room = LEVELS, frequent_words
+        while floor > 0 and by_level.get(floor - 1, 0) <= room:
+            floor -= 1
+            room -= by_level.get(floor, 0)
 
     def frequent(batches):
         for batch in batches:
             for _, h, c in _grams(batch):
-                keep = levels_of(c) >= floor
+                keep = entries_of(c) >= floor
                 yield pa.RecordBatch.from_arrays([pa.array([h[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], ["h", "c"])
 
-    parts = list(packed.mapInArrow(frequent, "h binary, c binary").toLocalIterator())
-    head = np.frombuffer(b"".join(r.h for r in parts), dtype="<u8")
+    # at most `frequent_words` words of 16 bytes each
+    parts = packed.mapInArrow(frequent, "h binary, c binary").toArrow()
+    head, have = (np.frombuffer(b"".join(parts.column(x).to_pylist()), dtype=t) for x, t in (("h", "<u8"), ("c", "<i8")))
     order = np.argsort(head)
-    model = Model(counts, head[order], np.frombuffer(b"".join(r.c for r in parts), dtype="<i8")[order], floor == 0, tokens, vocabulary, np.zeros(LEVELS))
-    shared = spark.sparkContext.broadcast(model)
+    head, have = head[order], have[order]
+    shared = texts.sparkSession.sparkContext.broadcast(head)
 
-    def gain(batches):
-        total = np.zeros((LEVELS, len(GRID)))
-        m = shared.value
-        for piece, levels in _pieces(batches, m, buckets):
-            stream, _ = token_stream(piece.column("text"))
-            count, level, share = m.look_up(stream, levels, left_out=1)
-            plain = m.unigram(np.maximum(count, 1) - 1)
-            seen = share > 0
-            # where no pair is known the mixture only loses the pair's weight
-            missing = np.bincount(level[~seen], minlength=LEVELS)
-            total += missing[:, None] * np.log10(1 - GRID)[None, :]
-            ratio, group = share[seen] / plain[seen], level[seen]
-            for k, w in enumerate(GRID):
-                total[:, k] += np.bincount(group, weights=np.log10(w * ratio + 1 - w), minlength=LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(LEVELS), len(GRID))), pa.array(np.tile(np.arange(len(GRID)), LEVELS)), pa.array(total.ravel())], ["level", "weight", "gain"])
-
-    asked = texts.select("text") if segments is None else _routed(texts.select("text"), segments, buckets)
-    found = asked.mapInArrow(releasing(gain), "level bigint, weight bigint, gain double").groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect()
-    table = np.zeros((LEVELS, len(GRID)))
-    for r in found:
-        table[r.level, r.weight] = r.gain
-    model.weights = GRID[table.argmax(axis=1)]
-    model.weights[0] = 0.0
-    model.weights[1] = model.weights[2]  # of a context counted once nothing is left out; of one counted twice, one is left
+    def known(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ctx, mass, followers = _contexts(row)
+                keep = np.isin(ctx, shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array([x[keep].tobytes()], pa.binary()) for x in (ctx, mass, followers)], ["h", "m", "f"])
+
+    parts = _context_sums(grams, layout).mapInArrow(known, "h binary, m binary, f binary").toArrow()
+    ctx, mass, followers = (np.frombuffer(b"".join(parts.column(x).to_pylist()), dtype=t) for x, t in (("h", "<u8"), ("m", "<f8"), ("f", "<i8")))
+    at = np.searchsorted(head, ctx)
+    sums, numbers = np.zeros(len(head)), np.zeros(len(head), dtype=np.int64)
+    sums[at], numbers[at] = mass, followers
     shared.unpersist()
-    return model, packed, segments, buckets
+    return Model(counts, layout, head, have, sums, numbers, floor == 0, tokens, vocabulary, discount), grams, segments
 
 
 def in_part(doc_id: Column, parts: int, part: int) -> Column:
@@ -398,7 +475,7 @@ def in_part(doc_id: Column, parts: int, part: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts == part
 
 
-def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20, frequent_words: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 20, frequent_words: int = 1 << 20) -> DataFrame:
     """Score every row's whole text under a model of the rows that are not held out.
 
     Held out is a tenth of the ids (crc32 of the id's text, remainder 0 by 10).
@@ -407,57 +484,79 @@ def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 256 << 20
 
     Null and empty texts are one end token.  Repeated rows are scored one by
     one and count as often as they come; a null doc_id is held out.  Other
-    columns are dropped.  Without training rows every word is unknown; an empty
-    table gives an empty result.
+    columns are dropped, whatever their names.  A text of any length is read
+    whole.  Without training rows every word is unknown; an empty table gives
+    an empty result.
 
-    Exact counts of the `frequent_words` most frequent words travel with the
-    model; those of all rarer words are joined to the rare tokens by hash.
+    Counts and context sums of the `frequent_words` most frequent words travel
+    with the model; those of all rarer words are joined by hash to the tokens
+    that need them.  Neither this bound nor `max_filter_bytes` changes a score.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), in_part(F.col("doc_id"), 10, 0).alias("held_out"))
-    model, packed, segments, buckets = train(rows.where(~F.col("held_out")), bits, max_filter_bytes, frequent_words)
+    model, grams, segments = train(rows.where(~F.col("held_out")), bits, max_filter_bytes, frequent_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, pair double, rare array<struct<h:bigint,a:double,b:double>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<token:bigint,context:bigint,count:bigint,pair:double,share:double,back:double>>"
 
     def run(batches):
         m = shared.value
-        for piece, levels in _pieces(batches, m, buckets):
+        for piece, levels in _pieces(batches, m):
             stream, sizes = token_stream(piece.column("text"))
-            count, level, share = m.look_up(stream, levels)
-            weight = m.weights[level]
-            rare = (count < 0) & (not m.complete)
-            count = np.maximum(count, 0)
-            plain = m.unigram(count)
+            found = m.look_up(stream, levels)
+            count, mass = found["count"], found["mass"]
+            share = np.divide(found["pair"], mass, out=np.zeros(len(mass)), where=mass > 0)
+            back = np.divide(m.discount * found["followers"], mass, out=np.ones(len(mass)), where=mass > 0)
+            share = np.minimum(share, 1 - back)  # false positives apart, no pair has more
+            no_count, no_sums = count < 0, mass < 0
+            rare = no_count | no_sums
+            plain = m.unigram(np.maximum(count, 0))
             begin = np.cumsum(sizes) - sizes
-            base = np.where(rare, 0.0, np.log10(plain))
-            pair = np.where(rare, 0.0, np.log10(weight * share + (1 - weight) * plain))
+            base = np.where(no_count, 0.0, np.log10(plain))
+            value = np.where(rare, 0.0, np.log10(share + back * plain))
             edges = np.concatenate(([0], np.cumsum(np.add.reduceat(rare, begin, dtype=np.int64)))).astype(np.int32)
             at = np.flatnonzero(rare)
-            asked = pa.StructArray.from_arrays([pa.array(stream[at].view(np.int64)), pa.array((weight * share)[at]), pa.array((1 - weight)[at])], ["h", "a", "b"])
-            columns = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(pair, begin)), pa.ListArray.from_arrays(pa.array(edges), asked)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "pair", "rare"])
+            parts = [pa.array(stream[at].view(np.int64), mask=~no_count[at]), pa.array(found["context"][at].view(np.int64), mask=~no_sums[at]), pa.array(count[at]), *(pa.array(x[at]) for x in (found["pair"], share, back))]
+            asked = pa.StructArray.from_arrays(parts, ["token", "context", "count", "pair", "share", "back"])
+            columns = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(value, begin)), pa.ListArray.from_arrays(pa.array(edges), asked)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     asked = rows.select("doc_id", "text", "held_out")
-    done = (asked if segments is None else _routed(asked, segments, buckets)).mapInArrow(releasing(run), schema)
+    done = (asked if segments is None else _routed(asked, segments, model.layout)).mapInArrow(releasing(run), schema)
     if not model.complete:
-        done = _with_rare(done, packed, model)
-    return done.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), F.col("pair").alias("score"))
+        done = _with_rare(done, grams, model)
+    return done.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+
 
+def _with_rare(done: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
+    """Add the terms of tokens whose count, or whose context's sums, are not with the model; all of them joined by hash."""
+    layout, least = model.layout, int(model.word_counts.min(initial=2**62))
 
-def _with_rare(done: DataFrame, packed: DataFrame, model: Model) -> DataFrame:
-    """Add the terms of tokens that are not among the frequent words, their exact counts joined by hash."""
     def rare_counts(batches):
         for batch in batches:
             for _, h, c in _grams(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
+                keep = c < least
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["h", "c"])
+
+    def rare_sums(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                ctx, mass, followers = _contexts(row)
+                yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array(mass), pa.array(followers)], ["g", "mass", "followers"])
 
-    counts = packed.mapInArrow(rare_counts, "h bigint, c bigint").where(F.col("c") < int(model.word_counts.min(initial=2**62)))
+    counts = grams.where(F.col("bucket") < layout.words).select("bucket", "n", "hashes", "counts").mapInArrow(rare_counts, "h bigint, c bigint")
+    sums = _context_sums(grams, layout).mapInArrow(rare_sums, "g bigint, mass double, followers bigint")
     bottom = model.tokens + 0.1 * (model.vocabulary + 1)
     one = done.withColumn("row", F.monotonically_increasing_id())
-    wide = one.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "pair", F.explode_outer("rare").alias("r"))
-    joined = wide.select("*", F.col("r.h").alias("h")).join(counts, "h", "left")
-    p = (F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(bottom)
-    terms = joined.withColumn("b", F.when(F.col("r").isNotNull(), F.log10(p)).otherwise(0.0)).withColumn("q", F.when(F.col("r").isNotNull(), F.log10(F.col("r.a") + F.col("r.b") * p)).otherwise(0.0)).withColumn("k", (F.col("c") > 0).cast("bigint"))
-    sums = terms.groupBy("row").agg(*(F.first(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "pair")), F.sum("b").alias("b"), F.sum("q").alias("q"), F.sum(F.coalesce("k", F.lit(0))).alias("k"))
-    return sums.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("k")).alias("known"), (F.col("base") + F.col("b")).alias("base"), (F.col("pair") + F.col("q")).alias("pair"))
+    wide = one.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("r"))
+    # a token is asked for, or its context, or both; where one is not, the other's hash keeps the join even
+    wide = wide.withColumn("h", F.coalesce("r.token", "r.context")).withColumn("g", F.coalesce("r.context", "r.token"))
+    joined = wide.join(counts, "h", "left").join(sums, "g", "left")
+    count = F.when(F.col("r.token").isNotNull(), F.coalesce("c", F.lit(0))).otherwise(F.col("r.count"))
+    p = (count + F.lit(0.1)) / F.lit(bottom)
+    back = F.when(F.col("r.context").isNull(), F.col("r.back")).otherwise(F.coalesce(F.lit(model.discount) * F.col("followers") / F.col("mass"), F.lit(1.0)))
+    share = F.when(F.col("r.context").isNull(), F.col("r.share")).otherwise(F.coalesce(F.least(F.col("r.pair") / F.col("mass"), 1 - back), F.lit(0.0)))
+    there = F.col("r").isNotNull()
+    terms = joined.withColumn("b", F.when(F.col("r.token").isNotNull(), F.log10(p)).otherwise(0.0)).withColumn("q", F.when(there, F.log10(share + back * p)).otherwise(0.0)).withColumn("k", F.when(F.col("r.token").isNotNull() & (F.col("c") > 0), 1).otherwise(0))
+    total = terms.groupBy("row").agg(*(F.first(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "score")), F.sum("b").alias("b"), F.sum("q").alias("q"), F.sum("k").alias("k"))
+    return total.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("k")).alias("known"), (F.col("base") + F.col("b")).alias("base"), (F.col("score") + F.col("q")).alias("score"))
