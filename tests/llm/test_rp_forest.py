@@ -29,7 +29,7 @@ def test_recall_and_exact_scores(spark):
     body = (centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 32))).astype(np.float32)
     rows = [(i, body[i].tolist()) for i in range(3000)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
-    got = answers(rp_forest.nearest(df, sample_rows=1500, leaf_size=32, enough=0.6, at_least=100, block=400))
+    got = answers(rp_forest.nearest(df, sample_rows=1500, leaf_size=32, block=50, query_block=3))
     want = brute(rows, 10, 100)
     assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
     hits = sum(len({x for x, _ in got[q]} & {x for x, _ in want[q]}) for q in want)
