@@ -17,16 +17,21 @@ context, the unknown word being one, add up to one, but for the filter's false
 positives.  Pairs are dealt by context, and their buckets by follower, so that
 the reducers have those sums, too; the discount comes from the numbers of pairs
 counted once and twice.
+
+Counts and sums of the most frequent words travel with the model.  Those of all
+others are asked for by hash: a share of the texts sends each of its rare words
+once to the word's bucket, and the answers back to the tokens that wait for them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +40,8 @@ from .textnum import chunks, find_words, mix64
 
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
 FLUSH_TOKENS = 800_000
+SCORE_TOKENS = 400_000
+PIECE_BYTES = 1 << 20
 STEP = 1.5  # ratio of neighbouring quantised counts
 LEAST = 2  # smallest count of the logarithmic scale; a count of one is a level of its own below it
 PROBES = 6
@@ -82,16 +89,22 @@ def _slot(hashes: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """Buckets: `words` for words, then `groups` times `parts` for pairs; a context is in all parts of its group."""
+    """Buckets: `groups` times `parts` for words and as many for pairs; a word's group is that of its pairs, too.
+
+    A word is in one part of its group, the pairs that begin with it are in all parts.
+    """
 
-    words: int
     groups: int
     parts: int
 
     @classmethod
     def of(cls, buckets: int) -> Layout:
-        parts = max(1, buckets // 16)
-        return cls(buckets, -(-buckets // parts), parts)
+        parts = max(1, math.isqrt(buckets))
+        return cls(-(-buckets // parts), parts)
+
+    @property
+    def words(self) -> int:
+        return self.groups * self.parts
 
     @property
     def pairs(self) -> int:
@@ -155,7 +168,7 @@ def count_grams(texts: DataFrame, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "n", "hashes", "counts", "ctx", "runs"])
 
         for batch in batches:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", PIECE_BYTES):
                 stream, _ = token_stream(piece.column("text"))
                 held.append(stream)
                 size += len(stream)
@@ -220,6 +233,10 @@ def _contexts(row: dict) -> tuple[np.ndarray, ...]:
     return np.frombuffer(row["ctx"], dtype="<u8"), np.frombuffer(row["mass"], dtype="<f8"), _unpack(row["followers"], row["m"], "<i8")
 
 
+def _narrow(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32) if values.max(initial=0) < 1 << 32 else values
+
+
 def _grams(batch: pa.RecordBatch):
     for bucket, n, h, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "n", "hashes", "counts")), strict=True):
         yield bucket, np.frombuffer(h, dtype="<u8"), _unpack(c, n, "<i8")
@@ -298,7 +315,7 @@ class Model:
         return np.where(self.words[at] == tokens, at, -1)
 
     def look_up(self, stream: np.ndarray, levels: Callable) -> dict[str, np.ndarray]:
-        """For each token: its count and its context's sum and followers (-1 where they are not at hand), and the discounted pair count.
+        """For each token: its count, its context, that one's sum and followers (-1 where not at hand), and the pair's level.
 
         Every distinct pair of the stream is looked up once, by `levels` of
         pairs, their buckets and their places among all of it.
@@ -307,15 +324,22 @@ class Model:
         first, second, pair_at = _distinct_pairs(distinct, at, inverse=True)
         place = self.places(distinct)
         none = 0 if self.complete else -1
-        count, mass, followers = (np.where(place >= 0, x[place] if len(x) else none, none) for x in (self.word_counts, self.mass, self.followers))
+        count, mass, followers = (np.where(place >= 0, x[place].astype(t), none) if len(x) else np.full(len(place), none, dtype=t) for x, t in ((self.word_counts, np.int64), (self.mass, np.float64), (self.followers, np.int64)))
         # a pair of an unknown word was never seen
         likely = np.flatnonzero((count[first] != 0) & (count[second] != 0))
         before, after = distinct[first[likely]], follower(distinct[second[likely]])
-        level = levels(pair_hash(before, after), self.layout.of_pair(before, after), likely)
-        pair = np.zeros(len(first))
-        pair[likely] = np.maximum(_MIDDLE[level] - self.discount, 0.0)
+        level = np.zeros(len(first), dtype=np.int64)
+        level[likely] = levels(pair_hash(before, after), self.layout.of_pair(before, after), likely)
         context = first[pair_at]
-        return {"count": count[at], "context": distinct[context], "mass": mass[context], "followers": followers[context], "pair": pair[pair_at]}
+        return {"count": count[at], "context": distinct[context], "mass": mass[context], "followers": followers[context], "level": level[pair_at]}
+
+    def probability(self, level: np.ndarray, mass: np.ndarray, followers: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Probability of tokens after their contexts; one without pairs leaves all to the unigrams."""
+        known = mass > 0
+        back = np.divide(self.discount * followers, mass, out=np.ones(len(mass)), where=known)
+        share = np.divide(np.maximum(_MIDDLE[level] - self.discount, 0.0), mass, out=np.zeros(len(mass)), where=known)
+        # false positives apart, no pair has more
+        return np.minimum(share, 1 - back) + back * self.unigram(count)
 
 
 def _read(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict]]:
@@ -337,7 +361,7 @@ def _routed(rows: DataFrame, segments: DataFrame, layout: Layout) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", PIECE_BYTES):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, piece.schema) as out:
                     out.write_batch(piece)
@@ -371,7 +395,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[p
     """Pieces of texts, each with the function that finds the levels of its pairs."""
     for batch in batches:
         if model.counts is not None:
-            for piece in chunks(batch, "text"):
+            for piece in chunks(batch, "text", PIECE_BYTES):
                 yield piece, lambda grams, bucket, places: model.counts.levels(grams, bucket)
             continue
         for piece, given in _read(batch):
@@ -467,7 +491,7 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 2
     sums, numbers = np.zeros(len(head)), np.zeros(len(head), dtype=np.int64)
     sums[at], numbers[at] = mass, followers
     shared.unpersist()
-    return Model(counts, layout, head, have, sums, numbers, floor == 0, tokens, vocabulary, discount), grams, segments
+    return Model(counts, layout, head, _narrow(have), sums, _narrow(numbers), floor == 0, tokens, vocabulary, discount), grams, segments
 
 
 def in_part(doc_id: Column, parts: int, part: int) -> Column:
@@ -497,66 +521,131 @@ def score(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 20
     model, grams, segments = train(rows.where(~F.col("held_out")), bits, max_filter_bytes, frequent_words)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rare array<struct<token:bigint,context:bigint,count:bigint,pair:double,share:double,back:double>>"
+    schema = f"doc_id {kind}, held_out boolean, n_tokens bigint, known bigint, base double, score double"
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score"]
+
+    def scored(piece, m, levels):
+        """Rows of a piece without the terms of tokens that wait for an answer, and those tokens."""
+        stream, sizes = token_stream(piece.column("text"))
+        found = m.look_up(stream, levels)
+        no_count, no_sums = found["count"] < 0, found["mass"] < 0
+        wait = no_count | no_sums
+        begin = np.cumsum(sizes) - sizes
+        count = np.maximum(found["count"], 0)
+        base = np.where(no_count, 0.0, np.log10(m.unigram(count)))
+        value = np.where(wait, 0.0, np.log10(m.probability(found["level"], found["mass"], found["followers"], count)))
+        sums = [np.add.reduceat(x, begin) for x in ((count > 0).astype(np.int64), base, value)]
+        rows = pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), pa.array(sizes, pa.int64()), *map(pa.array, sums)], names)
+        at = np.flatnonzero(wait)
+        return rows, len(stream), {"row": np.repeat(np.arange(len(sizes)), sizes)[at], "token": stream[at], "no_count": no_count[at], "no_sums": no_sums[at], **{x: found[x][at] for x in ("count", "context", "mass", "followers", "level")}}
 
     def run(batches):
         m = shared.value
         for piece, levels in _pieces(batches, m):
-            stream, sizes = token_stream(piece.column("text"))
-            found = m.look_up(stream, levels)
-            count, mass = found["count"], found["mass"]
-            share = np.divide(found["pair"], mass, out=np.zeros(len(mass)), where=mass > 0)
-            back = np.divide(m.discount * found["followers"], mass, out=np.ones(len(mass)), where=mass > 0)
-            share = np.minimum(share, 1 - back)  # false positives apart, no pair has more
-            no_count, no_sums = count < 0, mass < 0
-            rare = no_count | no_sums
-            plain = m.unigram(np.maximum(count, 0))
-            begin = np.cumsum(sizes) - sizes
-            base = np.where(no_count, 0.0, np.log10(plain))
-            value = np.where(rare, 0.0, np.log10(share + back * plain))
-            edges = np.concatenate(([0], np.cumsum(np.add.reduceat(rare, begin, dtype=np.int64)))).astype(np.int32)
-            at = np.flatnonzero(rare)
-            parts = [pa.array(stream[at].view(np.int64), mask=~no_count[at]), pa.array(found["context"][at].view(np.int64), mask=~no_sums[at]), pa.array(count[at]), *(pa.array(x[at]) for x in (found["pair"], share, back))]
-            asked = pa.StructArray.from_arrays(parts, ["token", "context", "count", "pair", "share", "back"])
-            columns = [pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((count > 0).astype(np.int64), begin)), pa.array(np.add.reduceat(base, begin)), pa.array(np.add.reduceat(value, begin)), pa.ListArray.from_arrays(pa.array(edges), asked)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("held_out"), *columns], ["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+            yield scored(piece, m, levels)[0]
+
+    def ask(batches):
+        m, held, size, name = shared.value, [], 0, TaskContext.get().partitionId() << 32
+        for piece, levels in _pieces(batches, m):
+            rows, n, waiting = scored(piece, m, levels)
+            held.append((rows, waiting))
+            size += n
+            if size >= SCORE_TOKENS:
+                yield from _asked(held, name, m.layout)
+                held, size, name = [], 0, name + 1
+        if held:
+            yield from _asked(held, name, m.layout)
 
     asked = rows.select("doc_id", "text", "held_out")
-    done = (asked if segments is None else _routed(asked, segments, model.layout)).mapInArrow(releasing(run), schema)
-    if not model.complete:
-        done = _with_rare(done, grams, model)
+    asked = asked if segments is None else _routed(asked, segments, model.layout)
+    if model.complete:
+        done = asked.mapInArrow(releasing(run), schema)
+    else:
+        done = _answered(asked.mapInArrow(releasing(ask), _ASKED), grams, replace(model, counts=None, words=model.words[:0], word_counts=model.word_counts[:0], mass=model.mass[:0], followers=model.followers[:0]), schema)
     return done.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def _with_rare(done: DataFrame, grams: DataFrame, model: Model) -> DataFrame:
-    """Add the terms of tokens whose count, or whose context's sums, are not with the model; all of them joined by hash."""
-    layout, least = model.layout, int(model.word_counts.min(initial=2**62))
+_ITEMS = (("row", "<u4"), ("token", "<i4"), ("context", "<i4"), ("count", "<i8"), ("mass", "<f8"), ("followers", "<i8"), ("level", "<u1"))
+_ASKED = "target int, share bigint, n int, keys binary, rows binary, items array<binary>"
 
-    def rare_counts(batches):
-        for batch in batches:
-            for _, h, c in _grams(batch):
-                keep = c < least
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], ["h", "c"])
 
-    def rare_sums(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ctx, mass, followers = _contexts(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ctx.view(np.int64)), pa.array(mass), pa.array(followers)], ["g", "mass", "followers"])
-
-    counts = grams.where(F.col("bucket") < layout.words).select("bucket", "n", "hashes", "counts").mapInArrow(rare_counts, "h bigint, c bigint")
-    sums = _context_sums(grams, layout).mapInArrow(rare_sums, "g bigint, mass double, followers bigint")
-    bottom = model.tokens + 0.1 * (model.vocabulary + 1)
-    one = done.withColumn("row", F.monotonically_increasing_id())
-    wide = one.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score", F.explode_outer("rare").alias("r"))
-    # a token is asked for, or its context, or both; where one is not, the other's hash keeps the join even
-    wide = wide.withColumn("h", F.coalesce("r.token", "r.context")).withColumn("g", F.coalesce("r.context", "r.token"))
-    joined = wide.join(counts, "h", "left").join(sums, "g", "left")
-    count = F.when(F.col("r.token").isNotNull(), F.coalesce("c", F.lit(0))).otherwise(F.col("r.count"))
-    p = (count + F.lit(0.1)) / F.lit(bottom)
-    back = F.when(F.col("r.context").isNull(), F.col("r.back")).otherwise(F.coalesce(F.lit(model.discount) * F.col("followers") / F.col("mass"), F.lit(1.0)))
-    share = F.when(F.col("r.context").isNull(), F.col("r.share")).otherwise(F.coalesce(F.least(F.col("r.pair") / F.col("mass"), 1 - back), F.lit(0.0)))
-    there = F.col("r").isNotNull()
-    terms = joined.withColumn("b", F.when(F.col("r.token").isNotNull(), F.log10(p)).otherwise(0.0)).withColumn("q", F.when(there, F.log10(share + back * p)).otherwise(0.0)).withColumn("k", F.when(F.col("r.token").isNotNull() & (F.col("c") > 0), 1).otherwise(0))
-    total = terms.groupBy("row").agg(*(F.first(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "known", "base", "score")), F.sum("b").alias("b"), F.sum("q").alias("q"), F.sum("k").alias("k"))
-    return total.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("k")).alias("known"), (F.col("base") + F.col("b")).alias("base"), (F.col("score") + F.col("q")).alias("score"))
+def _asked(held: list[tuple], name: int, layout: Layout) -> Iterator[pa.RecordBatch]:
+    """One share of the texts: its rows with the tokens that wait, and the distinct words it asks of each group.
+
+    Waiting tokens know their words by place among all words asked, which are
+    ordered by hash and so by group.
+    """
+    first = np.cumsum([0, *(rows.num_rows for rows, _ in held)])
+    items = {x: np.concatenate([w[x] for _, w in held]) for x in held[0][1]}
+    items["row"] = np.concatenate([w["row"] + f for f, (_, w) in zip(first, held, strict=False)])
+    keys = np.unique(np.concatenate([items["token"][items["no_count"]], items["context"][items["no_sums"]]]))
+    for column, missing in (("token", "no_count"), ("context", "no_sums")):
+        items[column] = np.where(items[missing], np.searchsorted(keys, items[column]), -1)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0][0].schema) as out:
+        for rows, _ in held:
+            out.write_batch(rows)
+    edges = np.searchsorted(_slot(keys, layout.groups), np.arange(layout.groups + 1))
+    used = np.flatnonzero(edges[1:] > edges[:-1])
+    packed = [_pack(items[x], t) for x, t in _ITEMS]
+    none = [None] * len(used)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([*used, layout.groups + name % layout.groups], pa.int32()), pa.array([name] * (len(used) + 1), pa.int64()), pa.array([*(edges[used + 1] - edges[used]), len(items["row"])], pa.int32()), pa.array([*(keys[edges[g] : edges[g + 1]].tobytes() for g in used), None], pa.binary()), pa.array([*none, sink.getvalue().to_pybytes()], pa.binary()), pa.array([*none, packed], pa.list_(pa.binary()))],
+        ["target", "share", "n", "keys", "rows", "items"],
+    )
+
+
+def _answered(asked: DataFrame, grams: DataFrame, model: Model, schema: str) -> DataFrame:
+    """The rows with the terms of their waiting tokens added."""
+    layout = model.layout
+    word = F.col("bucket") < layout.words
+    group = F.floor(F.when(word, F.col("bucket")).otherwise(F.col("bucket") - layout.words) / layout.parts).cast("int")
+    known = grams.select(group.alias("target"), "n", F.when(word, F.col("hashes")).alias("hashes"), F.when(word, F.col("counts")).alias("counts"), "m", "ctx", "mass", "followers")
+
+    def answer(questions: pa.Table, known: pa.Table) -> pa.Table:
+        """Of each share's words, in order, count, sum and followers; the shares' rows pass through."""
+        rows = known.to_pylist()
+        words = [(np.frombuffer(r["hashes"], dtype="<u8"), _unpack(r["counts"], r["n"], "<i8")) for r in rows if r["hashes"] is not None]
+        sums = [_contexts(r) for r in rows if r["ctx"] is not None]
+        words = [np.concatenate(x) for x in zip(*words, strict=True)] if words else [np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)]
+        sums = [np.concatenate(x) for x in zip(*sums, strict=True)] if sums else [np.empty(0, dtype=np.uint64), np.empty(0), np.empty(0, dtype=np.int64)]
+        # a word has one count, and a sum in every part of its group
+        order = np.argsort(words[0])
+        words = [x[order] for x in words]
+        names, at = np.unique(sums[0], return_inverse=True)
+        mass, followers = np.bincount(at, weights=sums[1], minlength=len(names)), np.bincount(at, weights=sums[2], minlength=len(names)).astype(np.int64)
+        out = []
+        for share, n, keys, body, items in zip(*(questions.column(c).to_pylist() for c in ("share", "n", "keys", "rows", "items")), strict=True):
+            if keys is None:
+                out.append({"share": share, "target": -1, "n": n, "rows": body, "items": items})
+                continue
+            keys = np.frombuffer(keys, dtype="<u8")
+            parts = [np.where(_have(words[0], keys), _take(words[1], words[0], keys), 0), np.where(_have(names, keys), _take(mass, names, keys), 0.0), np.where(_have(names, keys), _take(followers, names, keys), 0)]
+            out.append({"share": share, "target": int(_slot(keys[:1], layout.groups)[0]), "n": n, "rows": None, "items": [_pack(x, t) for x, t in zip(parts, ("<i8", "<f8", "<i8"), strict=True)]})
+        return pa.Table.from_pylist(out, schema=pa.schema([("share", pa.int64()), ("target", pa.int32()), ("n", pa.int32()), ("rows", pa.binary()), ("items", pa.list_(pa.binary()))]))
+
+    def finish(share: pa.Table) -> pa.Table:
+        parts = sorted(share.to_pylist(), key=lambda r: r["target"])
+        own, parts = parts[0], parts[1:]
+        rows = pa.ipc.open_stream(own["rows"]).read_all()
+        items = {x: _unpack(body, own["n"], t) for body, (x, t) in zip(own["items"], _ITEMS, strict=True)}
+        count, mass, followers = (np.concatenate([np.empty(0, dtype=t), *(_unpack(r["items"][k], r["n"], t) for r in parts)]) for k, t in enumerate(("<i8", "<f8", "<i8")))
+        pick = lambda answers, places, have: np.where(places >= 0, answers[np.maximum(places, 0)], have) if len(answers) else have
+        asked_count = items["token"] >= 0
+        c = pick(count, items["token"], items["count"])
+        value = np.log10(model.probability(items["level"].astype(np.int64), pick(mass, items["context"], items["mass"]), pick(followers, items["context"], items["followers"]), c))
+        base = np.where(asked_count, np.log10(model.unigram(c)), 0.0)
+        more = [np.bincount(items["row"], weights=x, minlength=rows.num_rows) for x in ((asked_count & (c > 0)).astype(float), base, value)]
+        new = [pa.array(rows.column(x).to_numpy() + y.astype(t)) for x, y, t in zip(("known", "base", "score"), more, (np.int64, float, float), strict=True)]
+        return pa.table([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), *new], names=rows.column_names)
+
+    replies = asked.groupBy("target").cogroup(known.groupBy("target")).applyInArrow(answer, "share bigint, target int, n int, rows binary, items array<binary>")
+    return replies.groupBy("share").applyInArrow(finish, schema)
+
+
+def _have(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return names[np.minimum(np.searchsorted(names, keys), len(names) - 1)] == keys if len(names) else np.zeros(len(keys), dtype=bool)
+
+
+def _take(values: np.ndarray, names: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return values[np.minimum(np.searchsorted(names, keys), len(names) - 1)] if len(names) else np.zeros(len(keys))
