@@ -5,6 +5,8 @@ reads the characters of a word; its pooled state and the word's embedding (zero
 for words that the training texts do not have) are the word's input to the
 outer one, which reads a window of words.  All overlapping windows of a text
 are scored, and the text's score is the calibrated score of its worst window.
+Long texts are read a run of words at a time; the runs overlap as windows do, so
+their windows are those of the whole text.
 
 A word's input to the outer network depends on the word alone, so workers keep
 it by word, already multiplied into the gates.
@@ -14,11 +16,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +31,7 @@ from .cluster import release_memory, releasing, small_batches
 WINDOW, STRIDE = 24, 16
 LETTERS, PIECE = 320, 16  # character codes; a longer word is read in pieces
 CACHE_WORDS = 120_000
+RUN_CHARS = 1 << 18  # about so many characters of a text are held as words at once
 FIT_STEPS = 60  # updates a round at least, where the texts are few
 _SHELL = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -126,6 +130,9 @@ class Encoder:
         return dx, [dw, du, dg.sum(axis=(1, 2)), dv]
 
 
+_SPACE = re.compile(r"\s")
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-cased words; long ones in pieces, so that no character is left out."""
     out = (text or "").lower().split()
@@ -134,6 +141,26 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+def word_runs(text: str | None, chars: int = RUN_CHARS) -> Iterator[list[str]]:
+    """The words of a text in runs whose windows, all together, are those of the whole text."""
+    held, at, size, begun = [], 0, len(text or ""), False
+    while at + chars < size:
+        cut = _SPACE.search(text, at + chars)
+        if not cut:
+            break
+        held += words_of(text[at : cut.start()])
+        at = cut.start()
+        # whole windows only; the next run begins where the next window does
+        n = (len(held) - (WINDOW - STRIDE)) // STRIDE
+        if n > 0:
+            yield held[: n * STRIDE + WINDOW - STRIDE]
+            held, begun = held[n * STRIDE :], True
+    held += words_of((text or "")[at:])
+    # what is left is no window of its own if the last one before it reached the end
+    if not begun or len(held) > WINDOW - STRIDE:
+        yield held
+
+
 def window_starts(n: int) -> range:
     """Starts of the overlapping windows that cover n words; an empty text has one empty window."""
     return range(0, max(1, n - (WINDOW - STRIDE)), STRIDE)
@@ -228,7 +255,13 @@ class Network:
 
     def text_logits(self, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
         """The largest window logit of each text, and all its window logits."""
-        split = [words_of(t) for t in texts]
+        parts = self._windows_of([words_of(t) for t in texts])
+        return np.array([p.max() for p in parts]), parts
+
+    def run_logits(self, words: list[str]) -> np.ndarray:
+        return self._windows_of([words])[0]
+
+    def _windows_of(self, split: list[list[str]]) -> list[np.ndarray]:
         sizes = np.array([len(w) for w in split])
         places = self.places([w for s in split for w in s])
         first = np.cumsum(sizes) - sizes
@@ -236,8 +269,17 @@ class Network:
         begin = np.concatenate([f + s for f, s in zip(first, starts, strict=True)])
         size = np.concatenate([np.minimum(WINDOW, n - s) for n, s in zip(sizes, starts, strict=True)])
         logits = self.window_logits(places, begin, size)
-        parts = np.split(logits, np.cumsum([len(s) for s in starts])[:-1])
-        return np.array([p.max() for p in parts]), parts
+        return np.split(logits, np.cumsum([len(s) for s in starts])[:-1])
+
+    def worst(self, texts: list[str | None]) -> np.ndarray:
+        """The largest window logit of each text, however long."""
+        out = np.empty(len(texts), np.float32)
+        short = [i for i, t in enumerate(texts) if len(t or "") <= RUN_CHARS]
+        if short:
+            out[short] = self.text_logits([texts[i] for i in short])[0]
+        for i in set(range(len(texts))).difference(short):
+            out[i] = max(float(self.run_logits(run).max()) for run in word_runs(texts[i]))
+        return out
 
     def all_windows(self, texts: list[str | None]) -> list[np.ndarray]:
         """Window logits of each of many texts, a few at a time."""
@@ -245,7 +287,7 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.text_logits(texts)[0].astype(np.float64) + b, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(a * self.worst(texts).astype(np.float64) + b, -60, 60)))
 
 
 class Trainer:
@@ -339,7 +381,7 @@ def fit(texts: list[str | None], labels: list[int], prior: float, seed: int = 3,
     learn = np.flatnonzero(~held)
     odds = _evidence([split[i] for i in learn], y[learn])
     common = Counter(_SHELL.sub("", w) for i in learn for w in set(split[i]))
-    net = Network.fresh({w: k + 1 for k, (w, n) in enumerate(sorted((x for x in common.items() if x[0] and x[1] >= 3), key=lambda x: (-x[1], x[0]))[:30_000])}, rng)
+    net = Network.fresh({w: k + 1 for k, (w, n) in enumerate(sorted((x for x in common.items() if x[0] and x[1] >= 3), key=lambda x: (-x[1], x[0])))}, rng)
     if not len(y) or y.min() == y.max():
         net.bias[:] = 4.0 if len(y) and y.max() else -4.0
         net.top[:] = 0
@@ -377,19 +419,28 @@ def fit(texts: list[str | None], labels: list[int], prior: float, seed: int = 3,
     return net
 
 
-def sample_labels(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[list, float]:
-    """Up to `fit_rows` labelled (text, label) rows of each label, by smallest id hash, and the share of label 1."""
+def sample_labels(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int = 64 << 20) -> tuple[list, float]:
+    """Labelled (doc_id, text, label) rows by smallest id hash, and the share of label 1.
+
+    At most `fit_rows` of each label, and of each label whole texts of at most
+    `fit_bytes` / 2 bytes together.  Of several texts of one id the smallest is taken.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(~in_part(F.col("doc_id"), 4, 2))
     share = known.agg(F.avg("toxic")).first()[0]
     some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows) for y in (0, 1)]
     # at most 2 * fit_rows ids and labels, so the broadcast is bounded
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some[0].unionAll(some[1])), "doc_id").dropDuplicates(["doc_id"])
-    return sorted((r.doc_id, r.text, r.toxic) for r in rows.collect()), float(share or 0.0)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chosen = F.broadcast(some[0].unionAll(some[1]))
+    found = texts.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.withColumn("upto", upto).where(F.col("upto") <= fit_bytes // 2)
+    return sorted((r.doc_id, r.text, r.toxic) for r in rows.select("doc_id", "text", "toxic").collect()), float(share or 0.0)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, seed: int = 3) -> Network:
-    rows, share = sample_labels(docs, labels, fit_rows)
+def fit_on(docs: DataFrame, labels: DataFrame, fit_rows: int = 1500, fit_bytes: int = 64 << 20, seed: int = 3) -> Network:
+    """The network fitted on the bounded sample of `sample_labels`."""
+    rows, share = sample_labels(docs, labels, fit_rows, fit_bytes)
     net = fit([r[1] for r in rows], [r[2] for r in rows], min(max(share, 0.001), 0.999), seed)
     release_memory()
     return net
@@ -400,7 +451,8 @@ def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
 
     Null and empty texts have one empty window.  Other columns pass through; one
     named like `column` is replaced.  Equal texts score equally up to rounding;
-    an empty table gives an empty result.
+    an empty table gives an empty result.  A text of any length is scored whole,
+    a run of words at a time.
     """
     small_batches(docs.sparkSession)
     keep = [f for f in docs.schema if f.name != column]

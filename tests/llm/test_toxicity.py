@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -72,6 +73,64 @@ def test_batches_and_masks_do_not_change_scores(rows, net):
     assert np.allclose(net.scores(texts), alone, atol=1e-4) and ((alone >= 0) & (alone <= 1)).all()
 
 
+def plain_window_logit(net, words):
+    """One window by reading the definition: a loop over places, directions and gates."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def encode(e, inputs):
+        h_size, n = e.hidden, len(inputs)
+        states = [[None] * n, [None] * n]
+        for d in (0, 1):
+            h = np.zeros(h_size)
+            for t in range(n) if d == 0 else range(n - 1, -1, -1):
+                x, s = inputs[t] @ e.w[d] + e.b[d], h @ e.u[d]
+                z, r = sigmoid(x[:h_size] + s[:h_size]), sigmoid(x[h_size : 2 * h_size] + s[h_size : 2 * h_size])
+                c = np.tanh(x[2 * h_size :] + r * s[2 * h_size :])
+                h = (1 - z) * c + z * h
+                states[d][t] = h
+        both = [np.concatenate([a, b]) for a, b in zip(*states, strict=True)]
+        if not both:
+            return np.zeros(2 * h_size)
+        weight = np.exp([x @ e.v for x in both])
+        return sum(w * x for w, x in zip(weight / weight.sum(), both, strict=True))
+
+    inputs = []
+    for w in words:
+        letters = [net.letters[ord(c) if ord(c) < 256 else 256 + ord(c) % (tox.LETTERS - 256)] for c in w]
+        inputs.append(np.concatenate([encode(net.inner, letters), net.words[net.vocabulary.get(re.sub(r"^[\W_]+|[\W_]+$", "", w), 0)]]))
+    return float(encode(net.outer, inputs) @ net.top + net.bias[0])
+
+
+def test_scores_are_those_of_a_plain_forward_pass(rows, net):
+    a, b = net.scale
+    for text in [rows[5][1], rows[11][1] + " zgrxta", "one", "", "Ünï-cödé 日本語 " + "y" * 40]:
+        words = tox.words_of(text)
+        best = max(plain_window_logit(net, words[s : s + tox.WINDOW]) for s in tox.window_starts(len(words)))
+        assert abs(float(net.scores([text])[0]) - 1 / (1 + np.exp(-(a * best + b)))) < 1e-4
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 23, 24, 25, 40, 41, 500, 1003])
+def test_runs_of_words_have_the_windows_of_the_text(n):
+    rng = random.Random(n)
+    words = [f"w{i}" + "x" * rng.randrange(0, 12) for i in range(n)]
+    text = "".join(w + rng.choice([" ", "  ", "\n"]) for w in words)
+    want = [words[s : s + tox.WINDOW] for s in tox.window_starts(n)]
+    for chars in (1, 30, 200, 10**6):
+        runs = list(tox.word_runs(text, chars))
+        assert [r[s : s + tox.WINDOW] for r in runs for s in tox.window_starts(len(r))] == want
+
+
+def test_long_text_and_every_frequent_word(net, monkeypatch):
+    text = "mi lu so " * 4000 + "zgrxta vokkmi zgrxre" + " ta re on" * 4000
+    whole = net.text_logits([text])[0]
+    monkeypatch.setattr(tox, "RUN_CHARS", 1000)
+    monkeypatch.setattr(tox.word_runs, "__defaults__", (1000,))
+    assert np.allclose(net.worst([text]), whole, atol=1e-4)
+    many = " ".join(f"v{i}" for i in range(40_000))
+    made = tox.fit([many, many, many, many + " bad bad", many + " bad"], [0, 0, 0, 1, 1], 0.3, rounds=1)
+    assert len(made.vocabulary) >= 40_000
+
+
 def test_query_and_odd_rows(spark, rows, net, tmp_path):
     from pyspark.sql import functions as F
 
@@ -88,6 +147,11 @@ def test_query_and_odd_rows(spark, rows, net, tmp_path):
         assert r.held_out == (zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 4 == 2)
     sample, share = tox.sample_labels(docs, labels, 50)
     assert len(sample) == 100 and not any(zlib.crc32(str(d).encode()) % 4 == 2 for d, _, _ in sample)
+    again = docs.unionAll(spark.createDataFrame([(rows[0][0], "a smaller text", "x")], docs.schema))
+    texts = {d: t for d, t, _ in tox.sample_labels(again, labels, 10**6)[0]}
+    assert texts.get(rows[0][0], "a smaller text") == min("a smaller text", rows[0][1])
+    few, _ = tox.sample_labels(docs, labels, 10**6, fit_bytes=4000)
+    assert few and all(sum(len(t.encode()) for _, t, k in few if k == y) <= 2000 for y in (0, 1))
     assert tox.score(docs.withColumn("score", F.lit("clash")).limit(0), net).collect() == []
 
 
