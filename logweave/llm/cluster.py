@@ -47,13 +47,16 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write the rows to the reliable checkpoint folder and read them from there on.
 
-    The folder is the session's spark.checkpoint.dir.  Only where that is unset,
-    as in tests on one machine, a temporary folder is used.
+    The folder is the session's spark.checkpoint.dir.  Only where that is unset
+    and all of Spark is in this process, a temporary folder is used.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "logweave-checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "logweave-checkpoints"))
     return df.checkpoint(eager=True)
 
 
