@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import bucket_count, releasing, small_batches
+from .cluster import bucket_count, free_names, releasing, small_batches
 from .textnum import chunks, find_words, mix64, windows, within_texts
 
 SEGMENTS = 64
@@ -169,7 +169,26 @@ def _unpacked(rows: pa.Table | pa.RecordBatch):
         yield (np.frombuffer(one, dtype="<u8") if one is not None else None, np.frombuffer(two, dtype="<u4") if two is not None else None, _expand(doc, n, "<i8"), _expand(pos, n, "<i4"))
 
 
-def _marks(texts: DataFrame, width: int, sketch: np.ndarray, bits: int, buckets: int) -> DataFrame:
+def _hot_ids(texts: DataFrame, rows: int, buckets: int) -> dict[int, int]:
+    """Ids with more rows than a bucket's even share, and over how many buckets theirs go; fewer than `buckets` ids."""
+    even = max(1000, -(-rows // buckets))
+    counts = texts.groupBy(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id")).count().where(F.col("count") > even)
+    return {r.id: min(buckets, -(-r["count"] // even)) for r in counts.collect()}
+
+
+def _mark_rows(doc: np.ndarray, pos: np.ndarray, buckets: int, hot: dict[int, int]):
+    """Packed marks by bucket, those of a hot id for each of its buckets."""
+    bucket = np.mod(doc, buckets)
+    for name, n in hot.items():
+        own = np.flatnonzero(doc == name)
+        if len(own):
+            more = np.arange(1, n)
+            bucket = np.concatenate([bucket, np.tile((name + more) % buckets, (len(own), 1)).T.ravel()])
+            doc, pos = np.concatenate([doc, np.tile(doc[own], n - 1)]), np.concatenate([pos, np.tile(pos[own], n - 1)])
+    yield from _packed_rows(bucket.astype(np.int32), buckets, doc, pos)
+
+
+def _marks(texts: DataFrame, width: int, sketch: np.ndarray, bits: int, buckets: int, hot: dict[int, int]) -> DataFrame:
     """Packed (doc, pos) of every window that also starts earlier, by bucket of the doc."""
     shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
@@ -217,7 +236,7 @@ def _marks(texts: DataFrame, width: int, sketch: np.ndarray, bits: int, buckets:
             places.append(pos[later])
         doc, pos = np.concatenate(docs), np.concatenate(places)
         if len(doc):
-            yield from _packed_rows(np.mod(doc, buckets).astype(np.int32), buckets, doc, pos)
+            yield from _mark_rows(doc, pos, buckets, hot)
 
     return texts.select("doc_id", "text").mapInArrow(releasing(candidates), _PACKED).groupBy("bucket").applyInArrow(decide, _PACKED).select("bucket", "n", "one", "two", "doc", "pos")
 
@@ -257,19 +276,28 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_sketch_bits: int = 30
     Null texts have no words and an empty `kept`.  Texts shorter than `width`
     words lose nothing.  Rows that share a doc_id count as one document: equal
     windows at the same word of both are the same window, and both rows get the
-    document's marks.  A null doc_id counts as the smallest id.  An empty table
-    gives an empty result.
+    document's marks.  A null doc_id counts as the smallest id.  A text of any
+    length is read whole.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     names = ("n_words", "n_removed", "kept")
     keep = [c for c in docs.columns if c not in names]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max_sketch_bits, max(16, math.ceil(math.log2(total / 6 + 2))))
+    size = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    bits = min(max_sketch_bits, max(16, math.ceil(math.log2((size[0] or 0) / 6 + 2))))
     buckets = bucket_count(docs)
+    hot = _hot_ids(texts, size[1], buckets)
     sketch = _sketch(texts, width, bits)
-    marks = _marks(texts, width, sketch, bits, buckets)
-    rows = docs.select(F.pmod(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID))), F.lit(buckets)).cast("int").alias("__bucket"), *(F.col(f"`{c}`") for c in keep))
+    marks = _marks(texts, width, sketch, bits, buckets, hot)
+    (me,) = free_names(docs, "dedup_bucket")
+    doc_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NO_ID)))
+    spread = F.lit(0)
+    if hot:
+        table = F.create_map(*(F.lit(x) for item in hot.items() for x in item))
+        # by input split, so that a repeated task deals its rows alike
+        spread = F.pmod(F.spark_partition_id(), F.coalesce(F.element_at(table, doc_id), F.lit(1)))
+    bucket = F.pmod(F.pmod(doc_id, F.lit(buckets)) + spread, F.lit(buckets)).cast("int")
+    rows = docs.select(bucket.alias(me), *(F.col(f"`{c}`") for c in keep))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def apply(mine: pa.Table, found: pa.Table) -> pa.Table:
@@ -289,4 +317,4 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_sketch_bits: int = 30
         kept = pa.chunked_array(parts[0], pa.string())
         return pa.Table.from_arrays([*columns, n_words, n_removed, kept], schema.fieldNames())
 
-    return rows.groupBy("__bucket").cogroup(marks.groupBy("bucket")).applyInArrow(apply, schema)
+    return rows.groupBy(me).cogroup(marks.groupBy("bucket")).applyInArrow(apply, schema)

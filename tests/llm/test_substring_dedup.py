@@ -70,6 +70,22 @@ def test_odd_rows_and_columns(spark):
     assert dedup_substrings(df.limit(0)).collect() == []
 
 
+def test_hot_ids_and_clashing_columns(spark):
+    """A third of all rows without an id, many with one id: one document each, whose rows are in several buckets."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**12)}"
+    passage = " ".join(word() for _ in range(30))
+    rows = [(None, f"{passage} {word()} {word()}") for _ in range(1700)] + [(7, f"{word()} {passage} {word()}") for _ in range(1500)] + [(100 + i, " ".join(word() for _ in range(25)) + (" " + passage if i % 9 == 0 else "")) for i in range(400)]
+    names = ["dedup_bucket", "Dedup_Bucket_", "bucket", "__bucket"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names)).repartition(6)
+    got = dedup_substrings(df).collect()
+    assert len(got) == len(rows) and all([r[n] for n in names] == names for r in got)
+    # the passage starts first in the document without an id, at word 0; there it stays
+    assert {r.n_removed for r in got if r.doc_id is None} == {0}
+    assert {r.n_removed for r in got if r.doc_id == 7} == {30}
+    assert {(r.doc_id - 100) % 9 == 0: r.n_removed for r in got if (r.doc_id or 0) >= 100} == {True: 30, False: 0}
+
+
 def test_gap_coding_round_trip():
     for values in ([], [0], [255], [0, 1, 2], [254, 509, 510, 2000, 100000]):
         assert unpack_sorted(pack_sorted(np.array(values, dtype=np.uint32))).tolist() == values
