@@ -9,8 +9,9 @@ of the chain prunes the pairs that share a key before the full Hamming check.
 
 Copies share a fingerprint and count as one class, so only distinct
 fingerprints are compared.  Keys are dealt by hash to buckets that grow in
-number with the input; pairs of one key are compared in blocks, and a key's
-matches leave the task as a forest, never as all its pairs.
+number with the input; a key with very many fingerprints is handed on and cut in
+blocks, each two of which meet in a task of their own.  A key's matches leave the
+task as a forest, never as all its pairs.
 
 `similar_groups` finds texts whose shingle sets have a given Jaccard similarity.
 Few bits of a fingerprint cannot say that (at 0.8 and five words half of the
@@ -36,6 +37,7 @@ from .textnum import chunks, find_words, mix64, windows, within_texts
 
 SEGMENTS = 9
 BLOCK = 2048
+CROWD = 32_768  # fingerprints of one key that one task compares
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -118,7 +120,7 @@ def _links_of_key(fp: np.ndarray, start: int, borders: list[int], budget: int) -
     return joined, label[joined]
 
 
-def links(classes: DataFrame, budget: int = 2, segments: int = SEGMENTS) -> DataFrame:
+def links(classes: DataFrame, budget: int = 2, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of `rep` whose components are those of all links between the distinct `fp` of the classes."""
     borders, head = _ring(segments, budget)
     buckets = bucket_count(classes)
@@ -132,10 +134,11 @@ def links(classes: DataFrame, budget: int = 2, segments: int = SEGMENTS) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(np.full(len(fp), start, dtype=np.int32)), batch.column("fp"), rep], ["bucket", "start", "fp", "rep"])
 
     def compare(table: pa.Table) -> pa.Table:
+        """Links (a, b), and (fingerprint, rep, start, own block, number of blocks) of the keys that are handed on."""
         start = table.column("start").to_numpy()
         fp = table.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         rep = table.column("rep").to_numpy()
-        left, right = [], []
+        left, right, late = [], [], []
         for s in range(segments):
             mine = np.flatnonzero(start == s)
             key = _head(fp[mine], s, borders, head)
@@ -153,14 +156,39 @@ def links(classes: DataFrame, budget: int = 2, segments: int = SEGMENTS) -> Data
                 right.append(rep[mine[ok + step]])
             for at, n in zip(begin[~small], size[~small], strict=True):
                 own = mine[at : at + n]
+                if n > crowd:
+                    blocks = -(-2 * n // crowd)
+                    late.append((fp[own].view(np.int64), rep[own], np.full(n, s), np.arange(n) * blocks // n, np.full(n, blocks)))
+                    continue
                 i, j = _links_of_key(fp[own], s, borders, budget)
                 left.append(rep[own[i]])
                 right.append(rep[own[j]])
         a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (left, right))
+        handed = [np.concatenate(x) for x in zip(*late, strict=True)] if late else [np.empty(0, dtype=np.int64)] * 5
+        none = np.full(len(a), -1)
+        columns = [np.concatenate(x) for x in zip((np.minimum(a, b), np.maximum(a, b), none, none, none), handed, strict=True)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b", "start", "own", "blocks"), columns, strict=True)})
+
+    def meet(table: pa.Table) -> pa.Table:
+        """Links between two blocks of one key, or inside one."""
+        fp, rep = table.column("a").to_numpy().astype(np.int64).view(np.uint64), table.column("b").to_numpy()
+        i, j = _links_of_key(fp, table.column("start")[0].as_py(), borders, budget)
+        a, b = rep[i], rep[j]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     dealt = classes.select("fp", "rep").mapInArrow(deal, "bucket int, start int, fp bigint, rep bigint")
-    return dealt.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint")
+    found = checkpoint(dealt.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint, start bigint, own bigint, blocks bigint"))
+    done = found.where("start < 0").select("a", "b")
+    late = found.where("start >= 0")
+    if late.isEmpty():
+        return done
+    mask = F.lit(0).cast("bigint")
+    for s in range(segments):
+        value = int(_head(np.array([2**64 - 1], dtype=np.uint64), s, borders, head).view(np.int64)[0])
+        mask = F.when(F.col("start") == s, F.lit(value).cast("bigint")).otherwise(mask)
+    pairs = late.withColumn("key", F.col("a").bitwiseAND(mask)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    pairs = pairs.select("start", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "b")
+    return done.unionAll(pairs.groupBy("start", "key", "x", "y").applyInArrow(meet, "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
@@ -370,7 +398,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, b
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
-    """The rows of one document of each group of similar ones, the smallest doc_id; rows without an id all stay."""
+    """The row of one document of each group of similar ones, the smallest doc_id; rows without an id all stay.
+
+    Of rows that share an id one stays, that of the smallest text hash.
+    """
     groups = similar_groups(docs, shingle, similarity, budget)
     gone = groups.where(F.col("component_id") < F.col("doc_id")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionAll(one)

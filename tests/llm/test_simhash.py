@@ -55,6 +55,19 @@ def test_links_find_every_pair(spark, crowd):
     assert components(len(fps), found) == components(len(fps), pairs)
 
 
+@pytest.mark.parametrize("crowd", [40, 300])
+def test_crowded_keys_are_compared_in_blocks(spark, crowd):
+    rng = random.Random(crowd)
+    hub = rng.getrandbits(64)
+    fps = sorted({hub ^ sum(1 << b for b in rng.sample(range(20), rng.randrange(0, 7))) for _ in range(900)})
+    arr = np.array(fps, dtype=np.uint64)
+    pairs = [(i, j) for i in range(len(fps)) for j in (np.flatnonzero(np.bitwise_count(arr[i + 1 :] ^ arr[i]) <= 2) + i + 1).tolist()]
+    classes = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), i) for i, f in enumerate(fps)], "fp bigint, rep bigint").repartition(3)
+    found = [(r.a, r.b) for r in simhash.links(classes, crowd=crowd).collect()]
+    assert components(len(fps), found) == components(len(fps), pairs)
+    assert all(bin(fps[a] ^ fps[b]).count("1") > 0 for a, b in found)
+
+
 def test_components_of_chain_star_and_nothing(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)] + [(259, 300)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -103,7 +116,8 @@ def test_similar_groups_match_exact_jaccard(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()}
     assert got == jaccard_groups(rows)
     kept = simhash.keep_one(df).collect()
-    assert sorted(r.doc_id or -1 for r in kept) == sorted([-1, 1, *(d for d, c in got.items() if d == c)])
+    assert sorted(r.doc_id or -1 for r in kept) == sorted([-1, *(d for d, c in got.items() if d == c)])
+    assert len(kept) == 1 + len({c for c in got.values()})
     assert kept[0].asDict().keys() == {"doc_id", "text", "fp"} and simhash.similar_groups(df.limit(0)).collect() == []
 
 
