@@ -73,6 +73,16 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def as_instant(ts: Column) -> Column:
+    """A timestamp as written, read as UTC: watermarks need one with a zone."""
+    return F.timestamp_micros(micros(ts))
+
+
+def as_written(ts: Column) -> Column:
+    """The other way round."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(ts), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
 def footprint(payload_len: Column) -> Column:
     return payload_len + F.lit(HEADER_BYTES)
 

@@ -38,7 +38,9 @@ CHUNK_ENTRIES = 1 << 20
 class Rule:
     """A greedy grouping: where the group that begins at an entry ends, and the state before a topic's first entry.
 
-    A state is (group number, capacity, used, entries).
+    A state is (group number, capacity, used, entries).  An entry joins the open
+    group if it fits into it; one whose length is given as a negative number
+    joins if there is any room left, and may overfill it.
     """
 
     first: tuple[int, int, int, int]
@@ -48,16 +50,20 @@ class Rule:
     capacity: Callable[[np.ndarray], np.ndarray]  # of a group by its first entry's size
 
     def sizes(self, lengths: np.ndarray) -> np.ndarray:
-        return lengths + self.header
+        return np.abs(lengths) + self.header
 
-    def boundary(self, ends: np.ndarray, state: tuple) -> int:
+    def needs(self, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Up to where a group that began at 0 must reach, for each entry to join it; ascending like the ends."""
+        return np.where(lengths < 0, ends - self.sizes(lengths) + 1, ends)
+
+    def boundary(self, needs: np.ndarray, state: tuple) -> int:
         """First entry that does not join the open group."""
         _, capacity, used, entries = state
-        return min(int(np.searchsorted(ends, capacity - used, side="right")), max(0, self.entries - entries))
+        return min(int(np.searchsorted(needs, capacity - used, side="right")), max(0, self.entries - entries))
 
-    def next_starts(self, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def next_starts(self, sizes: np.ndarray, ends: np.ndarray, needs: np.ndarray) -> np.ndarray:
         at = np.arange(len(sizes))
-        stop = np.searchsorted(ends, ends - sizes + self.capacity(sizes), side="right")
+        stop = np.searchsorted(needs, ends - sizes + self.capacity(sizes), side="right")
         return np.maximum(np.minimum(stop, at + self.entries), at + 1)
 
 
@@ -85,19 +91,25 @@ def page_rule(max_bytes: int, max_entries: int) -> Rule:
     return Rule((-1, -1, 0, max_entries), 0, max_bytes, max_entries, lambda sizes: np.full(len(sizes), max_bytes, dtype=np.int64))
 
 
+def room_rule(capacity: int) -> Rule:
+    """Groups of equal capacity, the first one open and empty."""
+    return Rule((0, capacity, 0, 0), 0, capacity, _NEVER, lambda sizes: np.full(len(sizes), capacity, dtype=np.int64))
+
+
 def fold(lengths: np.ndarray, state: tuple, rule: Rule) -> tuple[np.ndarray, np.ndarray, tuple]:
     """Group and offset in the group of each entry, and the state after them."""
     sizes = rule.sizes(lengths)
     ends = np.cumsum(sizes)
+    needs = rule.needs(lengths, ends)
     groups, offsets = np.empty(len(sizes), dtype=np.int64), np.empty(len(sizes), dtype=np.int64)
     group, capacity, used, entries = state
     at, before = 0, 0
     while at < len(sizes):
-        stop = min(int(np.searchsorted(ends, before + capacity - used, side="right")), at + max(0, rule.entries - entries))
+        stop = min(int(np.searchsorted(needs, before + capacity - used, side="right")), at + max(0, rule.entries - entries))
         if stop <= at:
             # the next entry begins a group, and fits it even if it is larger than the group should be
             group, capacity, used, entries = group + 1, int(rule.capacity(sizes[at : at + 1])[0]), 0, 0
-            stop = max(at + 1, min(int(np.searchsorted(ends, before + capacity, side="right")), at + rule.entries))
+            stop = max(at + 1, min(int(np.searchsorted(needs, before + capacity, side="right")), at + rule.entries))
         groups[at:stop] = group
         offsets[at:stop] = used + ends[at:stop] - sizes[at:stop] - before
         used += int(ends[stop - 1]) - before
@@ -110,16 +122,17 @@ def summarize(lengths: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
     """What chaining needs of a chunk: running sizes up to a group's room, and for a first boundary at each of these places the groups and the open group's start and capacity at the end."""
     sizes = rule.sizes(lengths)
     ends, n = np.cumsum(sizes), len(sizes)
-    jump = np.append(rule.next_starts(sizes, ends), n)
+    needs = rule.needs(lengths, ends)
+    jump = np.append(rule.next_starts(sizes, ends, needs), n)
     last, count = np.append(np.arange(n), -1), np.append(np.ones(n, dtype=np.int64), 0)
     while (jump[:n] < n).any():
         inside = jump < n
         last = np.where(inside, last[jump], last)
         count = count + count[jump]
         jump = jump[jump]
-    k = min(n, int(np.searchsorted(ends, rule.room, side="right")) + 1, rule.entries + 1)
+    k = min(n, int(np.searchsorted(needs, rule.room, side="right")) + 1, rule.entries + 1)
     start = last[:k]
-    return {"ends": ends[:k], "count": count[:k], "used": ends[-1] - ends[start] + sizes[start], "capacity": rule.capacity(sizes[start]), "entries": n - start}
+    return {"ends": needs[:k], "count": count[:k], "used": ends[-1] - ends[start] + sizes[start], "capacity": rule.capacity(sizes[start]), "entries": n - start}
 
 
 def chain(state: tuple, total: int, n: int, summary: dict[str, np.ndarray], rule: Rule) -> tuple:
@@ -219,6 +232,19 @@ def place_files(blocks: DataFrame, order: str, per_file: int = FILE_BLOCKS) -> D
     return ranked.withColumn("file_no", F.floor(F.col("__rank") / per_file).cast("bigint")).drop("__all", "__rank")
 
 
+def place_sized(blocks: DataFrame, order: str, size: str = "size", first: str = "first", file_bytes: int = FILE_BLOCKS * BLOCK_BYTES, chunk_entries: int = CHUNK_ENTRIES) -> DataFrame:
+    """file_no and file_off of blocks of any size, in the order they were opened, all topics together.
+
+    The first block of a topic goes into the open file if that has any room left;
+    any other only if it fits, or else begins a new file.  `order` is a unique
+    integer; returns it with the size and the two new columns.
+    """
+    lengths = F.when(F.col(first), -F.col(size)).otherwise(F.col(size)).cast("bigint")
+    ranked = running(blocks.select(F.lit(0).alias("topic"), F.col(order), lengths.alias("payload_len")), ["topic"], order, {"seq": ("sum", F.lit(1).cast("bigint"))}, exclusive=True)
+    placed = grouped(ranked, room_rule(file_bytes), ("file_no", "file_off"), (order,), chunk_entries)
+    return placed.select(order, F.abs("payload_len").alias(size), "file_no", "file_off")
+
+
 def reclaimable(blocks: DataFrame, per_file: int = FILE_BLOCKS) -> DataFrame:
     """Whether each file can be deleted: all its slots given out, none open, and every block consumed.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import micros
 from ..model import CorruptEntry
 from ..plans.prefix import previous, running
 
@@ -15,16 +16,17 @@ def verify(log: DataFrame, computed: Column, on_corrupt: str = "stop") -> DataFr
     `stop` ends each topic before its first bad entry, `skip` leaves out the bad
     entries only, `fail` raises.
     """
-    checked = log.withColumn("__bad", ~F.coalesce(computed == F.col("checksum"), F.lit(False)))
+    bad = ~F.coalesce(computed == F.col("checksum"), F.lit(False))
     if on_corrupt == "skip":
-        return checked.where("NOT __bad").drop("__bad")
-    first = checked.where("__bad").groupBy("topic").agg(F.min("seq").alias("__first"))
+        return log.where(~bad)
+    first = log.where(bad).groupBy("topic").agg(F.min("seq").alias("__first"))
     if on_corrupt == "fail":
-        bad = first.limit(5).collect()
-        if bad:
-            raise CorruptEntry(", ".join(f"{r.topic} at {r['__first']}" for r in bad))
-        return checked.drop("__bad")
-    return checked.join(first, "topic", "left").where(F.col("__first").isNull() | (F.col("seq") < F.col("__first"))).drop("__bad", "__first")
+        found = first.limit(5).collect()
+        if found:
+            raise CorruptEntry(", ".join(f"{r.topic} at {r['__first']}" for r in found))
+        return log
+    # what comes before a topic's first bad entry is sound, so checksums are computed once
+    return log.join(first, "topic", "left").where(F.col("__first").isNull() | (F.col("seq") < F.col("__first"))).drop("__first")
 
 
 def valid_prefix(packed: DataFrame, bad: Column) -> DataFrame:
@@ -70,10 +72,27 @@ def coalesced_flushes(writes: DataFrame, ts: str, path: str, tick: str) -> DataF
     return writes.groupBy(F.window(ts, tick).start.alias("bucket")).agg(F.countDistinct(path).alias("paths"))
 
 
-def overlapping(batches: DataFrame) -> DataFrame:
+def overlapping(batches: DataFrame, range_size: int = 3_600_000_000) -> DataFrame:
     """Batches (topic, batch, start_ts, end_ts) that began while another one of their topic ran.
 
     The later of two is refused; the largest end among the earlier ones tells.
+    Starts are times or integers; `range_size` is in microseconds, or units, of them.
     """
-    over = Window.partitionBy("topic").orderBy("start_ts", "batch").rowsBetween(Window.unboundedPreceding, -1)
-    return batches.withColumn("__end", F.max("end_ts").over(over)).where(F.col("start_ts") < F.col("__end")).drop("__end")
+    whole = batches.schema["start_ts"].dataType.typeName() in ("long", "integer", "short", "byte")
+    timed = batches.withColumn("__at", F.col("start_ts") if whole else micros(F.col("start_ts")))
+    placed = running(timed, ["topic"], "__at", {"__end": ("max", F.col("end_ts"))}, range_size, exclusive=True, ties=["batch"])
+    return placed.where(F.col("start_ts") < F.col("__end")).drop("__at", "__end")
+
+
+_ACK = {"ok": 0, "checksum": 1, "error": 2}  # fixed values of the protocol
+
+
+def chunk_acks(sent: DataFrame, received: DataFrame, key: str = "chunk") -> DataFrame:
+    """Status byte for each chunk sent (key, size, sha256): 0 if it came whole, 1 if its checksum differs, 2 if it is missing or of another size.
+
+    `received` has key and content; of several the first whole one counts.
+    """
+    got = received.select(key, F.octet_length("content").cast("bigint").alias("__size"), F.sha2("content", 256).alias("__sha"))
+    same_size = F.col("__size") == F.col("size")
+    status = F.when(same_size & (F.col("__sha") == F.col("sha256")), _ACK["ok"]).when(same_size, _ACK["checksum"]).otherwise(_ACK["error"])
+    return sent.join(got, key, "left").groupBy(key).agg(F.min(status).cast("int").alias("ack"))

@@ -22,6 +22,20 @@ def offset_map(log: DataFrame, range_size: int = 1 << 18) -> DataFrame:
     return out.withColumn("start_off", F.col("end_off") - footprint(F.col("payload_len")))
 
 
+def at_tail(positions: DataFrame, chain: DataFrame) -> DataFrame:
+    """Where readers that stand in the writer's block go on once it is sealed.
+
+    `positions` (topic, block_id, offset) name a block; `chain` (topic, block_id,
+    place) are the sealed blocks of each topic in order.  Adds place and offset
+    of the sealed copy; a position whose block is not in the chain begins at its
+    start, place 0 and offset 0.
+    """
+    known = chain.select("topic", "block_id", F.col("place").alias("__place"))
+    joined = positions.join(known, ["topic", "block_id"], "left")
+    found = F.col("__place").isNotNull()
+    return joined.withColumns({"place": F.coalesce("__place", F.lit(0)).cast("bigint"), "offset": F.when(found, F.col("offset")).otherwise(0).cast("bigint")}).drop("__place")
+
+
 def at_cursor(log: DataFrame, cursors: DataFrame) -> DataFrame:
     """The next unread entry of each topic: the one whose seq is the topic's cursor; a topic without cursor is at its start.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bucket_minimum, histogram_bucket
+from ..functions.scalars import bucket_minimum, histogram_bucket, micros
+from ..plans.prefix import RANGE_ROWS, previous
 
 # Columns of the benchmark sample files.
 SAMPLES = {
@@ -20,10 +21,22 @@ def read_samples(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.csv(path, schema=SAMPLES[kind], header=True)
 
 
-def rates(samples: DataFrame, keys: list[str], ts: str, total: str, seconds: float = 0.5) -> DataFrame:
-    """Add `rate`: growth of a running total since the sample before, by the sampling interval."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    return samples.withColumn("rate", (F.col(total) - F.lag(total).over(w)) / F.lit(seconds))
+def rates(samples: DataFrame, keys: list[str], ts: str, total: str, seconds: float = 0.5, range_size: int = RANGE_ROWS) -> DataFrame:
+    """Add `rate`: growth of a running total since the sample before, by the sampling interval.
+
+    Samples are in the order of `ts`, an integer, or a time counted in seconds;
+    `range_size` is the width of a range in its units.
+    """
+    whole = samples.schema[ts].dataType.typeName() in ("long", "integer", "short", "byte")
+    timed = samples.withColumn("__at", F.col(ts) if whole else micros(F.col(ts)))
+    before = previous(timed, keys, "__at", {"__before": total}, range_size if whole else range_size * 1_000_000)
+    return before.withColumn("rate", (F.col(total) - F.col("__before")) / F.lit(seconds)).drop("__at", "__before")
+
+
+def write_samples(samples: DataFrame, path: str, kind: str) -> None:
+    """Samples as CSV files with a header, in the columns of their kind."""
+    names = [f.split()[0] for f in SAMPLES[kind].split(", ")]
+    samples.select(*names).write.mode("overwrite").option("header", True).csv(path)
 
 
 def totals(samples: DataFrame, keys: list[str], total: str, elapsed: str, rate: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_command
-from ..plans.prefix import running
+from ..plans.prefix import RANGE_ROWS, previous, running
 
 VERBS = ("REGISTER", "PUT", "GET", "STATE", "METRICS")
 
@@ -27,17 +27,33 @@ def lease_changes(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame
     return granted.unionAll(old.select(key).exceptAll(new.select(key)).withColumn("change", F.lit("revoked")))
 
 
-def as_of(events: DataFrame, changes: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def unknown_topics(requests: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Requests for topics that the catalog does not have."""
+    return requests.join(catalog.select("topic").distinct(), "topic", "left_anti")
+
+
+def delayed(messages: DataFrame, slow: DataFrame, source: str = "src", target: str = "dst", ts: str = "ts") -> DataFrame:
+    """Add `arrives`: sent time plus the delay of its pair (src, dst, millis), whichever way it goes; the largest of several."""
+    pair = [F.least(source, target).alias("__a"), F.greatest(source, target).alias("__b")]
+    waits = slow.select(*pair, "millis").groupBy("__a", "__b").agg(F.max("millis").alias("__millis"))
+    joined = messages.select("*", *pair).join(waits, ["__a", "__b"], "left")
+    return joined.withColumn("arrives", F.col(ts) + F.make_dt_interval(secs=F.coalesce("__millis", F.lit(0)) / 1000)).drop("__a", "__b", "__millis")
+
+
+def as_of(events: DataFrame, changes: DataFrame, key: str, order: str, value: str, rows_a_range: int = RANGE_ROWS) -> DataFrame:
     """Add to each event the value of the latest change of its key at or before it, by an integer order.
 
     Both sides are one relation of which changes are a running last value, so
-    neither is looped over nor compared pair by pair.
+    neither is looped over nor compared pair by pair.  The width of a range comes
+    from the data: so that evenly spread orders put `rows_a_range` in each.
     """
     left = events.withColumns({"__is_change": F.lit(1), "__value": F.lit(None).cast(changes.schema[value].dataType)})
     right = changes.select(key, F.col(order), F.col(value).alias("__value")).withColumn("__is_change", F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
     last = F.when(F.col("__is_change") == 0, F.struct(F.col(order).alias("o"), F.col("__value").alias("v")))
-    placed = running(both, [key], order, {"__last": ("max", last)}, range_size=3_600_000_000, ties=["__is_change"])
+    low, high, n = both.agg(F.min(order), F.max(order), F.count("*")).first()
+    width = max(1, (high - low + 1) * rows_a_range // n) if n and high is not None else 1
+    placed = running(both, [key], order, {"__last": ("max", last)}, range_size=width, ties=["__is_change"])
     return placed.where("__is_change = 1").withColumn(value, F.col("__last.v")).drop("__is_change", "__value", "__last")
 
 
@@ -78,9 +94,9 @@ def dropped(messages: DataFrame, cut: DataFrame, source: str = "src", target: st
 
 
 def consecutive_distinct(log: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
-    """Rows that differ from the row before them."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return log.withColumn("__before", F.lag(value).over(w)).where(~F.col("__before").eqNullSafe(value)).drop("__before")
+    """Rows that differ from the row before them; the integer order is unique within a key."""
+    named = log.withColumn("__value", value)
+    return previous(named, keys, order, {"__before": "__value", "__seen": order}).where(F.col("__seen").isNull() | ~F.col("__before").eqNullSafe(F.col("__value"))).drop("__value", "__before", "__seen")
 
 
 def order_check(log: DataFrame, expected: Column) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import initial_leader
+from ..functions.scalars import initial_leader, micros
+from ..plans.prefix import running
+from .blocks import grouped, room_rule
 
 
 def segment_of(seq: Column, size: int) -> Column:
@@ -30,23 +31,13 @@ def with_open(segments: DataFrame) -> DataFrame:
 def tick_rollover(log: DataFrame, ts: str, tick: str, size: int) -> DataFrame:
     """Segments of topics that are only looked at once a tick: one is sealed at the first tick that finds `size` entries or more.
 
-    Entries are counted by tick before they are folded, so a topic's group holds
-    one row a tick, and grows with time rather than with traffic.
+    Entries are counted by tick first; a tick's entries join the open segment as
+    long as that holds fewer than `size`.
     """
-    counts = log.groupBy("topic", F.window(ts, tick).start.alias("tick")).agg(F.count("*").alias("n"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick")
-        segment, held, out = 1, 0, []
-        for n in pdf["n"].tolist():
-            if held >= size:
-                segment, held = segment + 1, 0
-            held += n
-            out.append(segment)
-        return pd.DataFrame({"topic": pdf["topic"], "segment": out, "n": pdf["n"]})
-
-    topic = log.schema["topic"].dataType.simpleString()
-    return counts.groupBy("topic").applyInPandas(fold, f"topic {topic}, segment bigint, n bigint").groupBy("topic", "segment").agg(F.sum("n").alias("n"))
+    counts = log.groupBy("topic", micros(F.window(ts, tick).start).alias("tick")).agg((-F.count("*")).alias("payload_len"))
+    ranked = running(counts, ["topic"], "tick", {"seq": ("sum", F.lit(1).cast("bigint"))}, 1_000_000 * 86_400 * 366, exclusive=True)
+    placed = grouped(ranked, room_rule(size), ("group", "held"))
+    return placed.groupBy("topic", (F.col("group") + 1).alias("segment")).agg(F.sum(F.abs("payload_len")).alias("n"))
 
 
 def leader_of(topic: Column, segment: Column, nodes: int) -> Column:
@@ -54,6 +45,19 @@ def leader_of(topic: Column, segment: Column, nodes: int) -> Column:
     return (F.pmod(initial_leader(topic, nodes) + segment - 1, F.lit(nodes)) + 1).cast("bigint")
 
 
+def with_leader(entries: DataFrame, leaders: DataFrame, current: DataFrame) -> DataFrame:
+    """Add the recorded leader of each entry's segment (topic, segment, leader), else its topic's current one (topic, leader)."""
+    recorded = leaders.select("topic", "segment", F.col("leader").alias("__recorded"))
+    now = current.select("topic", F.col("leader").alias("__now"))
+    joined = entries.join(recorded, ["topic", "segment"], "left").join(now, "topic", "left")
+    return joined.withColumn("leader", F.coalesce("__recorded", "__now")).drop("__recorded", "__now")
+
+
+def with_address(rows: DataFrame, nodes: DataFrame, node: str = "leader") -> DataFrame:
+    """Add the address of a node column from the node table (node, address); null for an unknown node."""
+    return rows.join(nodes.select(F.col("node").alias(node), "address"), node, "left")
+
+
 def next_leader(voters: Column, me: Column) -> Column:
     """The voter after `me` in sorted order; the first one if `me` is none."""
     ordered = F.array_sort(voters)
@@ -80,18 +84,24 @@ def advance(cursors: DataFrame, segments: DataFrame) -> DataFrame:
     """One read of each cursor (topic, segment, delivered): the entry's seq, or null if there is none, and the new cursor.
 
     Segment 0 means the first.  Exhausted sealed segments are passed, several if
-    some are empty; on the open segment a reader waits.
+    some are empty; on the open segment a reader waits.  Each segment knows the
+    next one that has entries, so a cursor meets one segment only.
     """
-    table = with_open(segments).withColumnRenamed("segment", "s")
+    later = Window.partitionBy("topic").orderBy("segment").rowsBetween(1, Window.unboundedFollowing)
+    full = F.min(F.when(F.col("n") > 0, F.struct(F.col("segment").alias("s"), "first_seq"))).over(later)
+    table = with_open(segments).withColumn("full", full).withColumnRenamed("segment", "s")
     at = F.greatest(F.col("segment"), F.lit(1))
-    offered = cursors.withColumn("at", at).join(table, "topic").where("s >= at")
-    done = F.when(F.col("s") == F.col("at"), F.col("delivered")).otherwise(0)
-    ready = offered.withColumn("done", done).groupBy("topic", "segment", "delivered").agg(
-        F.min(F.when(F.col("n") > F.col("done"), F.struct("s", "done", (F.col("first_seq") + F.col("done")).alias("seq")))).alias("hit"),
-        F.max(F.struct("s", "done")).alias("last"),
+    met = cursors.withColumn("s", at).join(table, ["topic", "s"])
+    here = F.col("n") > F.col("delivered")
+    found = here | F.col("full").isNotNull()
+    return met.select(
+        "topic",
+        "segment",
+        "delivered",
+        F.when(here, F.col("first_seq") + F.col("delivered")).otherwise(F.col("full.first_seq")).alias("seq"),
+        F.when(here, F.col("s")).otherwise(F.coalesce("full.s", "current")).alias("new_segment"),
+        F.when(here, F.col("delivered") + 1).when(found, 1).when(F.col("s") == F.col("current"), F.col("delivered")).otherwise(0).cast("bigint").alias("new_delivered"),
     )
-    hit = F.col("hit").isNotNull()
-    return ready.select("topic", "segment", "delivered", F.col("hit.seq").alias("seq"), F.when(hit, F.col("hit.s")).otherwise(F.col("last.s")).alias("new_segment"), F.when(hit, F.col("hit.done") + 1).otherwise(F.col("last.done")).alias("new_delivered"))
 
 
 def ownership(segments: DataFrame, nodes: int) -> DataFrame:
@@ -100,20 +110,28 @@ def ownership(segments: DataFrame, nodes: int) -> DataFrame:
     return open_.groupBy(leader_of(F.col("topic"), F.col("current"), nodes).alias("node")).agg(F.count("*").alias("open_topics"))
 
 
-def invariants(log: DataFrame, segments: DataFrame, size: int, nodes: int) -> DataFrame:
-    """Violations of the model's invariants, by name; all zero on a sound log."""
+def invariants(log: DataFrame, segments: DataFrame, states: DataFrame, size: int, nodes: int) -> DataFrame:
+    """Violations of the model's invariants, by name; all zero on a sound log.
+
+    `segments` (topic, segment, first_seq, n) and `states` (topic,
+    current_segment, last_sealed, leader) are what the metadata says; both are
+    held against the entries of the log.
+    """
     placed = log.select("topic", "seq", segment_of(F.col("seq"), size).alias("segment"))
     counted = placed.groupBy("topic", "segment").agg(F.count("*").alias("rows"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.countDistinct("seq").alias("distinct_seq"))
-    joined = with_open(segments).join(counted, ["topic", "segment"], "left")
-    sealed = sealed_cumulative(segments).groupBy("topic").agg(F.max("cum").alias("cum"), F.sum("sealed").alias("sealed"))
-    leaders = with_open(segments).where("segment = current")
-    stray = placed.join(segments.groupBy("topic").agg(F.max("segment").alias("current")), "topic").where("segment > current")
+    current = states.select("topic", "current_segment")
+    told = segments.join(current, "topic")
+    joined = told.join(counted, ["topic", "segment"], "left")
+    sealed = told.where("segment < current_segment").groupBy("topic").agg(F.sum("n").alias("sealed"))
+    summed = states.join(sealed, "topic", "left")
+    stray = placed.join(current, "topic").where("segment > current_segment")
+    turn = leader_of(F.col("topic"), F.col("current_segment"), nodes)
     checks = [
         ("no_rows_after_open", stray.agg(F.count("*").alias("violations"))),
-        ("sealed_count_matches", joined.where("segment < current").agg(F.count_if(F.coalesce("rows", F.lit(0)) != F.col("n")).alias("violations"))),
-        ("last_sealed_is_sum", sealed.agg(F.count_if(F.col("cum") != F.col("sealed")).alias("violations"))),
+        ("sealed_count_matches", joined.where("segment < current_segment").agg(F.count_if(F.coalesce("rows", F.lit(0)) != F.col("n")).alias("violations"))),
+        ("last_sealed_is_sum", summed.agg(F.count_if(F.coalesce("sealed", F.lit(0)) != F.col("last_sealed")).alias("violations"))),
         ("contiguous_order", counted.agg(F.count_if((F.col("high") - F.col("low") + 1 != F.col("rows")) | (F.col("distinct_seq") != F.col("rows"))).alias("violations"))),
-        ("open_leader_valid", leaders.agg(F.count_if(~leader_of(F.col("topic"), F.col("segment"), nodes).between(1, nodes)).alias("violations"))),
+        ("open_leader_valid", states.agg(F.count_if(~F.coalesce((F.col("leader") == turn) & F.col("leader").between(1, nodes), F.lit(False))).alias("violations"))),
     ]
     out = None
     for name, df in checks:

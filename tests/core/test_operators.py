@@ -132,13 +132,64 @@ def test_segments_and_cursors(spark):
     cursors = spark.createDataFrame([("t", 0, 0), ("t", 1, 10), ("t", 2, 3), ("t", 2, 10), ("t", 3, 0)], "topic string, segment bigint, delivered bigint")
     got = {(r.segment, r.delivered): (r.seq, r.new_segment, r.new_delivered) for r in segments.advance(cursors, table).collect()}
     assert got == {(0, 0): (0, 1, 1), (1, 10): (10, 2, 1), (2, 3): (13, 2, 4), (2, 10): (None, 3, 0), (3, 0): (None, 3, 0)}
-    assert all(r.violations == 0 for r in segments.invariants(log_of(spark, [1] * 25), segments.segment_table(log_of(spark, [1] * 25), 10), 10, 3).collect())
-    broken = log_of(spark, [1] * 25).where("seq <> 4")
-    assert sum(r.violations for r in segments.invariants(broken, segments.segment_table(log_of(spark, [1] * 25), 10), 10, 3).collect()) == 2
+    log = log_of(spark, [1] * 25)
+    told = segments.segment_table(log, 10)
+    leader = segments.leader_of(F.col("topic"), F.lit(3), 3)
+    states = told.select("topic").distinct().select("topic", F.lit(3).cast("bigint").alias("current_segment"), F.lit(20).cast("bigint").alias("last_sealed"), leader.alias("leader"))
+
+    def broken(log=log, told=told, states=states):
+        return {r.invariant for r in segments.invariants(log, told, states, 10, 3).collect() if r.violations}
+
+    assert broken() == set()
+    assert broken(log=log.where("seq <> 4")) == {"sealed_count_matches", "contiguous_order"}
+    assert broken(log=log.unionAll(log.where("seq = 24"))) == {"contiguous_order"}
+    assert broken(states=states.withColumn("last_sealed", F.lit(19))) == {"last_sealed_is_sum"}
+    assert broken(states=states.withColumn("leader", F.lit(4))) == {"open_leader_valid"}
+    assert "no_rows_after_open" in broken(states=states.withColumn("current_segment", F.lit(2)))
     voters = F.array(F.lit(3), F.lit(1), F.lit(2))
     assert spark.range(1).select(segments.next_leader(voters, F.lit(3)), segments.next_leader(voters, F.lit(1)), segments.next_leader(voters, F.lit(9))).first()[:] == (1, 2, 1)
 
 
+def test_empty_segments_are_passed(spark):
+    table = spark.createDataFrame([("t", 1, 0, 5), ("t", 2, 5, 0), ("t", 3, 5, 0), ("t", 4, 5, 3), ("t", 5, 8, 0)], "topic string, segment bigint, first_seq bigint, n bigint")
+    cursors = spark.createDataFrame([("t", 1, 5), ("t", 2, 0), ("t", 4, 3), ("t", 5, 0)], "topic string, segment bigint, delivered bigint")
+    got = {(r.segment, r.delivered): (r.seq, r.new_segment, r.new_delivered) for r in segments.advance(cursors, table).collect()}
+    assert got == {(1, 5): (5, 4, 1), (2, 0): (5, 4, 1), (4, 3): (None, 5, 0), (5, 0): (None, 5, 0)}
+
+
+def test_ticks_fold_like_a_loop(spark):
+    import datetime
+
+    rng = random.Random(3)
+    base, rows, want = datetime.datetime(2024, 1, 1), [], {}
+    for topic in "ab":
+        segment, held = 1, 0
+        for hour in range(150):
+            n = rng.choice([0, 0, 1, 5, 12, 40])
+            rows += [(topic, base + datetime.timedelta(hours=hour, minutes=k)) for k in range(n)]
+            if n:
+                if held >= 20:
+                    segment, held = segment + 1, 0
+                held += n
+                want[topic, segment] = want.get((topic, segment), 0) + n
+    got = segments.tick_rollover(spark.createDataFrame(rows, "topic string, ts timestamp").repartition(3), "ts", "1 hour", 20).collect()
+    assert {(r.topic, r.segment): r.n for r in got} == want
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_sized_blocks_fill_files_like_a_loop(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(i * 3, rng.choice([10, 10, 25, 90, 130]), rng.random() < 0.3) for i in range(300)]
+    file_no, used, want = 0, 0, {}
+    for at, size, first in rows:
+        if not (used < 100 if first else used + size <= 100):
+            file_no, used = file_no + 1, 0
+        want[at] = (file_no, used)
+        used += size
+    df = spark.createDataFrame(rows, "at bigint, size bigint, first boolean").repartition(3)
+    assert {r["at"]: (r.file_no, r.file_off) for r in blocks.place_sized(df, "at", file_bytes=100, chunk_entries=chunk).collect()} == want
+
+
 def test_corruption_policies(spark):
     log = log_of(spark, [1] * 6).withColumn("checksum", F.when(F.col("seq") == 2, 0).otherwise(F.col("seq") + 1))
     good = F.col("seq") + 1
@@ -162,6 +213,9 @@ def test_delivery(spark):
         assert got[i] == c
     batches = spark.createDataFrame([("t", 1, 0, 10), ("t", 2, 5, 8), ("t", 3, 11, 12), ("u", 1, 5, 6)], "topic string, batch int, start_ts int, end_ts int")
     assert [r.batch for r in delivery.overlapping(batches).collect()] == [2]
+    sent = spark.createDataFrame([(1, 2, "x"), (2, 2, "x"), (3, 2, "x"), (4, 3, "x")], "chunk int, size bigint, sha256 string").withColumn("sha256", F.sha2(F.lit("ab"), 256))
+    came = spark.createDataFrame([(1, "zz"), (1, "ab"), (2, "xy"), (4, "ab")], "chunk int, content string")
+    assert {r.chunk: r.ack for r in delivery.chunk_acks(sent, came).collect()} == {1: 0, 2: 1, 3: 2, 4: 2}
 
 
 def test_replay_against_loop(spark):
@@ -229,3 +283,48 @@ def test_sample_files(spark, tmp_path):
         assert got.count() == 1 and got.columns == head.split(",")
     series = spark.createDataFrame([("a", 1, 0), ("a", 2, 5), ("a", 3, 15)], "s string, t bigint, total bigint")
     assert [r.rate for r in metrics.rates(series, ["s"], "t", "total").orderBy("t").collect()] == [None, 10.0, 20.0]
+
+
+def test_consecutive_appends(spark):
+    mine = spark.createDataFrame([("f", 1, 1), ("f", 2, 2), ("g", 1, 1)], "follower string, log_index bigint, term bigint")
+    asks = spark.createDataFrame([("f", None, None), ("f", 2, 2), ("f", 2, 1), ("f", 3, 2), ("g", 1, 1), ("h", 1, 1)], "follower string, prev_index bigint, prev_term bigint")
+    got = {(r.follower, r.prev_index, r.prev_term): (r.accepted, r.local_term, r.truncate_from) for r in replication.consecutive(asks, mine, "follower").collect()}
+    assert got == {("f", None, None): (True, None, None), ("f", 2, 2): (True, 2, None), ("f", 2, 1): (False, 2, 2), ("f", 3, 2): (False, None, 3), ("g", 1, 1): (True, 1, None), ("h", 1, 1): (False, None, 1)}
+
+
+def test_metadata_goes_on_from_a_snapshot(spark):
+    commands = spark.createDataFrame([(1, "create", "t", None), (2, "rollover", "t", 10), (3, "rollover", "u", 5), (4, "create", "u", None), (5, "rollover", "t", 7), (6, "create", "t", None), (7, "rollover", "u", 3)], "log_index bigint, kind string, topic string, sealed_count bigint")
+    whole = sorted(map(tuple, replication.topic_states(commands, 3).collect()))
+    for cut in range(8):
+        saved = replication.snapshot_states(replication.topic_states(commands.where(F.col("log_index") <= cut), 3))
+        again = replication.restore_states(saved.unionAll(spark.createDataFrame([("junk",), (None,)], "state string")))
+        assert sorted(map(tuple, replication.topic_states(commands.where(F.col("log_index") > cut), 3, again).collect())) == whole
+
+
+def test_entries_are_applied_in_order(spark):
+    rows = [(5, "normal", "DELETE a"), (1, "normal", "SET a 1"), (3, "membership", "2,1"), (4, "normal", "SET b 2"), (2, "blank", None), (6, "membership", "3"), (7, "normal", "nonsense"), (4, "normal", "SET b 2")]
+    table, state = replication.apply_entries(spark.createDataFrame(rows, "log_index bigint, kind string, data string"))
+    assert [tuple(r) for r in table.collect()] == [("b", "2")] and tuple(state.first()) == (7, 6, [3])
+    table, state = replication.apply_entries(spark.createDataFrame([], "log_index bigint, kind string, data string"))
+    assert table.collect() == [] and tuple(state.first()) == (None, None, None)
+
+
+def test_places_of_readers_leaders_and_messages(spark):
+    chain = spark.createDataFrame([("t", 70, 0), ("t", 71, 1)], "topic string, block_id bigint, place bigint")
+    at = spark.createDataFrame([("t", 71, 9), ("t", 99, 9), ("u", 70, 9)], "topic string, block_id bigint, offset bigint")
+    assert sorted(map(tuple, logs.at_tail(at, chain).select("topic", "block_id", "offset", "place").collect())) == [("t", 71, 9, 1), ("t", 99, 0, 0), ("u", 70, 0, 0)]
+    entries = spark.createDataFrame([("t", 1), ("t", 2), ("u", 1)], "topic string, segment bigint")
+    known, now = spark.createDataFrame([("t", 1, 5)], "topic string, segment bigint, leader bigint"), spark.createDataFrame([("t", 6)], "topic string, leader bigint")
+    led = segments.with_leader(entries, known, now)
+    assert sorted(map(tuple, led.collect()), key=repr) == [("t", 1, 5), ("t", 2, 6), ("u", 1, None)]
+    placed = segments.with_address(led, spark.createDataFrame([(5, "a:1")], "node bigint, address string"))
+    assert sorted((r.topic, r.segment, r.address) for r in placed.where("leader is not null").collect()) == [("t", 1, "a:1"), ("t", 2, None)]
+    assert [r.topic for r in routing.unknown_topics(entries, now).collect()] == ["u"]
+
+
+def test_envelopes_and_sample_files(spark, tmp_path):
+    lines = spark.createDataFrame([('{"type":"Request","id":1,"payload":{"kind":"vote","term":3},"error":"x"}',), ('{"type":"request"}',), ("junk",), ('{"type":"one_way","id":4}',), (None,)], "line string")
+    got = [r.e for r in lines.select(replication.envelope(F.col("line")).alias("e")).collect()]
+    assert (got[0].type, got[0].id, got[0].payload.term, got[0].error) == ("request", 1, 3, None) and got[1] is None and got[2] is None and (got[3].type, got[3].id) == ("one_way", None) and got[4] is None
+    metrics.write_samples(spark.createDataFrame([(4, 2.5)], "threads int, throughput double"), str(tmp_path / "s"), "scaling")
+    assert [tuple(r) for r in metrics.read_samples(spark, str(tmp_path / "s"), "scaling").collect()] == [(4, 2.5)]
