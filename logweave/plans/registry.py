@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..engine import LogEngine
 from ..operators import blocks, delivery, logs, metrics, replication, routing, segments
 from ..sources.topics import conversations_log, documents_log, events_log, orders_log, table
+from ..streaming.tail import finished, follow, progress, sessions, shared_folder, tail_counts, windowed_counts
 from .prefix import running
 
 BLOCK = 64 * 1024
@@ -51,13 +53,14 @@ def _segments(log: str, size: int) -> str:
         c AS (SELECT topic, max(segment) AS current FROM s GROUP BY topic)"""
 
 
-def _next_fit(log: str, unit: int) -> str:
+def _next_fit(log: str, unit: int, whole_units: bool = True) -> str:
     """Blocks of every entry as relation b, one recursive step a row."""
+    size = f"((d.need + {unit} - 1) // {unit}) * {unit}" if whole_units else f"greatest(d.need, {unit})"
     return f"""d AS (SELECT topic, seq + 1 AS rn, len + 256 AS need FROM ({log})),
         f AS (SELECT DISTINCT topic, 0::BIGINT AS rn, 0::BIGINT AS block, {unit}::BIGINT AS lim, 0::BIGINT AS used, 0::BIGINT AS need FROM d
               UNION ALL
               SELECT d.topic, d.rn, CASE WHEN f.used + d.need <= f.lim THEN f.block ELSE f.block + 1 END,
-                     CASE WHEN f.used + d.need <= f.lim THEN f.lim ELSE ((d.need + {unit} - 1) // {unit}) * {unit} END,
+                     CASE WHEN f.used + d.need <= f.lim THEN f.lim ELSE {size} END,
                      CASE WHEN f.used + d.need <= f.lim THEN f.used + d.need ELSE d.need END, d.need
               FROM f JOIN d ON d.topic = f.topic AND d.rn = f.rn + 1),
         b AS (SELECT topic, rn - 1 AS seq, block, need FROM f WHERE rn > 0)"""
@@ -116,19 +119,19 @@ def unread_count(spark, sf_dir):
 
 @query("recovered_count", f"WITH {_OFFSETS}, d AS (SELECT topic, max(end_off) // 2 AS durable_off FROM m GROUP BY topic) SELECT topic, count(*) FILTER (WHERE end_off > durable_off) AS unread FROM m JOIN d USING (topic) GROUP BY topic")
 def recovered_count(spark, sf_dir):
-    offsets = logs.offset_map(events_log(spark, sf_dir))
+    offsets = events_log(spark, sf_dir, offsets=True)
     durable = offsets.groupBy("topic").agg(F.floor(F.max("end_off") / 2).cast("bigint").alias("durable_off"))
     return logs.recovered_unread(offsets, durable)
 
 
 @query("offset_map", f"WITH {_OFFSETS} SELECT topic, seq, start_off, end_off FROM m")
 def offset_map(spark, sf_dir):
-    return logs.offset_map(events_log(spark, sf_dir)).select("topic", "seq", "start_off", "end_off")
+    return events_log(spark, sf_dir, offsets=True).select("topic", "seq", "start_off", "end_off")
 
 
 @query("stateless_read", f"WITH {_OFFSETS}, q AS (SELECT topic, max(end_off) * k // 4 + 7 * k AS req FROM m, (SELECT unnest(range(5)) AS k) GROUP BY topic, k) SELECT q.topic, req, seq, greatest(req - start_off - 256, 0) AS trim FROM q JOIN m ON m.topic = q.topic AND start_off <= req AND req < end_off")
 def stateless_read(spark, sf_dir):
-    offsets = logs.offset_map(events_log(spark, sf_dir))
+    offsets = events_log(spark, sf_dir, offsets=True)
     ends = offsets.groupBy("topic").agg(F.max("end_off").alias("end"))
     asked = ends.select("topic", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "end").select("topic", (F.floor(F.col("end") * F.col("k") / 4) + 7 * F.col("k")).cast("bigint").alias("req"))
     return logs.stateless_read(offsets, asked)
@@ -139,10 +142,12 @@ def batch_validate(spark, sf_dir):
     return logs.batch_checks(events_log(spark, sf_dir).withColumn("batch", F.floor(F.col("event_id") / 2500).cast("bigint")), ["batch"])
 
 
-@query("order_check", "SELECT event_type AS topic, true AS ok FROM events GROUP BY event_type")
+@query("order_check", "SELECT event_type AS topic, count(*) FILTER (WHERE event_id % 1000 = 7) = 0 AS ok FROM events GROUP BY event_type")
 def order_check(spark, sf_dir):
     log = events_log(spark, sf_dir)
-    sent = log.withColumn("line", F.concat(F.lit("seq-"), F.lpad(F.col("seq").cast("string"), 6, "0"), F.lit(":"), "payload"))
+    # some entries were sent with the number of the one after them
+    number = F.col("seq") + F.when(F.col("event_id") % 1000 == 7, 1).otherwise(0)
+    sent = log.withColumn("line", F.concat(F.lit("seq-"), F.format_string("%06d", number), F.lit(":"), "payload"))
     return routing.order_check(sent, F.regexp_extract("line", r"^seq-(\d+):", 1).cast("bigint"))
 
 
@@ -241,10 +246,29 @@ def ownership(spark, sf_dir):
     return segments.ownership(segments.segment_table(events_log(spark, sf_dir), SEGMENT), NODES)
 
 
-@query("tla_invariants", "SELECT unnest(['no_rows_after_open', 'sealed_count_matches', 'last_sealed_is_sum', 'contiguous_order', 'open_leader_valid']) AS invariant, 0::BIGINT AS violations")
+@query(
+    "tla_invariants",
+    f"""WITH {_segments(_E, SEGMENT)}, told AS (SELECT topic, segment, n + CASE WHEN segment % 3 = 1 THEN 1 ELSE 0 END AS n FROM s),
+        st AS (SELECT topic, total // {SEGMENT} + 1 - CASE WHEN total % 3 = 0 THEN 1 ELSE 0 END AS current, total // {SEGMENT} * {SEGMENT} AS last_sealed, ({_init('topic')} + total // {SEGMENT}) % {NODES} + 1 + CASE WHEN total % 2 = 0 THEN 1 ELSE 0 END AS leader FROM t),
+        lp AS (SELECT topic, seq, seq // {SEGMENT} + 1 AS segment FROM l WHERE event_id % 500 <> 3),
+        k AS (SELECT topic, segment, count(*) AS held, min(seq) AS low, max(seq) AS high FROM lp GROUP BY ALL),
+        sums AS (SELECT topic, sum(n) AS sealed FROM told JOIN st USING (topic) WHERE segment < st.current GROUP BY topic)
+        SELECT 'no_rows_after_open' AS invariant, (SELECT count(*) FROM lp JOIN st USING (topic) WHERE segment > st.current) AS violations
+        UNION ALL SELECT 'sealed_count_matches', (SELECT count(*) FROM told JOIN st USING (topic) LEFT JOIN k USING (topic, segment) WHERE segment < st.current AND coalesce(held, 0) <> n)
+        UNION ALL SELECT 'last_sealed_is_sum', (SELECT count(*) FROM st LEFT JOIN sums USING (topic) WHERE coalesce(sealed, 0) <> last_sealed)
+        UNION ALL SELECT 'contiguous_order', (SELECT count(*) FROM k WHERE high - low + 1 <> held)
+        UNION ALL SELECT 'open_leader_valid', (SELECT count(*) FROM st WHERE leader NOT BETWEEN 1 AND {NODES} OR leader <> ({_init('topic')} + current - 1) % {NODES} + 1)""",
+)
 def tla_invariants(spark, sf_dir):
     log = events_log(spark, sf_dir)
-    return segments.invariants(log, segments.segment_table(log, SEGMENT), SEGMENT, NODES)
+    table_ = segments.segment_table(log, SEGMENT)
+    totals = log.groupBy("topic").agg(F.count("*").alias("total"))
+    current = segments.segment_of(F.col("total"), SEGMENT)
+    leader = segments.leader_of(F.col("topic"), current, NODES)
+    # violations of every kind are planted: lost entries, wrong counts, a segment too few, a wrong leader
+    states = totals.select("topic", (current - F.when(F.col("total") % 3 == 0, 1).otherwise(0)).alias("current_segment"), ((current - 1) * SEGMENT).alias("last_sealed"), (leader + F.when(F.col("total") % 2 == 0, 1).otherwise(0)).alias("leader"))
+    told = table_.withColumn("n", F.col("n") + F.when(F.col("segment") % 3 == 1, 1).otherwise(0))
+    return segments.invariants(log.where(F.col("event_id") % 500 != 3), told, states, SEGMENT, NODES)
 
 
 @query("wal_key_roundtrip", f"WITH {_segments(_E, SEGMENT)} SELECT topic, segment, 't_' || topic || '_s_' || segment AS key, topic AS p_topic, segment AS p_segment FROM s")
@@ -343,12 +367,15 @@ def log_state(spark, sf_dir):
 
 @query("metadata_apply", f"WITH t AS (SELECT o_orderpriority AS topic, count(*) AS total FROM orders GROUP BY 1) SELECT topic, total // {ORDER_SEGMENT} + 1 AS current_segment, total // {ORDER_SEGMENT} * {ORDER_SEGMENT} AS last_sealed, ({_init('topic')} + total // {ORDER_SEGMENT}) % {NODES} + 1 AS leader FROM t")
 def metadata_apply(spark, sf_dir):
+    return replication.topic_states(_metadata_commands(spark, sf_dir), NODES)
+
+
+def _metadata_commands(spark, sf_dir):
     log = orders_log(spark, sf_dir)
     kind = F.when(F.col("seq") == 0, F.array(F.lit("create"))).otherwise(F.array())
     rolled = F.when((F.col("seq") + 1) % ORDER_SEGMENT == 0, F.array(F.lit("rollover"))).otherwise(F.array())
     commands = log.select("topic", (2 * F.col("o_orderkey")).alias("at"), F.explode(F.concat(kind.cast("array<string>"), rolled.cast("array<string>"))).alias("kind"))
-    commands = commands.select("topic", (F.col("at") + F.when(F.col("kind") == "rollover", 1).otherwise(0)).alias("log_index"), "kind", F.when(F.col("kind") == "rollover", ORDER_SEGMENT).alias("sealed_count"))
-    return replication.topic_states(commands, NODES)
+    return commands.select("topic", (F.col("at") + F.when(F.col("kind") == "rollover", 1).otherwise(0)).alias("log_index"), "kind", F.when(F.col("kind") == "rollover", ORDER_SEGMENT).alias("sealed_count"))
 
 
 _PROGRESS = "p AS (SELECT o_orderkey % 50 AS grp, o_orderkey // 50 % 5 AS node, max(o_orderkey) AS matched FROM orders GROUP BY ALL)"
@@ -401,12 +428,16 @@ def purge_bound(spark, sf_dir):
     return _progress(spark, sf_dir).select("grp", "node", replication.purge_upto(F.col("matched"), F.lit(4000).cast("bigint"), 1000, 2 - 1).alias("upto"))
 
 
-@query("membership_change", "SELECT * FROM (VALUES (1, '1,2,3|1,2,3,4'), (2, '1,2,4'), (3, '1,2,4|2,4'), (4, '2,4')) AS t(step, config)")
+_CHANGED = "CASE k WHEN 0 THEN list_sort(list_distinct(list_append([1, 2, 3], id))) WHEN 1 THEN list_filter([1, 2, 3], lambda x: x <> id) WHEN 2 THEN [id] ELSE [1, 2, 3] END"
+
+
+@query("membership_change", f"WITH r AS (SELECT DISTINCT user_id % 6 AS id, event_id % 4 AS k FROM events), t AS (SELECT id, k, {_CHANGED} AS target FROM r) SELECT id, k, CASE WHEN target = [1, 2, 3] THEN '1,2,3' ELSE '1,2,3|' || array_to_string(target, ',') END AS config FROM t")
 def membership_change(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [[1, 2, 3]], "add", [4]), (2, [[1, 2, 3], [1, 2, 4]], "keep", []), (3, [[1, 2, 4]], "remove", [1]), (4, [[1, 2, 4], [2, 4]], "keep", [])], "step int, current array<array<int>>, kind string, ids array<int>")
-    target = replication.change_members(F.element_at("current", -1), F.col("kind"), F.col("ids"))
-    step = replication.joint_step(F.col("current"), target)
-    return rows.select("step", F.array_join(F.transform(step, lambda c: F.array_join(c.cast("array<string>"), ",")), "|").alias("config"))
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 6).alias("id"), (F.col("event_id") % 4).alias("k")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, ("add", "remove", "replace", "keep"))), (F.col("k") + 1).cast("int"))
+    now = F.array(*(F.lit(x).cast("bigint") for x in (1, 2, 3)))
+    step = replication.joint_step(F.array(now), replication.change_members(now, kind, F.array("id")))
+    return rows.select("id", "k", F.array_join(F.transform(step, lambda c: F.array_join(c.cast("array<string>"), ",")), "|").alias("config"))
 
 
 # -- routing -----------------------------------------------------------------
@@ -456,17 +487,24 @@ def frame_codec(spark, sf_dir):
     return framed.select("line", S.frame_length(F.col("f")).alias("n"), S.frame_ok(F.col("f")).alias("ok"))
 
 
-@query("response_codec", "SELECT event_type AS message, 'OK ' || event_type AS line, 'ok' AS kind, event_type AS parsed FROM events GROUP BY event_type")
+@query("response_codec", "WITH m AS (SELECT DISTINCT event_type AS message, event_id % 4 AS k FROM events) SELECT message, k, CASE k WHEN 0 THEN 'OK' WHEN 1 THEN 'OK ' || message WHEN 2 THEN 'EMPTY' ELSE 'ERR ' || message END AS line, CASE k WHEN 2 THEN 'empty' WHEN 3 THEN 'err' ELSE 'ok' END AS kind, CASE WHEN k IN (1, 3) THEN message END AS parsed FROM m")
 def response_codec(spark, sf_dir):
-    m = table(spark, sf_dir, "events").select(F.col("event_type").alias("message")).distinct().withColumn("line", S.response(F.lit("ok"), F.col("message")))
+    m = table(spark, sf_dir, "events").select(F.col("event_type").alias("message"), (F.col("event_id") % 4).alias("k")).distinct()
+    kind = F.when(F.col("k") == 2, "empty").when(F.col("k") == 3, "err").otherwise("ok")
+    m = m.withColumn("line", S.response(kind, F.when(F.col("k") > 0, F.col("message"))))
     p = S.parse_response(F.col("line"))
-    return m.select("message", "line", p["kind"].alias("kind"), p["message"].alias("parsed"))
+    return m.select("message", "k", "line", p["kind"].alias("kind"), p["message"].alias("parsed"))
 
 
-@query("text_parsers", "SELECT * FROM (VALUES ('30s', 30, NULL), ('2m', 120, NULL), ('1h', 3600, NULL), ('45', 45, 45), ('sync-each', NULL, 0), ('no-fsync', NULL, -1), ('async', NULL, 1000), ('200ms', NULL, 200), ('x', NULL, NULL)) AS t(text, seconds, flush_ms)")
+_TEXTS = "CASE k WHEN 0 THEN n || 's' WHEN 1 THEN ' ' || n || 'm' WHEN 2 THEN n || 'h' WHEN 3 THEN n::VARCHAR WHEN 4 THEN n || 'ms' WHEN 5 THEN 'Async' WHEN 6 THEN 'sync-each' WHEN 7 THEN 'no-fsync' ELSE 'x' || n END"
+
+
+@query("text_parsers", f"WITH r AS (SELECT DISTINCT event_id % 9 AS k, user_id % 90 AS n FROM events) SELECT {_TEXTS} AS text, CASE k WHEN 0 THEN n WHEN 1 THEN n * 60 WHEN 2 THEN n * 3600 WHEN 3 THEN n END AS seconds, CASE k WHEN 3 THEN n WHEN 4 THEN n WHEN 5 THEN 1000 WHEN 6 THEN 0 WHEN 7 THEN -1 END AS flush_ms FROM r")
 def text_parsers(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("30s", "2m", "1h", "45", "sync-each", "no-fsync", "async", "200ms", "x")], "text string")
-    return rows.select("text", S.duration_seconds(F.col("text")).cast("int").alias("seconds"), S.fsync_mode(F.col("text")).cast("int").alias("flush_ms"))
+    rows = table(spark, sf_dir, "events").select((F.col("event_id") % 9).alias("k"), (F.col("user_id") % 90).cast("string").alias("n")).distinct()
+    k, n = F.col("k"), F.col("n")
+    text = F.when(k == 0, F.concat(n, F.lit("s"))).when(k == 1, F.concat(F.lit(" "), n, F.lit("m"))).when(k == 2, F.concat(n, F.lit("h"))).when(k == 3, n).when(k == 4, F.concat(n, F.lit("ms"))).when(k == 5, "Async").when(k == 6, "sync-each").when(k == 7, "no-fsync").otherwise(F.concat(F.lit("x"), n))
+    return rows.select(text.alias("text")).select("text", S.duration_seconds(F.col("text")).alias("seconds"), S.fsync_mode(F.col("text")).alias("flush_ms"))
 
 
 @query("initial_leader", f"SELECT DISTINCT event_type AS topic, {_init('event_type')}::BIGINT AS leader, event_type || '_' || printf('%016x', {_fnv('event_type')}) AS instance FROM events")
@@ -475,9 +513,17 @@ def initial_leader(spark, sf_dir):
     return topics.select("topic", S.initial_leader(F.col("topic"), NODES).alias("leader"), S.instance_key(F.col("topic")).alias("instance"))
 
 
-@query("sha_verify", "SELECT doc_id, sha256(text) AS sha FROM documents")
+_CONTENT = "CASE WHEN doc_id % 10 = 3 THEN '~' || substr(text, 2) WHEN doc_id % 10 = 5 THEN text || '!' ELSE text END"
+
+
+@query("sha_verify", f"SELECT doc_id, CASE WHEN doc_id % 10 <> 4 AND strlen({_CONTENT}) = strlen(text) THEN CASE WHEN sha256({_CONTENT}) = sha256(text) THEN 0 ELSE 1 END ELSE 2 END::INTEGER AS ack FROM documents")
 def sha_verify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sent = docs.select("doc_id", F.octet_length("text").cast("bigint").alias("size"), F.sha2("text", 256).alias("sha256"))
+    # on the way some chunks are damaged, some grow and some are lost
+    k = F.col("doc_id") % 10
+    arrived = docs.where(k != 4).select("doc_id", F.when(k == 3, F.concat(F.lit("~"), F.expr("substring(text, 2)"))).when(k == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"))
+    return delivery.chunk_acks(sent, arrived, "doc_id")
 
 
 # -- metrics -----------------------------------------------------------------
@@ -578,7 +624,7 @@ def bench_totals(spark, sf_dir):
 
 @query("read_from_offset", f"WITH {_OFFSETS}, q AS (SELECT topic, max(end_off) // 2 AS req FROM m GROUP BY topic) SELECT q.topic, req, count(*) AS n, CAST(sum(len - greatest(least(req - start_off - 256, len), 0)) AS BIGINT) AS bytes FROM q JOIN m ON m.topic = q.topic AND end_off > req GROUP BY ALL")
 def read_from_offset(spark, sf_dir):
-    offsets = logs.offset_map(events_log(spark, sf_dir))
+    offsets = events_log(spark, sf_dir, offsets=True)
     asked = offsets.groupBy("topic").agg(F.floor(F.max("end_off") / 2).cast("bigint").alias("req"))
     return logs.read_from(offsets, asked).groupBy("topic", "req").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"))
 
@@ -625,16 +671,33 @@ def membership_valid(spark, sf_dir):
     return replication.invalid_voters(voters, spark.range(7).withColumnRenamed("id", "node"))
 
 
-@query("node_metrics", "SELECT user_id AS id, max(event_id) AS last_log_index FROM events GROUP BY user_id")
+@query("node_metrics", "SELECT user_id AS id, max(event_id) AS last_log_index, max(event_id) % 7 AS vote_term, max(event_id) - 1 AS applied, user_id % 3 = 0 AS leads, user_id || ',' || (user_id + 1) AS voters, max(event_id) - 5 AS matched FROM events GROUP BY user_id")
 def node_metrics(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("m")).select(F.to_json(F.struct(F.col("user_id").alias("id"), F.col("m").alias("last_log_index"), F.lit("Leader").alias("state"))).alias("line"))
-    return lines.select(replication.metrics_record(F.col("line")).alias("r")).select("r.id", "r.last_log_index")
-
-
-@query("value_formats", "SELECT * FROM (VALUES (12, '12', '12B/s'), (3400, '3.4K', '3.4KB/s'), (1234567, '1.2M', '1.2MB/s'), (1040000000, '1040.0M', '1.0GB/s')) AS t(v, short, rate)")
+    u, m = F.col("user_id"), F.col("m")
+    at = lambda x: F.struct((m % 7).alias("term"), x.alias("index"))
+    said = F.struct(
+        u.alias("id"),
+        (m % 7).alias("current_term"),
+        F.struct((m % 7).alias("term"), u.alias("node_id"), F.lit(True).alias("committed")).alias("vote"),
+        m.alias("last_log_index"),
+        at(m - 1).alias("last_applied"),
+        F.when(u % 3 == 0, "Leader").otherwise("Follower").alias("state"),
+        F.struct(F.array(F.array(u, u + 1)).alias("configs")).alias("membership"),
+        F.create_map(F.lit("1"), at(m - 5)).alias("replication"),
+    )
+    lines = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("m")).select(F.to_json(said).alias("line"))
+    r = lines.select(replication.metrics_record(F.col("line")).alias("r"))
+    return r.select("r.id", "r.last_log_index", F.col("r.vote.term").alias("vote_term"), F.col("r.last_applied.index").alias("applied"), (F.col("r.state") == "Leader").alias("leads"), F.array_join(F.element_at("r.membership.configs", 1).cast("array<string>"), ",").alias("voters"), F.element_at("r.replication", F.lit("1"))["index"].alias("matched"))
+
+
+_VALUE = "((o_orderkey * 100 + 1) * CASE WHEN o_orderkey % 3 = 0 THEN 1000 ELSE 1 END)"
+
+
+@query("value_formats", f"SELECT o_orderkey, CASE WHEN v >= 1000000 THEN printf('%.1fM', v / 1e6) WHEN v >= 1000 THEN printf('%.1fK', v / 1e3) ELSE v::VARCHAR END AS short, CASE WHEN v >= 1000000000 THEN printf('%.1fGB/s', v / 1e9) WHEN v >= 1000000 THEN printf('%.1fMB/s', v / 1e6) WHEN v >= 1000 THEN printf('%.1fKB/s', v / 1e3) ELSE v || 'B/s' END AS rate FROM (SELECT o_orderkey, {_VALUE} AS v FROM orders)")
 def value_formats(spark, sf_dir):
-    rows = spark.createDataFrame([(12,), (3400,), (1234567,), (1040000000,)], "v int")
-    return rows.select("v", S.short_number(F.col("v")).alias("short"), S.bandwidth(F.col("v")).alias("rate"))
+    k = F.col("o_orderkey")
+    v = (k * 100 + 1) * F.when(k % 3 == 0, 1000).otherwise(1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.short_number(v).alias("short"), S.bandwidth(v).alias("rate"))
 
 
 @query("payload_heads", "SELECT event_id, event_id % 200 AS topic_index, event_id // 200 AS chunk_index, 'a' || chr(65533) || 'b' AS text FROM events")
@@ -645,28 +708,284 @@ def payload_heads(spark, sf_dir):
     return e.withColumn("p", F.unhex(head)).select("event_id", ids["topic_index"].alias("topic_index"), ids["chunk_index"].cast("bigint").alias("chunk_index"), S.lossy_text(F.expr("substring(p, 10, 3)")).alias("text"))
 
 
+# -- further operators -------------------------------------------------------
+
+
+@query("batch_pack", f"WITH RECURSIVE {_next_fit(_D, SMALL_BLOCK, False)} SELECT topic, block, min(seq) AS first_seq, count(*) AS n, CAST(sum(need) AS BIGINT) AS used FROM b GROUP BY topic, block")
+def batch_pack(spark, sf_dir):
+    return blocks.block_stats(blocks.pack_blocks(documents_log(spark, sf_dir), SMALL_BLOCK, batched=True))
+
+
+FILE_BYTES = 50_000
+
+
+@query(
+    "file_place_sized",
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey AS opened, row_number() OVER (ORDER BY o_orderkey) AS rn, 1000 + o_orderkey % 7777 AS size, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS first FROM orders),
+        f AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS opened, 0::BIGINT AS size, 0::BIGINT AS file_no, 0::BIGINT AS used
+              UNION ALL
+              SELECT o.rn, o.opened, o.size, CASE WHEN CASE WHEN o.first THEN f.used < {FILE_BYTES} ELSE f.used + o.size <= {FILE_BYTES} END THEN f.file_no ELSE f.file_no + 1 END,
+                     CASE WHEN CASE WHEN o.first THEN f.used < {FILE_BYTES} ELSE f.used + o.size <= {FILE_BYTES} END THEN f.used + o.size ELSE o.size END
+              FROM f JOIN o ON o.rn = f.rn + 1)
+        SELECT opened, size, file_no, used - size AS file_off FROM f WHERE rn > 0""",
+)
+def file_place_sized(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    firsts = o.groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("opened")).select("opened", F.lit(True).alias("first"))
+    sized = o.select(F.col("o_orderkey").alias("opened"), (1000 + F.col("o_orderkey") % 7777).alias("size")).join(firsts, "opened", "left").fillna(False, ["first"])
+    return blocks.place_sized(sized, "opened", file_bytes=FILE_BYTES)
+
+
+@query("leader_join", f"WITH {_segments(_E, SEGMENT)}, r AS (SELECT topic, segment, ({_init('topic')} + segment - 1) % {NODES} + 1 AS leader FROM s WHERE segment % 2 = 1), now AS (SELECT topic, ({_init('topic')} + current - 1) % {NODES} + 1 AS leader FROM c) SELECT l.topic, coalesce(r.leader, now.leader) AS leader, count(*) AS n FROM l JOIN now ON now.topic = l.topic LEFT JOIN r ON r.topic = l.topic AND r.segment = l.seq // {SEGMENT} + 1 GROUP BY ALL")
+def leader_join(spark, sf_dir):
+    log = events_log(spark, sf_dir).withColumn("segment", segments.segment_of(F.col("seq"), SEGMENT))
+    table_ = segments.with_open(segments.segment_table(log, SEGMENT))
+    leader = segments.leader_of(F.col("topic"), F.col("segment"), NODES).alias("leader")
+    # only odd segments are on record
+    known = table_.where("segment % 2 = 1").select("topic", "segment", leader)
+    now = table_.where("segment = current").select("topic", leader)
+    return segments.with_leader(log, known, now).groupBy("topic", "leader").agg(F.count("*").alias("n"))
+
+
+@query("node_address", f"WITH {_segments(_E, SEGMENT)} SELECT topic, segment, leader, n_name AS address FROM (SELECT topic, segment, ({_init('topic')} + segment - 1) % {NODES} + 1 AS leader FROM s) LEFT JOIN nation ON n_nationkey = leader AND n_nationkey <> 3")
+def node_address(spark, sf_dir):
+    table_ = segments.segment_table(events_log(spark, sf_dir), SEGMENT).select("topic", "segment", segments.leader_of(F.col("topic"), F.col("segment"), NODES).alias("leader"))
+    nodes = table(spark, sf_dir, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").cast("bigint").alias("node"), F.col("n_name").alias("address"))
+    return segments.with_address(table_, nodes).select("topic", "segment", "leader", "address")
+
+
+@query("tail_fold", f"WITH RECURSIVE {_next_fit(_E, SMALL_BLOCK)}, m AS (SELECT topic, max(block) AS open FROM b GROUP BY topic), k AS (SELECT unnest([0, 1, 3, 1000000])::BIGINT AS k) SELECT topic, k * 10 + 7 AS block_id, CASE WHEN k < open THEN k ELSE 0 END AS place, CASE WHEN k < open THEN 5 * k ELSE 0 END AS \"offset\" FROM m, k")
+def tail_fold(spark, sf_dir):
+    made = blocks.block_stats(blocks.pack_blocks(events_log(spark, sf_dir), SMALL_BLOCK))
+    open_ = made.groupBy("topic").agg(F.max("block").alias("open"))
+    chain = made.join(open_, "topic").where("block < open").select("topic", (F.col("block") * 10 + 7).alias("block_id"), F.col("block").alias("place"))
+    at = open_.select("topic", F.explode(F.array(*(F.lit(k).cast("bigint") for k in (0, 1, 3, 1_000_000)))).alias("k"))
+    return logs.at_tail(at.select("topic", (F.col("k") * 10 + 7).alias("block_id"), (5 * F.col("k")).alias("offset")), chain)
+
+
+@query(
+    "consecutive_check",
+    """WITH a AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS follower, CASE WHEN event_id % 50 > 0 THEN event_id % 5000 END AS i, event_id % 5000 // 100 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS term FROM events),
+        j AS (SELECT a.event_id, a.i, a.term, o_orderkey // 100 AS mine FROM a LEFT JOIN orders ON o_orderstatus = follower AND o_orderkey = i),
+        v AS (SELECT *, i IS NULL OR coalesce(mine = term, false) AS accepted FROM j)
+        SELECT event_id, mine AS local_term, accepted, CASE WHEN NOT accepted THEN i END AS truncate_from FROM v""",
+)
+def consecutive_check(spark, sf_dir):
+    i = F.col("event_id")
+    name = F.element_at(F.array(*map(F.lit, "FOP")), (i % 3 + 1).cast("int"))
+    asked = table(spark, sf_dir, "events").select("event_id", name.alias("follower"), F.when(i % 50 > 0, i % 5000).alias("prev_index"), (F.floor(i % 5000 / 100) + F.when(i % 5 == 0, 1).otherwise(0)).alias("prev_term"))
+    mine = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("follower"), F.col("o_orderkey").alias("log_index"), F.floor(F.col("o_orderkey") / 100).alias("term"))
+    return replication.consecutive(asked, mine, "follower").select("event_id", "local_term", "accepted", "truncate_from")
+
+
+@query("writer_conflicts", "WITH b AS (SELECT event_type AS topic, event_id AS batch, ts AS start_ts, ts + to_minutes((event_id % 90)::BIGINT) AS end_ts FROM events), w AS (SELECT *, max(end_ts) OVER (PARTITION BY topic ORDER BY start_ts, batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM b) SELECT topic, batch FROM w WHERE start_ts < busy")
+def writer_conflicts(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    batches = e.select(F.col("event_type").alias("topic"), F.col("event_id").alias("batch"), F.col("ts").alias("start_ts"), (F.col("ts") + F.make_dt_interval(mins=F.col("event_id") % 90)).alias("end_ts"))
+    return delivery.overlapping(batches).select("topic", "batch")
+
+
+_APPLIED = "a AS (SELECT o_orderkey AS i, CASE o_orderkey % 10 WHEN 0 THEN 'blank' WHEN 1 THEN 'membership' ELSE 'normal' END AS kind, o_custkey % 50 AS k FROM orders)"
+
+
+def _committed(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 10
+    kind = F.when(k == 0, "blank").when(k == 1, "membership").otherwise("normal")
+    key = (F.col("o_custkey") % 50).cast("string")
+    line = F.when(k == 1, F.concat(key, F.lit(",1"))).when(k == 2, F.concat(F.lit("DELETE "), key)).when(k > 2, F.concat(F.lit("SET "), key, F.lit(" "), F.col("o_orderkey").cast("string")))
+    entries = o.select(F.col("o_orderkey").alias("log_index"), kind.alias("kind"), line.alias("data"))
+    # some entries are delivered again after a restart
+    return entries.unionAll(entries.where(F.col("log_index") % 7 == 0))
+
+
+@query("applied_kv", f"WITH {_APPLIED} SELECT k::VARCHAR AS key, max(i)::VARCHAR AS value FROM a WHERE kind = 'normal' GROUP BY k HAVING max(i) % 10 > 2")
+def applied_kv(spark, sf_dir):
+    return replication.apply_entries(_committed(spark, sf_dir))[0]
+
+
+@query("applied_state", f"WITH {_APPLIED} SELECT (SELECT max(i) FROM a) AS last_applied, max(i) AS membership_index, array_to_string(list_sort([arg_max(k, i), 1]), ',') AS membership FROM a WHERE kind = 'membership'")
+def applied_state(spark, sf_dir):
+    state = replication.apply_entries(_committed(spark, sf_dir))[1]
+    return state.withColumn("membership", F.array_join(F.col("membership").cast("array<string>"), ","))
+
+
+@query("metadata_restore", ORACLES["metadata_apply"])
+def metadata_restore(spark, sf_dir):
+    commands = _metadata_commands(spark, sf_dir)
+    cut = 20_001  # commands up to here are in the snapshot
+    saved = replication.snapshot_states(replication.topic_states(commands.where(F.col("log_index") <= cut), NODES))
+    return replication.topic_states(commands.where(F.col("log_index") > cut), NODES, replication.restore_states(saved))
+
+
+@query(
+    "sample_files",
+    """WITH h AS (SELECT epoch(date_trunc('hour', ts))::BIGINT AS at, count(*) AS n FROM events GROUP BY 1)
+        SELECT 'writes' AS kind, count(*) AS samples, sum(n) * 1.0::DOUBLE AS total FROM h
+        UNION ALL SELECT 'batch', count(*), sum(n) * 2.0::DOUBLE FROM h
+        UNION ALL SELECT 'reads', count(*), sum(n) * 0.5::DOUBLE FROM h
+        UNION ALL SELECT 'scaling', count(*), sum(n) * 3.0::DOUBLE FROM h""",
+)
+def sample_files(spark, sf_dir):
+    hours = table(spark, sf_dir, "events").groupBy(F.unix_timestamp(F.date_trunc("hour", "ts")).alias("timestamp")).agg(F.count("*").alias("n"))
+    zero, n = F.lit(0).cast("bigint"), F.col("n")
+    wide = hours.select("timestamp", F.lit(0.5).alias("elapsed_seconds"), *(F.lit(1.0).alias(c) for c in ("writes_per_second", "bytes_per_second", "batches_per_second", "entries_per_second", "write_mb_per_sec", "read_mb_per_sec", "dirty_ratio_percent", "total_read_mb")), F.lit("write").alias("phase"), n.alias("total_writes"), (n * 100).alias("total_bytes"), (n * 2).alias("total_batches"), n.alias("total_entries"), (n * 0.5).cast("double").alias("total_write_mb"), zero.alias("dirty_pages_kb"), F.lit(4).alias("threads"), (n * 3.0).cast("double").alias("throughput"))
+    base, out = shared_folder(spark, "samples"), None
+    for kind, total in (("writes", "total_writes"), ("batch", "total_batches"), ("reads", "total_write_mb"), ("scaling", "throughput")):
+        metrics.write_samples(wide, f"{base}/{kind}", kind)
+        row = metrics.read_samples(spark, f"{base}/{kind}", kind).agg(F.lit(kind).alias("kind"), F.count("*").alias("samples"), F.sum(total).cast("double").alias("total"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@query("unknown_topics", "SELECT user_id AS topic, count(*) AS n FROM events WHERE user_id % 4 = 1 GROUP BY user_id")
+def unknown_topics(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select(F.col("user_id").alias("topic"))
+    return routing.unknown_topics(asked, asked.where("topic % 4 <> 1")).groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query("delayed_messages", "SELECT event_id, ts + to_milliseconds(CASE WHEN least(user_id % 5, event_id % 5) = 0 AND greatest(user_id % 5, event_id % 5) = 1 THEN 1500 ELSE 0 END) AS arrives FROM events")
+def delayed_messages(spark, sf_dir):
+    messages = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 5).alias("src"), (F.col("event_id") % 5).alias("dst"))
+    slow = spark.createDataFrame([(1, 0, 700), (0, 1, 1500)], "src bigint, dst bigint, millis bigint")
+    return routing.delayed(messages, slow).select("event_id", "arrives")
+
+
+@query("verified_skip", "SELECT event_type AS topic, count(*) FILTER (WHERE event_id % 1009 <> 500) AS visible FROM events GROUP BY event_type")
+def verified_skip(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    sums = S.fnv1a_vector(F.col("payload"))
+    stored = log.withColumn("checksum", sums + F.when(F.col("event_id") % 1009 == 500, 1).otherwise(0))
+    return delivery.verify(stored, sums, "skip").groupBy("topic").agg(F.count("*").alias("visible"))
+
+
+@query("rpc_envelopes", "SELECT CASE event_id % 4 WHEN 0 THEN 'request' WHEN 1 THEN 'response' WHEN 2 THEN 'one_way' END AS type, event_id % 4 < 2 AS has_id, CASE WHEN event_id % 4 = 1 AND event_id % 3 = 0 THEN 'late' END AS error, count(*) AS n, CAST(sum(CASE WHEN event_id % 4 < 3 THEN user_id END) AS BIGINT) AS nodes FROM events GROUP BY ALL")
+def rpc_envelopes(spark, sf_dir):
+    i, k = F.col("event_id"), F.col("event_id") % 4
+    payload = F.struct(F.lit("append").alias("kind"), F.col("user_id").alias("node"))
+    said = F.struct(F.element_at(F.array(*map(F.lit, ("Request", "Response", "one_way", "Gossip"))), (k + 1).cast("int")).alias("type"), i.alias("id"), payload.alias("payload"), F.when(i % 3 == 0, "late").alias("error"))
+    e = table(spark, sf_dir, "events").select(replication.envelope(F.to_json(said)).alias("e"))
+    has_id = F.col("e.id").isNotNull()
+    return e.groupBy(F.col("e.type").alias("type"), has_id.alias("has_id"), F.col("e.error").alias("error")).agg(F.count("*").alias("n"), F.sum("e.payload.node").alias("nodes"))
+
+
+@query("membership_sets", "WITH r AS (SELECT DISTINCT user_id % 7 AS a, event_id % 7 AS b FROM events) SELECT a, b, array_to_string(list_sort(list_distinct([1, 2, a, b])), ',') AS voters, array_to_string(list_sort(list_filter([1, 2, 3, 4, 5, 6, 7], lambda x: x NOT IN (1, 2, a, b))), ',') AS learners FROM r")
+def membership_sets(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("a"), (F.col("event_id") % 7).alias("b")).distinct()
+    configs = F.array(F.array(F.lit(1).cast("bigint"), F.col("a")), F.array(F.lit(2).cast("bigint"), F.col("b")))
+    nodes = F.map_from_arrays(F.array(*(F.lit(x).cast("bigint") for x in range(1, 8))), F.array(*map(F.lit, "abcdefg")))
+    text = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    return rows.select("a", "b", text(replication.voter_ids(configs)).alias("voters"), text(replication.learner_ids(configs, nodes)).alias("learners"))
+
+
+@query("membership_errors", "WITH r AS (SELECT DISTINCT user_id % 6 AS a, event_id % 4 AS k FROM events) SELECT a, k, CASE WHEN k = 0 THEN 'no config' WHEN k = 1 THEN 'empty config' WHEN a NOT IN (1, 2, 3) THEN 'voter without a node' END AS error FROM r")
+def membership_errors(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 6).alias("a"), (F.col("event_id") % 4).alias("k")).distinct()
+    none, one = F.array().cast("array<array<bigint>>"), F.array(F.lit(1).cast("bigint"), F.col("a"))
+    configs = F.when(F.col("k") == 0, none).when(F.col("k") == 1, F.array(one, F.array().cast("array<bigint>"))).otherwise(F.array(one))
+    nodes = F.map_from_arrays(F.array(*(F.lit(x).cast("bigint") for x in (1, 2, 3))), F.array(*map(F.lit, "xyz")))
+    return replication.membership_errors(rows.withColumns({"configs": configs, "nodes": nodes})).select("a", "k", "error")
+
+
+_KINDS = ("add_voter_ids", "add_voters", "remove_voters", "replace_voters", "add_nodes", "set_nodes", "remove_nodes", "replace_nodes", "other")
+
+
+@query(
+    "membership_batch",
+    """WITH r AS (SELECT DISTINCT user_id % 7 AS n, event_id % 9 AS k FROM events), x AS (SELECT *, lpad(n::VARCHAR, 2, '0') AS t FROM r),
+        v AS (SELECT *, CASE WHEN k = 8 THEN 'unknown change' WHEN k IN (0, 3) AND n NOT IN (1, 2, 3) OR k = 6 AND n IN (1, 2) THEN 'voter without a node' END AS error,
+              CASE WHEN k IN (0, 1) THEN list_sort(list_distinct([1, 2, n])) WHEN k = 2 THEN list_filter([1, 2], lambda i: i <> n) WHEN k = 3 THEN [n] ELSE [1, 2] END AS v,
+              CASE WHEN k IN (1, 4) AND n NOT IN (1, 2, 3) THEN ['01:a', '02:b', '03:c', t || ':x']
+                   WHEN k = 5 THEN list_append(list_filter(['01:a', '02:b', '03:c'], lambda s: NOT starts_with(s, t || ':')), t || ':x')
+                   WHEN k = 6 THEN list_filter(['01:a', '02:b', '03:c'], lambda s: NOT starts_with(s, t || ':'))
+                   WHEN k = 7 THEN ['01:p', '02:q', (n + 10) || ':x'] ELSE ['01:a', '02:b', '03:c'] END AS w FROM x)
+        SELECT n, k, array_to_string(CASE WHEN error IS NULL THEN v ELSE [1, 2] END, ',') AS voters, array_to_string(list_sort(CASE WHEN error IS NULL THEN list_append(w, '09:i') ELSE ['01:a', '02:b', '03:c'] END), ',') AS nodes, error FROM v""",
+)
+def membership_batch(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("n"), (F.col("event_id") % 9).alias("k")).distinct()
+    number = lambda x: F.lit(x).cast("bigint")
+    kind = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("k") + 1).cast("int"))
+    given = F.when(F.col("k") == 7, F.create_map(number(1), F.lit("p"), number(2), F.lit("q"), F.col("n") + 10, F.lit("x"))).otherwise(F.create_map(F.col("n"), F.lit("x")))
+    one = F.struct(kind.alias("kind"), F.array("n").alias("ids"), given.alias("nodes"))
+    two = F.struct(F.lit("add_nodes").alias("kind"), F.array("n").alias("ids"), F.create_map(number(9), F.lit("i")).alias("nodes"))
+    now = F.map_from_arrays(F.array(number(1), number(2), number(3)), F.array(*map(F.lit, "abc")))
+    m = rows.withColumn("m", replication.changed_membership(F.array(number(1), number(2)), now, F.array(one, two)))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries("m.nodes"), lambda e: F.concat(F.lpad(e["key"].cast("string"), 2, "0"), F.lit(":"), e["value"]))), ",")
+    return m.select("n", "k", F.array_join(F.col("m.voters").cast("array<string>"), ",").alias("voters"), text.alias("nodes"), F.col("m.error").alias("error"))
+
+
+@query("engine_drain", "SELECT event_type AS topic, count(*) AS entries, count(*) AS delivered, max(event_id)::VARCHAR AS last FROM events GROUP BY event_type")
+def engine_drain(spark, sf_dir):
+    """Two engines write one folder, and two read it to the end: each entry comes once, in order."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), F.col("event_id").alias("position"), F.col("event_id").cast("string").cast("binary").alias("payload"))
+    root = shared_folder(spark, "engine")
+    one, two = LogEngine(spark, root), LogEngine(spark, root)
+    middle = rows.agg(F.expr("percentile_approx(position, 0.5)")).first()[0] or 0
+    one.append_frame(rows.where(F.col("position") <= middle))
+    two.append_frame(rows.where(F.col("position") > middle))
+    out = one.log().limit(0)
+    for topic in sorted(one.topics()):
+        some = two.read_page(topic, 200)
+        out = out.unionByName(one.log().where((F.col("topic") == topic) & (F.col("seq") < len(some)))).unionByName(one.drain(topic)).unionByName(two.drain(topic))
+    ends = one.log().groupBy("topic").agg(F.count("*").alias("entries"))
+    got = out.groupBy("topic").agg(F.countDistinct("seq", "payload").alias("delivered"), F.count("*").alias("__all"), F.max_by(F.col("payload").cast("string"), "seq").alias("last"))
+    return ends.join(got.where("delivered = __all"), "topic").select("topic", "entries", "delivered", "last")
+
+
 # -- streaming ---------------------------------------------------------------
 
 
+def _events_stream(spark, sf_dir):
+    stream = follow(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
+    return stream.withColumn("ts", S.as_instant(F.col("ts")))
+
+
 @query("stream_tail", "SELECT event_type AS topic, count(*) AS n FROM events GROUP BY event_type")
 def stream_tail(spark, sf_dir):
-    from ..streaming.tail import tail_counts
-
-    schema = table(spark, sf_dir, "events").schema
-    return tail_counts(spark, f"{sf_dir}/events.parquet", schema, "event_type")
+    return tail_counts(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema, "event_type")
 
 
 @query("window_counts", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def window_counts(spark, sf_dir):
-    from ..streaming.tail import windowed_counts
+    out = finished(windowed_counts(_events_stream(spark, sf_dir), "ts", "event_type", "1 hour", "10 minutes"))
+    return out.select(S.as_written(F.col("window.start")).alias("start"), "event_type", "n")
 
-    out = windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "10 minutes")
-    return out.select(F.col("window.start").alias("start"), "event_type", "n")
 
+@query("sliding_counts", "WITH w AS (SELECT event_type, ts, unnest([0, 1]) AS k FROM events) SELECT time_bucket(INTERVAL '30 minutes', ts) - to_minutes(30 * k) AS start, event_type, count(*) AS n FROM w GROUP BY ALL")
+def sliding_counts(spark, sf_dir):
+    out = finished(windowed_counts(_events_stream(spark, sf_dir), "ts", "event_type", "1 hour", "10 minutes", "30 minutes"))
+    return out.select(S.as_written(F.col("window.start")).alias("start"), "event_type", "n")
+
+
+_SESSIONS = "x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x)"
 
-@query("session_counts", "WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), y AS (SELECT user_id, sum(opens) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM x) SELECT user_id, count(DISTINCT s) AS sessions, count(*) AS n FROM y GROUP BY user_id")
-def session_counts(spark, sf_dir):
-    from ..streaming.tail import sessions
 
-    out = sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes", "1 hour")
+@query("session_counts", f"WITH {_SESSIONS} SELECT user_id, count(DISTINCT s) AS sessions, count(*) AS n FROM y GROUP BY user_id")
+def session_counts(spark, sf_dir):
+    out = finished(sessions(_events_stream(spark, sf_dir), "ts", "user_id", "30 minutes", "1 hour"))
     return out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
+
+
+_DELIVERY = "event_id % 10"
+
+
+@query(
+    "late_counts",
+    f"""WITH p AS (SELECT ts, time_bucket(INTERVAL '1 hour', ts) AS start, CASE WHEN {_DELIVERY} < 8 THEN 1 WHEN {_DELIVERY} = 8 THEN 2 ELSE 3 END AS part FROM events),
+        m AS (SELECT max(ts) FILTER (WHERE part = 1) - INTERVAL '1 hour' AS one, max(ts) - INTERVAL '1 hour' AS last FROM p)
+        SELECT start, count(*) AS n FROM p, m WHERE NOT (part = 3 AND start + INTERVAL '1 hour' <= one) AND start + INTERVAL '1 hour' <= last GROUP BY start""",
+)
+def late_counts(spark, sf_dir):
+    """Hourly counts of a stream whose last file is late: its rows of windows that the watermark has closed do not count."""
+    events, source = table(spark, sf_dir, "events"), shared_folder(spark, "late")
+    k = F.col("event_id") % 10
+    for part in (events.where(k < 8), events.where(k == 8), events.where(k > 8)):
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = follow(spark, source, events.schema, max_files=1).withColumns({"all": F.lit(0), "ts": S.as_instant(F.col("ts"))})
+    out = finished(windowed_counts(stream, "ts", "all", "1 hour", "1 hour"), "append")
+    return out.select(S.as_written(F.col("window.start")).alias("start"), "n")
+
+
+@query("progress_watch", "SELECT user_id % 5 AS node, event_type AS kind, max(event_id) AS log_index FROM events GROUP BY ALL")
+def progress_watch(spark, sf_dir):
+    records = _events_stream(spark, sf_dir).select((F.col("user_id") % 5).alias("node"), F.col("event_type").alias("kind"), F.col("event_id").alias("log_index"))
+    return finished(progress(records))
