@@ -125,7 +125,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
+# Windows are compared by their words, here joined by spaces, which no word holds.
+_REPEATS = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+    g AS (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM d WHERE len(ws) >= 20)),
+    m AS (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM g),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM m WHERE n > 1),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+    r AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(r.n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
+    "op7_substring_dedup": _REPEATS,
     "op5_url_filter": f"""
         WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
         r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{t}', '{t[: t.find('/')]}', '{t[t.find('/') :]}')" for v, t in URL_RULES)}) AS r(verdict, rule, rhost, rpath)),

@@ -92,9 +92,13 @@ def test_gap_coding_round_trip():
 
 
 def test_query_digest(spark, tmp_path):
-    from logweave.llm.queries import QUERIES
+    duckdb = pytest.importorskip("duckdb")
+    from logweave.llm.queries import ORACLES, QUERIES
 
     rows = make_rows(5)
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op7_substring_dedup"](spark, str(tmp_path)).collect()}
     assert got == {d: (n, m, hashlib.sha256(k.encode()).hexdigest()) for d, (n, m, k) in brute(rows, 20).items()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {d: tuple(v) for d, *v in con.execute(ORACLES["op7_substring_dedup"]).fetchall()} == got
