@@ -41,7 +41,6 @@ from .textnum import chunks, find_words, mix64
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
 FLUSH_TOKENS = 800_000
 SCORE_TOKENS = 400_000
-PIECE_BYTES = 1 << 20
 STEP = 1.5  # ratio of neighbouring quantised counts
 LEAST = 2  # smallest count of the logarithmic scale; a count of one is a level of its own below it
 PROBES = 6
@@ -168,7 +167,7 @@ def count_grams(texts: DataFrame, layout: Layout) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "n", "hashes", "counts", "ctx", "runs"])
 
         for batch in batches:
-            for piece in chunks(batch, "text", PIECE_BYTES):
+            for piece in chunks(batch, "text"):
                 stream, _ = token_stream(piece.column("text"))
                 held.append(stream)
                 size += len(stream)
@@ -361,10 +360,12 @@ def _routed(rows: DataFrame, segments: DataFrame, layout: Layout) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            for piece in chunks(batch, "text", PIECE_BYTES):
+            for piece in chunks(batch, "text"):
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, piece.schema) as out:
-                    out.write_batch(piece)
+                # a slice of its own, so that it has the bytes of its rows only
+                own = pa.Table.from_batches([piece]).take(pa.array(np.arange(piece.num_rows))).combine_chunks()
+                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_table(own)
                 yield pa.RecordBatch.from_pydict({"body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     def ask(batches):
@@ -395,7 +396,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[p
     """Pieces of texts, each with the function that finds the levels of its pairs."""
     for batch in batches:
         if model.counts is not None:
-            for piece in chunks(batch, "text", PIECE_BYTES):
+            for piece in chunks(batch, "text"):
                 yield piece, lambda grams, bucket, places: model.counts.levels(grams, bucket)
             continue
         for piece, given in _read(batch):

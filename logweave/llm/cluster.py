@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import textnum
+
 BATCH_BYTES = 8 << 20
 
 
@@ -24,6 +26,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def release_memory() -> None:
     """Give freed memory back to the system; Python workers live on after a task."""
+    textnum.forget()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

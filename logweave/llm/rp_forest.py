@@ -173,9 +173,9 @@ def nearest(
     every: int = 100,
     trees: int = 16,
     leaf_size: int = 64,
-    target_recall: float = 0.95,
+    target_recall: float = 0.96,
     sample_rows: int = 20_000,
-    sample_queries: int = 64,
+    sample_queries: int = 128,
     block: int = 200_000,
     query_block: int = 100_000,
     seed: int = 7,

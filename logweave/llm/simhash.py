@@ -17,8 +17,10 @@ task as a forest, never as all its pairs.
 Few bits of a fingerprint cannot say that (at 0.8 and five words half of the
 pairs differ in nine bits of 64 or more, and no ring of segments is selective
 for so many), so there min-hash bands find further candidates, and each
-candidate pair is checked exactly on its shingle sets.  Texts with equal sets
-count as one.  All members of a band are first compared with its two ends; the
+candidate pair is checked on its whole shingle sets.  Texts with equal sets
+count as one.  The checks are of all shingles, by 32 bits of their hashes: two
+shingles of a pair of texts are taken for one with a probability of 2**-32.  All
+members of a band are first compared with its two ends; the
 pairs that are left are those of members which no link joins yet, and they are
 compared in blocks, whose links leave the task as a forest.
 """
@@ -274,7 +276,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least the similarity."""
+    """The pairs (a, b) whose shingle sets, of 32-bit hashes, have at least the similarity."""
 
     def check(batches):
         for batch in batches:

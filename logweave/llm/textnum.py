@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _IS_SPACE = np.zeros(256, dtype=bool)
@@ -48,6 +48,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def forget() -> None:
+    """Drop what is kept between calls."""
+    _powers.clear()
+
+
 @dataclass
 class Words:
     """Words of some consecutive texts: byte spans, and the first word of each text."""
