@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import checkpoint
+from .cluster import checkpoint, released_pair
 
 
 @dataclass
@@ -281,7 +281,7 @@ def nearest(
 
     keys = ["tree", "leaf", "part", "query_part"]
     names = [*keys, "row", "id", "code", "scale", "lost"]
-    pairs = indexed.select(names).groupBy(*keys).cogroup(asked.select(names).groupBy(*keys)).applyInArrow(bound, "query bigint, row bigint, lower double, upper double")
+    pairs = indexed.select(names).groupBy(*keys).cogroup(asked.select(names).groupBy(*keys)).applyInArrow(released_pair(bound), "query bigint, row bigint, lower double, upper double")
     pairs = pairs.groupBy("query", "row").agg(F.min("lower").alias("lower"), F.max("upper").alias("upper"))
     nearest_first = Window.partitionBy("query").orderBy("upper", "row")
     kth = F.max(F.when(F.col("n") <= k, F.col("upper"))).over(Window.partitionBy("query"))

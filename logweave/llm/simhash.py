@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_count, checkpoint, releasing, small_batches
+from .cluster import bucket_count, checkpoint, released, releasing, small_batches
 from .components import connected, connected_local
 from .textnum import chunks, find_words, mix64, windows, within_texts
 
@@ -179,7 +179,7 @@ def links(classes: DataFrame, budget: int = 2, segments: int = SEGMENTS, crowd:
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     dealt = classes.select("fp", "rep").mapInArrow(deal, "bucket int, start int, fp bigint, rep bigint")
-    found = checkpoint(dealt.groupBy("bucket").applyInArrow(compare, "a bigint, b bigint, start bigint, own bigint, blocks bigint"))
+    found = checkpoint(dealt.groupBy("bucket").applyInArrow(released(compare), "a bigint, b bigint, start bigint, own bigint, blocks bigint"))
     done = found.where("start < 0").select("a", "b")
     late = found.where("start >= 0")
     if late.isEmpty():
@@ -190,7 +190,7 @@ def links(classes: DataFrame, budget: int = 2, segments: int = SEGMENTS, crowd:
         mask = F.when(F.col("start") == s, F.lit(value).cast("bigint")).otherwise(mask)
     pairs = late.withColumn("key", F.col("a").bitwiseAND(mask)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     pairs = pairs.select("start", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "a", "b")
-    return done.unionAll(pairs.groupBy("start", "key", "x", "y").applyInArrow(meet, "a bigint, b bigint"))
+    return done.unionAll(pairs.groupBy("start", "key", "x", "y").applyInArrow(released(meet), "a bigint, b bigint"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, budget: int = 2, seed: int = 42) -> DataFrame:
@@ -359,7 +359,7 @@ def _crossing(members: DataFrame, docs: DataFrame, shingle: int, similarity: flo
         a, b = ids[joined], ids[label[joined]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return placed.join(_sets(docs, shingle), "id").groupBy(*key, "x", "y").applyInArrow(compare, "a bigint, b bigint")
+    return placed.join(_sets(docs, shingle), "id").groupBy(*key, "x", "y").applyInArrow(released(compare), "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import bucket_count, free_names, releasing, small_batches
+from .cluster import bucket_count, free_names, release_memory, released_pair, releasing, small_batches
 from .textnum import chunks, find_words, mix64, windows, within_texts
 
 SEGMENTS = 64
@@ -105,6 +105,7 @@ def _sketch(texts: DataFrame, width: int, bits: int) -> np.ndarray:
                 once[cells] = True
                 twice[unpack_sorted(t.as_py())] = True
         yield pa.RecordBatch.from_pydict({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+        release_memory()
 
     shares = texts.select("text").mapInArrow(releasing(share), "part int, once binary, twice binary")
     merged = np.zeros((len(_SALTS) * SEGMENTS, (1 << part_bits) // 8), dtype=np.uint8)
@@ -237,6 +238,7 @@ def _marks(texts: DataFrame, width: int, sketch: np.ndarray, bits: int, buckets:
         doc, pos = np.concatenate(docs), np.concatenate(places)
         if len(doc):
             yield from _mark_rows(doc, pos, buckets, hot)
+        release_memory()
 
     return texts.select("doc_id", "text").mapInArrow(releasing(candidates), _PACKED).groupBy("bucket").applyInArrow(decide, _PACKED).select("bucket", "n", "one", "two", "doc", "pos")
 
@@ -317,4 +319,4 @@ def dedup_substrings(docs: DataFrame, width: int = 20, max_sketch_bits: int = 30
         kept = pa.chunked_array(parts[0], pa.string())
         return pa.Table.from_arrays([*columns, n_words, n_removed, kept], schema.fieldNames())
 
-    return rows.groupBy(me).cogroup(marks.groupBy("bucket")).applyInArrow(apply, schema)
+    return rows.groupBy(me).cogroup(marks.groupBy("bucket")).applyInArrow(released_pair(apply), schema)
