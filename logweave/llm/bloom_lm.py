@@ -5,8 +5,8 @@ entered q times, as (pair, 1) to (pair, q); a reader probes (pair, 1), (pair, 2)
 ... until a probe fails and so finds the level.  A wrong answer can only make a
 level too high, and ever less likely so.
 
-The filter is cut into one segment for each hash bucket, so the reducers that
-sum the counts also build their segments.  It takes `bits` bits an entry at any
+The filter is cut into one segment for each hash bucket, and the reducers that
+sum a bucket's counts build its segment and keep nothing else of its pairs.  It takes `bits` bits an entry at any
 size.  Up to `max_filter_bytes` the whole is broadcast; a larger one stays in its
 segments, and the pairs of the texts are sent there and their levels back.
 
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bucket_count, checkpoint, releasing, small_batches
+from .cluster import bucket_count, checkpoint, release_memory, released, released_pair, releasing, small_batches, steady
 from .textnum import chunks, find_words, mix64
 
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
@@ -45,7 +45,6 @@ STEP = 1.5  # ratio of neighbouring quantised counts
 LEAST = 2  # smallest count of the logarithmic scale; a count of one is a level of its own below it
 PROBES = 6
 LEVELS = 64
-SALTS = 4  # tasks that probe a segment which is not broadcast
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -136,11 +135,11 @@ def _distinct_pairs(distinct: np.ndarray, at: np.ndarray, inverse: bool = False)
 
 
 _SHARE = "bucket int, n int, hashes binary, counts binary, ctx binary, runs binary"
-_GRAMS = "bucket int, n int, total bigint, hashes binary, counts binary, once bigint, twice bigint, m int, ctx binary, mass binary, followers binary"
+_GRAMS = "bucket int, n int, total bigint, hashes binary, counts binary, once bigint, twice bigint, size bigint, body binary, m int, ctx binary, mass binary, followers binary"
 
 
-def count_grams(texts: DataFrame, layout: Layout) -> DataFrame:
-    """Packed counts by bucket, of words and of pairs; pair rows also have sum and number of followers of their contexts."""
+def count_grams(texts: DataFrame, layout: Layout, bits: float) -> DataFrame:
+    """What the texts say, by bucket: packed counts of words; of pairs the filter's segment, and sum and number of followers of their contexts."""
 
     def share(batches):
         held, size = [], 0
@@ -206,11 +205,16 @@ def count_grams(texts: DataFrame, layout: Layout) -> DataFrame:
                     sums = summed()
                     waiting, size = [], 0
         hashes, counts, *ctx = summed() if waiting else sums
-        row = {"bucket": bucket, "n": len(hashes), "total": int(counts.sum()), "hashes": hashes.tobytes(), "counts": _pack(counts, "<i8"), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "m": 0, "ctx": None, "mass": None, "followers": None}
+        row = {"bucket": bucket, "n": len(hashes), "total": int(counts.sum()), "hashes": None, "counts": None, "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "size": 0, "body": None, "m": 0, "ctx": None, "mass": None, "followers": None}
         if ctx:
             names, at = np.unique(ctx[0], return_inverse=True)
-            row |= {"m": len(names), "ctx": names.tobytes(), "mass": np.bincount(at, weights=_MIDDLE[entries_of(counts)]).tobytes(), "followers": _pack(np.bincount(at), "<i8")}
-        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("total", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary()), ("once", pa.int64()), ("twice", pa.int64()), ("m", pa.int32()), ("ctx", pa.binary()), ("mass", pa.binary()), ("followers", pa.binary())]))
+            size, body = CountFilter.segment(hashes, counts, bits)
+            row |= {"size": size, "body": body.tobytes(), "m": len(names), "ctx": names.tobytes(), "mass": np.bincount(at, weights=_MIDDLE[entries_of(counts)]).tobytes(), "followers": _pack(np.bincount(at), "<i8")}
+        else:
+            row |= {"hashes": hashes.tobytes(), "counts": _pack(counts, "<i8")}
+        kinds = {"bucket": pa.int32(), "n": pa.int32(), "m": pa.int32(), **dict.fromkeys(("total", "once", "twice", "size"), pa.int64())}
+        yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(name, kinds.get(name, pa.binary())) for name in row]))
+        release_memory()
 
     return texts.select("text").mapInArrow(releasing(share), _SHARE).groupBy("bucket").applyInArrow(merge, _GRAMS)
 
@@ -225,7 +229,7 @@ def _context_sums(grams: DataFrame, layout: Layout) -> DataFrame:
         return pa.table({"m": pa.array([len(names)], pa.int32()), "ctx": pa.array([names.tobytes()], pa.binary()), "mass": pa.array([np.bincount(at, weights=mass).tobytes()], pa.binary()), "followers": pa.array([_pack(np.bincount(at, weights=followers), "<i8")], pa.binary())})
 
     packed = grams.where(F.col("bucket") >= layout.words).select(F.floor((F.col("bucket") - layout.words) / layout.parts).alias("group"), "m", "ctx", "mass", "followers")
-    return packed.groupBy("group").applyInArrow(add, "m int, ctx binary, mass binary, followers binary")
+    return packed.groupBy("group").applyInArrow(released(add), "m int, ctx binary, mass binary, followers binary")
 
 
 def _contexts(row: dict) -> tuple[np.ndarray, ...]:
@@ -358,22 +362,27 @@ def _pairs_by_bucket(piece: pa.RecordBatch, layout: Layout) -> tuple[np.ndarray,
 def _routed(rows: DataFrame, segments: DataFrame, layout: Layout) -> DataFrame:
     """Pieces of the rows (`body`) with the levels of all their pairs by bucket (`given`), probed segment by segment."""
 
-    def pack(batches):
+    def named(batches):
+        name = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in chunks(batch, "text"):
-                sink = pa.BufferOutputStream()
-                # a slice of its own, so that it has the bytes of its rows only
-                own = pa.Table.from_batches([piece]).take(pa.array(np.arange(piece.num_rows))).combine_chunks()
-                with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_table(own)
-                yield pa.RecordBatch.from_pydict({"body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+                yield name, piece
+                name += 1
+
+    def pack(batches):
+        for name, piece in named(batches):
+            sink = pa.BufferOutputStream()
+            # a copy, so that it has the bytes of its own rows only
+            own = piece.take(pa.array(np.arange(piece.num_rows)))
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(own)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["piece", "body"])
 
     def ask(batches):
-        for batch in batches:
-            for name, (piece, _) in zip(batch.column("piece").to_pylist(), _read(batch), strict=True):
-                grams, by, edges = _pairs_by_bucket(piece, layout)
-                used = np.flatnonzero(edges[1:] > edges[:-1])
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "salt": pa.array([name % SALTS] * len(used), pa.int32()), "piece": pa.array([name] * len(used), pa.int64()), "grams": pa.array([grams[by[edges[b] : edges[b + 1]]].tobytes() for b in used], pa.binary())})
+        for name, piece in named(batches):
+            grams, by, edges = _pairs_by_bucket(piece, layout)
+            used = np.flatnonzero(edges[1:] > edges[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([name] * len(used), pa.int64()), pa.array([grams[by[edges[b] : edges[b + 1]]].tobytes() for b in used], pa.binary())], ["bucket", "piece", "grams"])
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         levels = []
@@ -381,15 +390,16 @@ def _routed(rows: DataFrame, segments: DataFrame, layout: Layout) -> DataFrame:
         part = CountFilter(np.frombuffer(body, dtype=np.uint8), np.array([0]), np.array([size]))
         for packed in asked.column("grams"):
             grams = np.frombuffer(packed.as_buffer(), dtype="<u8")
-            levels.append(part.levels(grams, np.zeros(len(grams), dtype=np.int64)).astype(np.uint8).tobytes())
+            levels.append(_pack(part.levels(grams, np.zeros(len(grams), dtype=np.int64)), "<u1"))
         return pa.table({"piece": asked.column("piece"), "bucket": asked.column("bucket"), "levels": pa.array(levels, pa.binary())})
 
-    pieces = checkpoint(rows.mapInArrow(releasing(pack), "body binary").withColumn("piece", F.monotonically_increasing_id()))
-    asked = pieces.mapInArrow(releasing(ask), "bucket int, salt int, piece bigint, grams binary")
-    copies = segments.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
-    answers = asked.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInArrow(answer, "piece bigint, bucket int, levels binary")
+    # both passes make the same pieces
+    rows = steady(rows)
+    bodies = rows.mapInArrow(releasing(pack), "piece bigint, body binary")
+    asked = rows.mapInArrow(releasing(ask), "bucket int, piece bigint, grams binary")
+    answers = asked.groupBy("bucket").cogroup(segments.groupBy("bucket")).applyInArrow(released_pair(answer), "piece bigint, bucket int, levels binary")
     given = answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "levels")).alias("given"))
-    return pieces.join(given, "piece", "left").select("body", "given")
+    return bodies.join(given, "piece", "left").select("body", "given")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, Callable]]:
@@ -405,51 +415,38 @@ def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[p
                 whole, by, edges = _pairs_by_bucket(piece, model.layout)
                 out = np.zeros(len(whole), dtype=np.int64)
                 for b in np.flatnonzero(edges[1:] > edges[:-1]):
-                    out[by[edges[b] : edges[b + 1]]] = np.frombuffer(given[b], dtype=np.uint8)
+                    out[by[edges[b] : edges[b + 1]]] = _unpack(given[b], int(edges[b + 1] - edges[b]), "<u1")
                 return out[places]
 
             yield piece, levels
 
 
-def _build_filter(grams: DataFrame, layout: Layout, bits: float, max_filter_bytes: int) -> tuple[CountFilter | None, DataFrame | None]:
-    """The filter, or its segments (bucket, size, body) if it is too large to be broadcast."""
-    packed = grams.where(F.col("bucket") >= layout.words).select((F.col("bucket") - layout.words).alias("bucket"), "n", "hashes", "counts")
-
-    def entered(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([int(sum(int(entries_of(c).sum()) for _, _, c in _grams(batch)))], pa.int64())})
-
-    def segments(batches):
-        for batch in batches:
-            for bucket, hashes, counts in _grams(batch):
-                size, body = CountFilter.segment(hashes, counts, bits)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "body": pa.array([body.tobytes()], pa.binary())})
-
-    total = packed.mapInArrow(entered, "n bigint").agg(F.sum("n")).first()[0] or 0
-    built = packed.mapInArrow(releasing(segments), "bucket int, size bigint, body binary")
-    if total * bits > 8 * max_filter_bytes:
-        return None, checkpoint(built)
-    made = built.toArrow()
+def _whole_filter(grams: DataFrame, layout: Layout) -> CountFilter:
+    """The filter from its segments, whose sizes the caller has summed."""
+    made = grams.where(F.col("bucket") >= layout.words).select((F.col("bucket") - layout.words).alias("bucket"), "size", "body").toArrow()
     size, begin, at = np.zeros(layout.pairs, dtype=np.int64), np.zeros(layout.pairs, dtype=np.int64), 0
     body = np.empty(sum(made.column("size").to_pylist()) // 8, dtype=np.uint8)
     for bucket, n, part in zip(made.column("bucket").to_pylist(), made.column("size").to_pylist(), made.column("body"), strict=True):
         size[bucket], begin[bucket] = n, at
         body[at : at + n // 8] = np.frombuffer(part.as_buffer(), dtype=np.uint8) if n else 0
         at += n // 8
-    return CountFilter(body, begin, size), None
+    return CountFilter(body, begin, size)
 
 
 def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 20, frequent_words: int = 1 << 20) -> tuple[Model, DataFrame, DataFrame | None]:
-    """Model of the column `text`, its packed counts (all of them), and the filter's segments if it is not broadcast."""
+    """Model of the column `text`, what was counted, and the filter's segments if it is not broadcast."""
     layout = Layout.of(bucket_count(texts))
-    grams = checkpoint(count_grams(texts, layout))
-    words = grams.where(F.col("bucket") < layout.words)
+    grams = checkpoint(count_grams(texts, layout, bits))
+    words, pairs = grams.where(F.col("bucket") < layout.words), grams.where(F.col("bucket") >= layout.words)
     sums = words.agg(F.sum("total"), F.sum("n")).first()
     tokens, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
-    rare = grams.where(F.col("bucket") >= layout.words).agg(F.sum("once"), F.sum("twice")).first()
-    once, twice = int(rare[0] or 0), int(rare[1] or 0)
+    once, twice, size = (int(x or 0) for x in pairs.agg(F.sum("once"), F.sum("twice"), F.sum("size")).first())
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
-    counts, segments = _build_filter(grams, layout, bits, max_filter_bytes)
+    counts = segments = None
+    if size <= 8 * max_filter_bytes:
+        counts = _whole_filter(grams, layout)
+    else:
+        segments = pairs.select((F.col("bucket") - layout.words).alias("bucket"), "size", "body")
     packed = words.select("bucket", "n", "hashes", "counts")
     floor = 0
     if vocabulary > frequent_words:
@@ -640,8 +637,8 @@ def _answered(asked: DataFrame, grams: DataFrame, model: Model, schema: str) ->
         new = [pa.array(rows.column(x).to_numpy() + y.astype(t)) for x, y, t in zip(("known", "base", "score"), more, (np.int64, float, float), strict=True)]
         return pa.table([rows.column("doc_id"), rows.column("held_out"), rows.column("n_tokens"), *new], names=rows.column_names)
 
-    replies = asked.groupBy("target").cogroup(known.groupBy("target")).applyInArrow(answer, "share bigint, target int, n int, rows binary, items array<binary>")
-    return replies.groupBy("share").applyInArrow(finish, schema)
+    replies = asked.groupBy("target").cogroup(known.groupBy("target")).applyInArrow(released_pair(answer), "share bigint, target int, n int, rows binary, items array<binary>")
+    return replies.groupBy("share").applyInArrow(released(finish), schema)
 
 
 def _have(names: np.ndarray, keys: np.ndarray) -> np.ndarray:
