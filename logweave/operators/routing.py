@@ -40,19 +40,24 @@ def delayed(messages: DataFrame, slow: DataFrame, source: str = "src", target: s
     return joined.withColumn("arrives", F.col(ts) + F.make_dt_interval(secs=F.coalesce("__millis", F.lit(0)) / 1000)).drop("__a", "__b", "__millis")
 
 
-def as_of(events: DataFrame, changes: DataFrame, key: str, order: str, value: str, rows_a_range: int = RANGE_ROWS) -> DataFrame:
+def range_width(rows: DataFrame, order: str, rows_a_range: int = RANGE_ROWS) -> int:
+    """Width of a range of an integer order that holds about so many rows, if the orders are spread evenly."""
+    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
+    return max(1, (high - low + 1) * rows_a_range // n) if n and high is not None else 1
+
+
+def as_of(events: DataFrame, changes: DataFrame, key: str, order: str, value: str, range_size: int | None = None) -> DataFrame:
     """Add to each event the value of the latest change of its key at or before it, by an integer order.
 
     Both sides are one relation of which changes are a running last value, so
-    neither is looped over nor compared pair by pair.  The width of a range comes
-    from the data: so that evenly spread orders put `rows_a_range` in each.
+    neither is looped over nor compared pair by pair.  Without `range_size` the
+    width of a range is that of `range_width`, found in a pass over the events.
     """
     left = events.withColumns({"__is_change": F.lit(1), "__value": F.lit(None).cast(changes.schema[value].dataType)})
     right = changes.select(key, F.col(order), F.col(value).alias("__value")).withColumn("__is_change", F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
     last = F.when(F.col("__is_change") == 0, F.struct(F.col(order).alias("o"), F.col("__value").alias("v")))
-    low, high, n = both.agg(F.min(order), F.max(order), F.count("*")).first()
-    width = max(1, (high - low + 1) * rows_a_range // n) if n and high is not None else 1
+    width = range_size or range_width(events, order)
     placed = running(both, [key], order, {"__last": ("max", last)}, range_size=width, ties=["__is_change"])
     return placed.where("__is_change = 1").withColumn(value, F.col("__last.v")).drop("__is_change", "__value", "__last")
 

@@ -460,7 +460,8 @@ def lease_diff(spark, sf_dir):
 def leader_asof(spark, sf_dir):
     log = events_log(spark, sf_dir).withColumn("at", S.micros(F.col("ts")))
     changes = log.where(F.col("seq") % SEGMENT == 0).select("topic", "at", segments.leader_of(F.col("topic"), segments.segment_of(F.col("seq"), SEGMENT), NODES).alias("leader"))
-    return routing.as_of(log.select("topic", "at", "event_id"), changes, "topic", "at", "leader").select("event_id", "leader")
+    width = routing.range_width(table(spark, sf_dir, "events").select(S.micros(F.col("ts")).alias("at")), "at")
+    return routing.as_of(log.select("topic", "at", "event_id"), changes, "topic", "at", "leader", width).select("event_id", "leader")
 
 
 @query("rpc_pairs", "SELECT a.conv_id, a.turn, min(b.turn) AS reply_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn > a.turn AND a.role = 'user' AND b.role = 'assistant' GROUP BY ALL")
