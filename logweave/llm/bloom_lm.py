@@ -26,12 +26,13 @@ once to the word's bucket, and the answers back to the tokens that wait for them
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,7 @@ from .textnum import chunks, find_words, mix64
 END = np.uint64(0x6C62272E07BB0142)  # the token that ends each text, and the context of its first word
 FLUSH_TOKENS = 800_000
 SCORE_TOKENS = 400_000
+PULL_BYTES = 2 << 20  # of the filter that the driver asks for at once
 STEP = 1.5  # ratio of neighbouring quantised counts
 LEAST = 2  # smallest count of the logarithmic scale; a count of one is a level of its own below it
 PROBES = 6
@@ -219,17 +221,20 @@ def count_grams(texts: DataFrame, layout: Layout, bits: float) -> DataFrame:
     return texts.select("text").mapInArrow(releasing(share), _SHARE).groupBy("bucket").applyInArrow(merge, _GRAMS)
 
 
-def _context_sums(grams: DataFrame, layout: Layout) -> DataFrame:
-    """Packed contexts with sum and number of their followers, over all parts of a group: m, ctx, mass, followers."""
+def _context_sums(grams: DataFrame, layout: Layout, wanted: Broadcast) -> DataFrame:
+    """Those contexts that are wanted (`h`), sums (`m`) and numbers (`f`) of their followers, over all parts of a group."""
 
     def add(batches_of_group: pa.Table) -> pa.Table:
         parts = [_contexts(r) for r in batches_of_group.to_pylist()]
         ctx, mass, followers = (np.concatenate(x) for x in zip(*parts, strict=True))
         names, at = np.unique(ctx, return_inverse=True)
-        return pa.table({"m": pa.array([len(names)], pa.int32()), "ctx": pa.array([names.tobytes()], pa.binary()), "mass": pa.array([np.bincount(at, weights=mass).tobytes()], pa.binary()), "followers": pa.array([_pack(np.bincount(at, weights=followers), "<i8")], pa.binary())})
+        # picked here and not by a map that follows: that would take a second worker a core, and all would load the model later
+        keep = np.isin(names, wanted.value)
+        sums = names, np.bincount(at, weights=mass), np.bincount(at, weights=followers).astype("<i8")
+        return pa.table({k: pa.array([x[keep].tobytes()], pa.binary()) for k, x in zip("hmf", sums, strict=True)})
 
     packed = grams.where(F.col("bucket") >= layout.words).select(F.floor((F.col("bucket") - layout.words) / layout.parts).alias("group"), "m", "ctx", "mass", "followers")
-    return packed.groupBy("group").applyInArrow(released(add), "m int, ctx binary, mass binary, followers binary")
+    return packed.groupBy("group").applyInArrow(released(add), "h binary, m binary, f binary")
 
 
 def _contexts(row: dict) -> tuple[np.ndarray, ...]:
@@ -421,15 +426,22 @@ def _pieces(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[p
             yield piece, levels
 
 
-def _whole_filter(grams: DataFrame, layout: Layout) -> CountFilter:
-    """The filter from its segments, whose sizes the caller has summed."""
-    made = grams.where(F.col("bucket") >= layout.words).select((F.col("bucket") - layout.words).alias("bucket"), "size", "body").toArrow()
+def _whole_filter(grams: DataFrame, layout: Layout, total: int) -> CountFilter:
+    """The filter of `total` bytes from its segments, whose sizes the caller has summed.
+
+    They come to the driver by splits, small ones together, and it keeps the
+    whole in a file without a name, from which the broadcast is written.
+    """
+    made = grams.where(F.col("bucket") >= layout.words).select((F.col("bucket") - layout.words).alias("bucket"), "size", "body")
+    made = made.coalesce(max(1, -(-total // PULL_BYTES)))
     size, begin, at = np.zeros(layout.pairs, dtype=np.int64), np.zeros(layout.pairs, dtype=np.int64), 0
-    body = np.empty(sum(made.column("size").to_pylist()) // 8, dtype=np.uint8)
-    for bucket, n, part in zip(made.column("bucket").to_pylist(), made.column("size").to_pylist(), made.column("body"), strict=True):
-        size[bucket], begin[bucket] = n, at
-        body[at : at + n // 8] = np.frombuffer(part.as_buffer(), dtype=np.uint8) if n else 0
-        at += n // 8
+    with tempfile.TemporaryFile() as whole:
+        for row in made.toLocalIterator(prefetchPartitions=True):
+            size[row.bucket], begin[row.bucket] = row.size, at
+            at += whole.write(row.body)
+        whole.flush()
+        # a plain array on the mapping is pickled without a copy
+        body = np.asarray(np.memmap(whole, dtype=np.uint8, mode="r", shape=(at,))) if at else np.empty(0, dtype=np.uint8)
     return CountFilter(body, begin, size)
 
 
@@ -444,7 +456,7 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 2
     discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
     counts = segments = None
     if size <= 8 * max_filter_bytes:
-        counts = _whole_filter(grams, layout)
+        counts = _whole_filter(grams, layout, size // 8)
     else:
         segments = pairs.select((F.col("bucket") - layout.words).alias("bucket"), "size", "body")
     packed = words.select("bucket", "n", "hashes", "counts")
@@ -475,20 +487,12 @@ def train(texts: DataFrame, bits: float = 12.0, max_filter_bytes: int = 128 << 2
     order = np.argsort(head)
     head, have = head[order], have[order]
     shared = texts.sparkSession.sparkContext.broadcast(head)
-
-    def known(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ctx, mass, followers = _contexts(row)
-                keep = np.isin(ctx, shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array([x[keep].tobytes()], pa.binary()) for x in (ctx, mass, followers)], ["h", "m", "f"])
-
-    parts = _context_sums(grams, layout).mapInArrow(known, "h binary, m binary, f binary").toArrow()
+    parts = _context_sums(grams, layout, shared).toArrow()
     ctx, mass, followers = (np.frombuffer(b"".join(parts.column(x).to_pylist()), dtype=t) for x, t in (("h", "<u8"), ("m", "<f8"), ("f", "<i8")))
     at = np.searchsorted(head, ctx)
     sums, numbers = np.zeros(len(head)), np.zeros(len(head), dtype=np.int64)
     sums[at], numbers[at] = mass, followers
-    shared.unpersist()
+    shared.destroy()
     return Model(counts, layout, head, _narrow(have), sums, _narrow(numbers), floor == 0, tokens, vocabulary, discount), grams, segments
 
 

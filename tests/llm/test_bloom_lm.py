@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 import zlib
@@ -162,3 +163,36 @@ def test_repeats_long_texts_and_clashing_columns(spark):
     got = sorted(lm.score(df).collect(), key=lambda r: r.n_tokens)
     assert [r.n_tokens for r in got] == [3, 4, 4, 800_001] and got[1] == got[2]
     assert got[0].score > got[0].base_score
+
+
+def test_the_driver_never_holds_the_whole_filter(spark):
+    rng = random.Random(4)
+    rows = [(" ".join(f"w{rng.randrange(3000)}" for _ in range(200)),) for _ in range(400)]
+    texts = spark.createDataFrame(rows, "text string").repartition(8)
+    lm.train(texts)  # what a first run needs is no part of the filter
+    conf, key, most = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize", 16 << 20
+    conf.set(key, str(most))
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}  # else so small a table is one split or few
+    usual = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        before = anonymous_bytes()
+        model = lm.train(texts, bits=4000.0)[0]
+        assert model.counts.bits.nbytes > 2 * most and anonymous_bytes() - before < most
+    finally:
+        conf.remove(key)
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    again = pickle.loads(pickle.dumps(model, protocol=pickle.HIGHEST_PROTOCOL)).counts
+    assert type(again.bits) is np.ndarray and (again.bits == model.counts.bits).all()
+    stream = lm.token_stream(pa.array([x for (x,) in rows]))[0]
+    found = model.look_up(stream, lambda grams, bucket, places: again.levels(grams, bucket))
+    pairs = Counter(zip([lm.END, *stream.tolist()], stream.tolist(), strict=False))
+    counts = np.array([pairs[p] for p in zip(found["context"].tolist(), stream.tolist(), strict=True)])
+    assert (found["level"] == lm.entries_of(counts)).all()
+
+
+def anonymous_bytes():
+    with open("/proc/self/smaps_rollup") as f:
+        return sum(int(line.split()[1]) << 10 for line in f if line.startswith("Pss_Anon:"))
