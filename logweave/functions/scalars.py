@@ -73,6 +73,12 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
+def millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp as written; halves are rounded away from zero, as in SQL's epoch_ms."""
+    us = micros(ts)
+    return F.call_function("div", us + F.when(us < 0, F.lit(-500)).otherwise(F.lit(500)), F.lit(1000))
+
+
 def as_instant(ts: Column) -> Column:
     """A timestamp as written, read as UTC: watermarks need one with a zone."""
     return F.timestamp_micros(micros(ts))

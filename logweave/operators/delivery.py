@@ -60,10 +60,13 @@ def monotone_clock(ticks: DataFrame, order: str, millis: str) -> DataFrame:
     """Add `clock`: each reading at least one above the one before, c[i] = max(t[i], c[i-1] + 1), from 0.
 
     Closed form: with i the 0-based position, max over j <= i of (t[j] - j), at
-    least 1, plus i.  The order must be unique.
+    least 1, plus i.  The order is an integer; nulls come last, and rows of equal
+    order stand by their readings.
     """
-    ranked = running(ticks.withColumn("__all", F.lit(0)), ["__all"], order, {"__i": ("sum", F.lit(1).cast("bigint"))}, exclusive=True)
-    best = running(ranked, ["__all"], order, {"__m": ("max", F.col(millis) - F.col("__i"))})
+    placed = ticks.withColumns({"__all": F.lit(0), "__at": F.coalesce(F.col(order), F.lit(2**63 - 1)), "__null": F.col(order).isNull()})
+    ranked = running(placed, ["__all"], "__at", {"__i": ("sum", F.lit(1).cast("bigint"))}, exclusive=True, ties=["__null", millis]).drop("__at", "__null")
+    # by position, which is unique: ties would not have to stand as they were numbered
+    best = running(ranked, ["__all"], "__i", {"__m": ("max", F.col(millis) - F.col("__i"))})
     return best.withColumn("clock", F.greatest(F.col("__m"), F.lit(1)) + F.col("__i")).drop("__all", "__i", "__m")
 
 

@@ -326,7 +326,7 @@ def dirty_generation(spark, sf_dir):
 
 @query("monotone_clock", "WITH t AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, epoch_ms(ts) // 600000 * 600000 AS ms FROM events) SELECT event_id, greatest(max(ms - i) OVER (ORDER BY i), 1) + i AS clock FROM t")
 def monotone_clock(spark, sf_dir):
-    ticks = table(spark, sf_dir, "events").select("event_id", (F.floor(S.micros(F.col("ts")) / 600000000) * 600000).cast("bigint").alias("ms"))
+    ticks = table(spark, sf_dir, "events").select("event_id", (F.call_function("div", S.millis(F.col("ts")), F.lit(600000)) * 600000).alias("ms"))
     return delivery.monotone_clock(ticks, "event_id", "ms").select("event_id", "clock")
 
 

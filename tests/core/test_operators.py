@@ -218,6 +218,17 @@ def test_delivery(spark):
     assert {r.chunk: r.ack for r in delivery.chunk_acks(sent, came).collect()} == {1: 0, 2: 1, 3: 2, 4: 2}
 
 
+def test_clock_of_equal_and_missing_orders(spark):
+    rng = random.Random(11)
+    ticks = [(rng.choice([None, 2**63 - 1, -5, 0, 1, 2, 300_000]), rng.randrange(0, 2000)) for _ in range(400)]
+    got = delivery.monotone_clock(spark.createDataFrame(ticks, "i bigint, ms bigint").repartition(7), "i", "ms").collect()
+    c, want = 0, []
+    for i, t in sorted(ticks, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        c = max(t, c + 1)
+        want.append((i, t, c))
+    assert [tuple(r) for r in sorted(got, key=lambda r: r.clock)] == want
+
+
 def test_replay_against_loop(spark):
     rng = random.Random(2)
     records, alive, purged = [], {}, None
